@@ -34,6 +34,8 @@ from corpuscle.llm.labelled import held_out, sample
 
 PER_CLASS = 6000
 MAX_TERMS = 2000
+#: A word is a term if chance explains its rows with a probability of at most exp(-SURPRISE).
+SURPRISE = 15
 #: Words on each side of a hit that its context is judged by.
 WINDOW = 6
 
@@ -60,7 +62,10 @@ def learn_lexicon(train: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[st
     totals = train.dropDuplicates(["text"]).agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     n_toxic, n_clean = totals[0] or 0, totals[1] or 0
     weight = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1))
-    rows = counts.where("t >= 3").withColumn("w", weight).where("w >= 2.5").orderBy(F.desc("t"), F.desc("w"), "word").limit(max_terms).select("word", "w").collect()
+    # a bound of the chance that so many of a word's rows are toxic, as a natural logarithm
+    share, n = (n_toxic + 1) / (n_toxic + n_clean + 2), F.col("t") + F.col("c")
+    surprise = F.col("t") * F.log(F.col("t") / n / share) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / n / (1 - share))).otherwise(0.0)
+    rows = counts.where(F.col("t") >= max(3, n_toxic // 200)).withColumn("w", weight).where((F.col("w") >= 2.5) & (surprise >= SURPRISE)).orderBy(F.desc("t"), F.desc("w"), "word").limit(max_terms).select("word", "w").collect()
     learned = {r.word: min(float(r.w), 6.0) for r in rows}
     return sorted({**dict.fromkeys(SEED_TERMS, 3.0), **learned}.items())
 
