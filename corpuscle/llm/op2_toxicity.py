@@ -1,7 +1,7 @@
 """Toxicity: misspelling-tolerant lexicon hits, weighed by their context.
 
-A lexicon of a few fixed terms and of terms learned from labelled rows becomes one
-trie; Levenshtein automata of all its terms run along it (``automaton``) and find each
+A lexicon of a few fixed terms and of terms and stems learned from labelled rows becomes
+one trie; Levenshtein automata of all its terms run along it (``automaton``) and find each
 word of a text that is a term or a misspelling. A window of words around each hit
 tells quotation (quote marks around it, a word that reports speech) from abuse. A
 logistic model over the hits' figures gives the score.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ from corpuscle.llm.labelled import held_out, sample
 
 PER_CLASS = 6000
 MAX_TERMS = 2000
+#: Letters of the stems that are learned beside whole words; a term that ends in * is a stem.
+STEMS = (4, 5, 6)
 #: A word is a term if chance explains its rows with a probability of at most exp(-SURPRISE).
 SURPRISE = 15
 #: Words on each side of a hit that its context is judged by.
@@ -56,8 +58,12 @@ PRESET = (1.5, 0.6, -0.3, 0.6, 0.5, -3.0)
 
 def learn_lexicon(train: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str, float]]:
     """(term, weight) of words far more frequent in toxic than in other rows of ``train``."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))
-    each = train.dropDuplicates(["text"]).select("y", F.explode(words).alias("word")).where(F.length("word").between(3, 40))
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")), lambda w: F.length(w).between(3, 40))
+
+    def stems(k: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+    each = train.dropDuplicates(["text"]).select("y", F.explode(F.array_distinct(F.concat(words, *map(stems, STEMS)))).alias("word"))
     counts = each.groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     totals = train.dropDuplicates(["text"]).agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     n_toxic, n_clean = totals[0] or 0, totals[1] or 0
@@ -74,14 +80,18 @@ class Scorer:
     """Figures of one text's hits. Made anew in each task from the lexicon."""
 
     def __init__(self, lexicon: list[tuple[str, float]]):
-        self.weights = dict(lexicon)
-        self.fuzzy = FuzzyLexicon([term for term, _ in lexicon])
+        self.weights = {term: w for term, w in lexicon if not term.endswith("*")}
+        self.stems = {term[:-1]: w for term, w in lexicon if term.endswith("*")}
+        self.fuzzy = FuzzyLexicon(list(self.weights))
         self.known: dict[str, tuple[float, bool] | None] = {}
 
     def look(self, word: str) -> tuple[float, bool] | None:
-        """(weight, exact) of a word that is a term or a misspelling of one."""
+        """(weight, exact) of a word that is a term, begins with a stem, or is a misspelling of a term."""
         if word in self.weights:
             return self.weights[word], True
+        stem = max((self.stems[word[:k]] for k in STEMS if word[:k] in self.stems), default=None)
+        if stem is not None:
+            return stem, True
         hit = self.fuzzy.find(word)
         if hit is None and any(c in "013457@$*" for c in word) and not word.isdigit():
             hit = self.fuzzy.find(word.translate(LEET))
