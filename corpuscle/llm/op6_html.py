@@ -6,8 +6,8 @@ of text to tags is smoothed along the page by a Gaussian and parted into two clu
 by the threshold of largest between-class variance; the lines of the upper cluster are
 content. Structure then settles what a ratio alone can't: lines inside menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments never count, and a
-content line brings in the whole of its article, so that a short heading or paragraph
-in the midst of the article stays.
+content line brings in the whole of its article element (without one, of the innermost
+container of most content), so that a short heading or paragraph of the article stays.
 
 Defined cases: a null or empty page has empty text; markup without text too; unclosed
 and stray tags are closed as browsers do; repeated rows are extracted each; an empty
@@ -30,6 +30,7 @@ HIDDEN = frozenset("script style noscript template head title iframe object svg
 BOILERPLATE = frozenset("nav header footer aside form button select option textarea menu dialog label input fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 MAIN = frozenset(("article", "main"))
+CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CLOSED_BY_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 # Words of class and id names of parts that aren't the article.
@@ -42,17 +43,20 @@ MAIN_NAMES = frozenset("article content main post entry story body".split())
 SPACE = re.compile(r"[\s ​﻿]+")
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
+#: Share of the content that the chosen container holds at least.
+MOST = 0.7
 #: Standard deviation, in lines, of the smoothing.
 SIGMA = 1.0
 
 
 class Events(HTMLParser):
-    """Turns a page into ``lines``: [text, tags, container, boilerplate, in a main element]."""
+    """Turns a page into ``lines``: [text, tags, number of the main element, boilerplate, numbers of the containers]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, boilerplate, hidden, number of the main element
+        self.open: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []  # tag, boilerplate, hidden, number of the main element, containers
+        self.containers = 0
         self.parts: list[str] = []
         self.tags = 0
         self.mains = 0
@@ -61,8 +65,8 @@ class Events(HTMLParser):
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts.clear()
         if text:
-            _, boilerplate, _, main = self.open[-1] if self.open else ("", False, False, 0)
-            self.lines.append([text, self.tags, main, boilerplate])
+            _, boilerplate, _, main, chain = self.open[-1] if self.open else ("", False, False, 0, ())
+            self.lines.append([text, self.tags, main, boilerplate, chain])
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -75,7 +79,7 @@ class Events(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, boilerplate, hidden, main = self.open[-1] if self.open else ("", False, False, 0)
+        _, boilerplate, hidden, main, chain = self.open[-1] if self.open else ("", False, False, 0, ())
         values = dict(attrs)
         names = {p.lower() for k in ("class", "id") for p in NAME_PARTS.findall(values.get(k) or "")}
         is_main = tag in MAIN or (values.get("role") or "") == "main" or tag in ("div", "section") and bool(names & MAIN_NAMES) and not names & NAMES
@@ -88,7 +92,10 @@ class Events(HTMLParser):
         if is_main and not bad and not boilerplate and not main:
             self.mains += 1
             main = self.mains
-        self.open.append((tag, boilerplate or bad, hidden, main))
+        if tag in CONTAINERS and len(chain) < 500:
+            self.containers += 1
+            chain = (*chain, self.containers)
+        self.open.append((tag, boilerplate or bad, hidden, main, chain))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -146,19 +153,25 @@ def extract(html: str) -> str:
     lines = [x for x in events.lines if not x[3]]
     if not lines:
         return ""
-    ratio = smooth(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
+    ratio = smooth(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
     content = ratio > threshold(ratio)
     weight: dict[int, int] = {}
-    for (text, _, main, _), take in zip(lines, content, strict=True):
+    for (text, _, main, *_), take in zip(lines, content, strict=True):
         if take:
             weight[main] = weight.get(main, 0) + len(text)
     inside = {m: w for m, w in weight.items() if m}
     if inside:  # every article that holds content counts whole
         most = max(inside.values())
         mains = {m for m, w in inside.items() if 4 * w >= most}
-        return "\n".join(text for text, _, main, _ in lines if main in mains)
-    where = np.flatnonzero(content)
-    return "\n".join(x[0] for x in lines[where[0] : where[-1] + 1])
+        return "\n".join(text for text, _, main, *_ in lines if main in mains)
+    # no article element: the innermost container that holds most of the content
+    total = sum(len(text) for (text, *_), take in zip(lines, content, strict=True) if take)
+    held: dict[int, int] = {}
+    for (text, _, _, _, chain), take in zip(lines, content, strict=True):
+        for number in chain if take else ():
+            held[number] = held.get(number, 0) + len(text)
+    inner = max((number for number, n in held.items() if n >= MOST * total), default=0)
+    return "\n".join(x[0] for x in lines if not inner or inner in x[4])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ estimate can't rule out are confirmed on the full sets. As pairs within one comp
 change nothing, no link between different sets that could change the result is lost.
 
 Defined cases: a null text has an empty set, which links with nothing; a null doc_id
-is its own document with a null component and is kept; rows that repeat an id are one
-document for linking and are each returned; an empty table gives an empty result;
-other columns are ignored.
+is its own document with a null component and is kept; rows that repeat an id are each
+returned and judged by their own set (different sets of the same smallest id count as
+one document); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -160,6 +160,8 @@ def blocks_meet(lists: DataFrame, percent: int) -> DataFrame:
     def meet(group: list[tuple], out: list[tuple[int, int, int]]) -> None:
         key, i, j = group[0][:3]
         one, two = [g for g in group if g[3] == i], [g for g in group if g[3] == j]
+        if not one or not two:
+            return
         sketches = {g[4]: np.frombuffer(g[8], dtype=np.uint64) for g in group}
         seen, times = np.unique(np.concatenate(list(sketches.values())), return_counts=True)
         shared = seen[times > 1]
