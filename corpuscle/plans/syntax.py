@@ -1 +1,103 @@
-"""Queries, see the module of the same name in operators."""
+"""Queries over a small inline source tree: facts, imports, graph, documentation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpuscle.operators import facts, imports, search
+from corpuscle.plans.registry import query
+
+#: A tree of Python and TypeScript with nested scopes, relative imports, aliases and re-exports.
+SOURCES = {
+    "pkg/__init__.py": '"""The package."""\nfrom .core import Runner\n__all__ = ["Runner"]\n',
+    "pkg/core.py": 'from . import util\nfrom .util import helper as run_helper\n\n\nclass Base:\n    pass\n\n\nclass Runner(Base):\n    """Runs things."""\n\n    def run(self, value: int = 1) -> int:\n        """Run once."""\n        def inner(x):\n            return run_helper(x)\n        return inner(value)\n\n    def stop(self):\n        return self.run(0)\n',
+    "pkg/util.py": "LEFT, (RIGHT, _) = 1, (2, 3)\n\n\ndef helper(x):\n    for i in range(x):\n        if i in [1, 2]:\n            x += i\n    return x\n\n\ndef other():\n    return helper(3)\n",
+    "pkg/broken.py": "def lost(:\n    pass\nimport pkg.util\n",
+    "main.py": "import pkg.core\nfrom pkg import util\nfrom pkg.core import Runner\n\nif __name__ == '__main__':\n    Runner().run(2)\n",
+    "web/index.ts": "export * from './shapes';\nexport { area as size } from './area.js';\nexport const version = '1';\n",
+    "web/shapes.ts": "import { area } from './area';\n/** A square. */\nexport class Square extends Shape {\n  side() {\n    return area(2, 2);\n  }\n}\nexport interface Options { on: boolean }\n",
+    "web/area.ts": "// Multiplies.\nexport const area = (a: number, b: number) => multiply(a, b);\nfunction multiply(a: number, b: number) {\n  return a * b;\n}\n",
+    "README.md": "# Title\n\nProse.\n\n## Install\n\nnpm\n",
+}
+
+
+def tree(spark):
+    return spark.createDataFrame(sorted(SOURCES.items()), "path string, text string")
+
+
+@query(
+    "syntax_functions",
+    """SELECT * FROM (VALUES ('pkg/core.py','Runner.run',12,5),('pkg/core.py','Runner.run.inner',14,2),('pkg/core.py','Runner.stop',18,2),('pkg/util.py','helper',4,5),('pkg/util.py','other',11,2),
+      ('pkg/broken.py','lost',1,1),('web/shapes.ts','side',4,3),('web/area.ts','area',2,1),('web/area.ts','multiply',3,3)) AS t(path, identifier, line, span)""",
+)
+def syntax_functions(spark, sf_dir):
+    """Functions and methods with their spans; a broken file still gives its own."""
+    return facts.facts(tree(spark)).where("kind = 'function'").select("path", "identifier", "line", "span")
+
+
+@query("syntax_calls", """SELECT * FROM (VALUES ('pkg/core.py','inner','run_helper',15),('pkg/core.py','run','inner',16),('pkg/core.py','stop','run',19),('pkg/util.py','helper','range',5),('pkg/util.py','other','helper',12),
+      ('web/shapes.ts','side','area',5),('web/area.ts','area','multiply',2)) AS t(path, caller, callee, line)""")
+def syntax_calls(spark, sf_dir):
+    """Calls with the function that owns them."""
+    return facts.facts(tree(spark)).where("kind = 'call'").select("path", F.col("owner").alias("caller"), F.col("name").alias("callee"), "line")
+
+
+def _resolved(spark):
+    files = tree(spark)
+    rows = facts.facts(files)
+    return files, rows, imports.import_map(rows, files.select("path"))
+
+
+@query("import_map", """SELECT * FROM (VALUES ('pkg/__init__.py','pkg/core.py'),('pkg/core.py','pkg/util.py'),('pkg/broken.py','pkg/util.py'),('main.py','pkg/core.py'),('main.py','pkg/util.py'),
+      ('web/index.ts','web/shapes.ts'),('web/index.ts','web/area.ts'),('web/shapes.ts','web/area.ts')) AS t(source, target)""")
+def import_map(spark, sf_dir):
+    """Imports resolved to files of the tree."""
+    return _resolved(spark)[2]
+
+
+@query("export_closure", "SELECT * FROM (VALUES ('version','web/index.ts'),('size','web/area.ts'),('Square','web/shapes.ts'),('Options','web/shapes.ts')) AS t(name, origin)")
+def export_closure(spark, sf_dir):
+    """Public names of an index, followed to where they are defined."""
+    files = tree(spark)
+    rows = facts.facts(files)
+    return imports.export_closure(rows, files, imports.script_imports(rows, files.select("path")), "web/index.ts", depth=4)
+
+
+@query("graph_edge_types", "SELECT * FROM (VALUES ('imports', 8::BIGINT), ('contains', 12::BIGINT), ('calls', 4::BIGINT)) AS t(type, n)")
+def graph_edge_types(spark, sf_dir):
+    """Edges of the tree's graph by type."""
+    files, rows, pairs = _resolved(spark)
+    inventory = files.select("path", search.line_count(F.col("text")).alias("n_lines"))
+    _, edges = imports.nodes_and_edges(inventory, rows, pairs)
+    return edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("documentation", """SELECT * FROM (VALUES ('pkg/__init__.py','file','','The package.'),('pkg/core.py','class','Runner','Runs things.'),('pkg/core.py','method','Runner.run','Run once.'),
+      ('web/shapes.ts','class','Square','A square.'),('web/area.ts','function','area','Multiplies.')) AS t(path, kind, qualified_name, docstring)""")
+def documentation(spark, sf_dir):
+    """Documented files, classes and functions."""
+    return facts.documentation(tree(spark)).where("docstring IS NOT NULL").select("path", "kind", "qualified_name", "docstring")
+
+
+@query("parse_errors", "SELECT 'pkg/broken.py' AS path, 'invalid syntax' AS parse_error")
+def parse_errors(spark, sf_dir):
+    """Files that don't parse."""
+    return facts.documentation(tree(spark)).where("parse_error IS NOT NULL").select("path", "parse_error")
+
+
+@query("complexity", "SELECT * FROM (VALUES ('Runner.run',1,0,0),('Runner.run.inner',1,0,0),('Runner.stop',1,0,0),('helper',3,3,1),('other',1,0,0)) AS t(identifier, cyclomatic, cognitive, hidden_quadratic)")
+def complexity(spark, sf_dir):
+    """Branches, nesting and scans inside loops of Python functions."""
+    return facts.metrics(tree(spark)).select("identifier", "cyclomatic", "cognitive", "hidden_quadratic")
+
+
+@query("member_of", "SELECT 'pkg/core.py' AS path, name, line FROM (VALUES ('run', 12), ('inner', 14), ('stop', 18)) AS t(name, line)")
+def member_of(spark, sf_dir):
+    """Functions inside a class's span."""
+    return facts.members(facts.facts(tree(spark)), "Runner")
+
+
+@query("variables", "SELECT * FROM (VALUES ('LEFT','module'),('RIGHT','module'),('_','module'),('x','local'),('version','module')) AS t(name, scope)")
+def variables(spark, sf_dir):
+    """Assigned names, destructuring opened in Python; __all__ is left out."""
+    return facts.facts(tree(spark)).where("kind = 'variable' AND name <> '__all__'").select("name", F.col("detail").alias("scope")).distinct()
