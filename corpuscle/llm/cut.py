@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared folder, as Parquet, that go when the work that needs them is done.
+
+    Smaller than checkpoints, and read by column. Use it as a context; what leaves it must
+    have been computed by then, by ``cut``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, 0
+        self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read again."""
+        path = f"{self.folder}/{self.tables}"
+        self.tables += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, below: str = "") -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder + below)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
+
 def read(spark, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
