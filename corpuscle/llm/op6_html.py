@@ -41,6 +41,7 @@ NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article content main post entry story body".split())
 SPACE = re.compile(r"[\s ​﻿]+")
+LAYOUT = re.compile(r"\b(?:has|no|with|without|show|hide|js)[-_][\w-]+")  # words that say what a page holds, not what a part is
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 #: Share of the content that the chosen container holds at least.
@@ -81,7 +82,7 @@ class Events(HTMLParser):
             return
         _, boilerplate, hidden, main, chain = self.open[-1] if self.open else ("", False, False, 0, ())
         values = dict(attrs)
-        names = {p.lower() for k in ("class", "id") for p in NAME_PARTS.findall(values.get(k) or "")}
+        names = {p.lower() for k in ("class", "id") for p in NAME_PARTS.findall(LAYOUT.sub("", values.get(k) or ""))}
         is_main = tag in MAIN or (values.get("role") or "") == "main" or tag in ("div", "section") and bool(names & MAIN_NAMES) and not names & NAMES
         if tag == "header" and main:
             bad = False  # an article's own heading

@@ -23,6 +23,11 @@ def test_without_article_element():
     assert html.extract(p) == "\n".join([one, "in between", one])
 
 
+def test_layout_words_name_no_part():
+    p = page(f'<div class="wrap has-sidebar no-comments"><article><p>{LONG}</p><div class="related-posts"><p>x</p></div></article></div>')
+    assert html.extract(p) == " ".join(LONG.split())
+
+
 def test_edges(spark):
     odd = [(1, "u", None), (2, None, ""), (3, "u", "<p>"), (4, "u", "plain &eacute; text"), (5, "u", "<![bad <!-- <p>x"), (None, "u", "<p>" * 5000 + "deep"), (7, "u", "<p>w " * 20000)]
     df = spark.createDataFrame([(*r, "x") for r in odd], "page_id long, url string, html string, text string")
