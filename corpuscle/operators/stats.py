@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,18 +97,26 @@ def ancestor_counts(df: DataFrame, ancestors: Column) -> DataFrame:
 
 
 def skyline(df: DataFrame, measures: list[str]) -> DataFrame:
-    """Rows that no other row reaches in all measures and passes in one.
+    """Rows that no other row reaches in all measures and passes in one; rows with a null measure go.
 
-    Rivals are reduced to one for each combination of the measures but the first.
+    Each task first keeps only the points that no point of its own dominates. The fronts of
+    all tasks, small unless measures oppose one another, are then held against each other.
     """
-    points = df.select(*measures).distinct()
-    other = points.select(*(F.col(m).alias(f"_{m}") for m in measures))
-    reaches = F.lit(True)
-    passes = F.lit(False)
+    points = df.select(*(F.col(m).cast("double").alias(m) for m in measures)).dropna().distinct()
+
+    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        front = np.empty((0, len(measures)))
+        for frame in frames:
+            for point in frame.to_numpy()[np.argsort(-frame.to_numpy().sum(axis=1))]:
+                if not ((front >= point).all(axis=1) & (front > point).any(axis=1)).any():
+                    front = np.vstack([front[~((front <= point).all(axis=1))], point])
+        yield pd.DataFrame(front, columns=measures)
+
+    few = points.mapInPandas(local, ", ".join(f"`{m}` double" for m in measures))
+    other = few.select(*(F.col(m).alias(f"_{m}") for m in measures))
+    reaches, passes = F.lit(True), F.lit(False)
     for m in measures:
         reaches = reaches & (F.col(f"_{m}") >= F.col(m))
         passes = passes | (F.col(f"_{m}") > F.col(m))
-    # points of the largest first measure for each value of the others suffice as rivals
-    rivals = other.groupBy(*(f"_{m}" for m in measures[1:])).agg(F.max(f"_{measures[0]}").alias(f"_{measures[0]}"))
-    front = points.join(rivals, reaches & passes, "left_anti")
-    return df.join(front, measures, "left_semi")
+    front = few.join(other, reaches & passes, "left_anti")
+    return df.join(front.select(*(F.col(m).alias(f"_{m}") for m in measures)), [F.col(m).cast("double") == F.col(f"_{m}") for m in measures], "left_semi")
