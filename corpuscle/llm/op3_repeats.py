@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm import grams
-from corpuscle.llm.cut import cut
+from corpuscle.llm.cut import Scratch, cut
 
 LENGTH = 400
 #: Bytes of the coarse and the fine rolling hash, and positions in which a fine trigger is the smallest.
-COARSE, FINE, REACH = 32, 8, 64
+COARSE, FINE, REACH = 128, 8, 64
 #: Candidate texts up to which their ids are broadcast (24 MB) rather than shuffled.
 BROADCAST_IDS = 1_000_000
 _PLACE = np.uint64((1 << 28) - 1)
@@ -143,6 +143,11 @@ def remove(data: bytes, length: int, starts: np.ndarray) -> tuple[int, int, byte
 
 def repeated_strings(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
+    with Scratch(documents.sparkSession) as scratch:
+        return _repeated_strings(documents, length, scratch)
+
+
+def _repeated_strings(documents: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keyed = documents.select("doc_id", text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit("second"), "text").alias("d2"))
     long_texts = keyed.where(F.octet_length("text") >= length)
@@ -155,15 +160,15 @@ def repeated_strings(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), _signed(value), pa.array(times.astype(np.int32))], ["d1", "d2", "core", "times"])
 
     coarse_rows = long_texts.select("d1", "d2", "text").mapInArrow(triggers, "d1 bigint, d2 bigint, core bigint, times int")
-    met = cut(coarse_rows.groupBy("d1", "d2", "core").agg(F.max("times").alias("times")))
+    met = scratch.table(coarse_rows.groupBy("d1", "d2", "core").agg(F.max("times").alias("times")))
     repeated = met.groupBy("core").agg(F.min("d1").alias("low"), F.max("d1").alias("high"), F.max("times").alias("times")).where("low <> high OR times > 1").select("core")
     wanted = met.join(repeated, "core").groupBy("d1", "d2").agg(F.collect_list("core").alias("cores"))
     copies = cut(keyed.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one")))
-    wanted = cut(wanted.join(copies.select("d1", "d2", "one"), ["d1", "d2"]))
+    wanted = scratch.table(wanted.join(copies.select("d1", "d2", "one"), ["d1", "d2"]))
     few = wanted.count() <= BROADCAST_IDS
     ids = wanted.select("d1", "d2", "one")
     one_each = long_texts.join(F.broadcast(ids) if few else ids, ["d1", "d2"]).where(F.col("doc_id").eqNullSafe(F.col("one"))).select("d1", "d2", "text")
-    texts = cut(one_each.join(wanted.select("d1", "d2", "cores"), ["d1", "d2"]))
+    texts = scratch.table(one_each.join(wanted.select("d1", "d2", "cores"), ["d1", "d2"]))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,9 +178,9 @@ def repeated_strings(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((np.full(len(r.kept), i), r.kept, r.core[r.kept], r.cover[r.kept]))
             yield _rows(batch, out, ("k", "core", "cover"))
 
-    run_rows = cut(texts.mapInArrow(runs, "d1 bigint, d2 bigint, k int, core bigint, cover bigint"))
+    run_rows = scratch.table(texts.mapInArrow(runs, "d1 bigint, d2 bigint, k int, core bigint, cover bigint"))
     place = F.struct("d1", "d2", "k")
-    covers = cut(run_rows.groupBy("core", "cover").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("k").alias("k0"), F.max("k").alias("k1")))
+    covers = scratch.table(run_rows.groupBy("core", "cover").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("k").alias("k0"), F.max("k").alias("k1")))
     # a text that is there twice gives its rows once or twice; either way its place is one
     covers = covers.withColumn("twice", (F.col("low") != F.col("high")) | (F.col("k0") != F.col("k1")))
     several = covers.groupBy("core").agg(F.count("*").alias("covers")).where("covers > 1").select("core")
@@ -194,7 +199,7 @@ def repeated_strings(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     pure = texts.select("d1", "d2", "text")
     listed = ends.groupBy("d1", "d2").agg(F.collect_set("k").alias("ks"))
-    window_rows = cut(pure.join(listed, ["d1", "d2"]).mapInArrow(windows, "d1 bigint, d2 bigint, s int, core bigint, h bigint"))
+    window_rows = scratch.table(pure.join(listed, ["d1", "d2"]).mapInArrow(windows, "d1 bigint, d2 bigint, s int, core bigint, h bigint"))
     twice = window_rows.groupBy("core", "h").agg(F.min(F.struct("d1", "s")).alias("low"), F.max(F.struct("d1", "s")).alias("high")).where("low <> high").select("core", "h")
     singles = window_rows.join(twice, ["core", "h"]).select("d1", "d2", "s")
     decided = whole.groupBy("d1", "d2").agg(F.collect_set("k").alias("ks")).join(singles.groupBy("d1", "d2").agg(F.collect_set("s").alias("ss")), ["d1", "d2"], "full")
@@ -210,7 +215,7 @@ def repeated_strings(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((d1, d2, gone, spans, hashlib.sha256(rest).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["d1", "d2", "gone", "spans", "rest"])
 
-    results = pure.join(decided, ["d1", "d2"]).mapInArrow(cleaned, "d1 bigint, d2 bigint, gone bigint, spans bigint, rest string").dropDuplicates(["d1", "d2"])
+    results = cut(pure.join(decided, ["d1", "d2"]).mapInArrow(cleaned, "d1 bigint, d2 bigint, gone bigint, spans bigint, rest string").dropDuplicates(["d1", "d2"]))
     facts = copies.select("d1", "d2", "copies").join(results, ["d1", "d2"], "left")
     own = keyed.select("doc_id", "d1", "d2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
