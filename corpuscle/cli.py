@@ -12,6 +12,7 @@ from corpuscle.functions import render
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="corpuscle")
     p.add_argument("--project-root", default=".")
+    p.add_argument("--json", action="store_true", help="valid JSON within the output budget instead of text")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("summary")
     s = sub.add_parser("search")
@@ -34,7 +35,6 @@ def parser() -> argparse.ArgumentParser:
     g = sub.add_parser("signals")
     g.add_argument("section", nargs="?", default="top")
     g.add_argument("--include-tests", action="store_true")
-    g.add_argument("--json", action="store_true")
     b = sub.add_parser("backend")
     b.add_argument("action", choices=("status", "schema", "query"))
     b.add_argument("text", nargs="?")
@@ -90,7 +90,8 @@ def main(argv: list[str] | None = None) -> int:
         except ValueError as error:
             print(error, file=sys.stderr)
             return 2
-    print(render.json_within(json.loads(json.dumps(out, default=str))))
+    plain = json.loads(json.dumps(out, default=str))
+    print(render.json_within(plain) if args.json else render.text_within("\n".join(render.document(plain, args.command))))
     return 0 if out else 1
 
 

@@ -137,3 +137,34 @@ def outline(files: list[str], most: int = 400) -> list[str]:
         listed = ", ".join(names)
         out.append(f"{folder or '.'}/ ({len(names)} files)" if len(listed.encode()) > most else f"{folder or '.'}/ {listed}")
     return out
+
+
+def document(value: Any, title: str = "", level: int = 1) -> list[str]:
+    """An answer as Markdown lines: headings for parts, one line a row, empty parts left out."""
+    lines = [f"{'#' * level} {title}"] if title else []
+    if isinstance(value, dict) and any(isinstance(v, (dict, list)) for v in value.values()):
+        for k, v in value.items():
+            if isinstance(v, (dict, list)):
+                if v:
+                    lines += ["", *document(v, str(k).replace("_", " "), level + bool(title))]
+            elif v not in (None, ""):
+                lines.append(f"{k}: {v}")
+    elif isinstance(value, list):
+        lines += [f"- {row_text(v)}" for v in value]
+    elif isinstance(value, dict):
+        lines += [f"- {k}: {v}" for k, v in value.items()]
+    else:
+        lines.append(str(value))
+    return lines
+
+
+def row_text(row: Any) -> str:
+    """A row on one line: where it is first, then what is known of it."""
+    if not isinstance(row, dict):
+        return str(row)
+    place = row.get("path") or row.get("file") or row.get("file_path") or row.get("id") or ""
+    line = row.get("line") or row.get("line_start")
+    head = f"{place}:{line}" if place and line else str(place)
+    rest = {k: v for k, v in row.items() if k not in ("path", "file", "file_path", "id", "line", "line_start") and v not in (None, "", [])}
+    tail = ", ".join(f"{k}={score(v) if isinstance(v, float) else ' | '.join(map(str, v)) if isinstance(v, list) else v}" for k, v in rest.items())
+    return f"{head} {tail}".strip()

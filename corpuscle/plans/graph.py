@@ -176,3 +176,14 @@ def cosine_neighbours(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     q = vectors.where("id = 0").first().vector
     return graph.cosine(vectors, q).where("score >= 0.5").withColumn("score", F.round("score", 6))
+
+
+@query("owning_boundary", """WITH p AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*/(.*)$', 1) AS path FROM pages), b AS (SELECT unnest(['', 'en', 'fr', 'fr/1', 'de/2']) AS boundary),
+  j AS (SELECT path, boundary, row_number() OVER (PARTITION BY path ORDER BY length(boundary) DESC) AS r FROM p JOIN b ON boundary = '' OR path = boundary OR starts_with(path, boundary || '/')) SELECT path, boundary FROM j WHERE r = 1""")
+def owning_boundary(spark, sf_dir):
+    """The deepest of some directories that holds each page."""
+    from corpuscle.functions import paths
+
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]*/(.*)$", 1).alias("path")).distinct()
+    boundaries = spark.createDataFrame([(b,) for b in ("", "en", "fr", "fr/1", "de/2")], "boundary string")
+    return graph.owning_boundary(pages, boundaries, paths.ancestors(F.col("path")))

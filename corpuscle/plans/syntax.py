@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuscle.operators import facts, imports, search
+from corpuscle.operators import facts, graph, imports, inspect_entries, match, search, surfaces
 from corpuscle.plans.registry import query
 
 #: A tree of Python and TypeScript with nested scopes, relative imports, aliases and re-exports.
@@ -101,3 +101,64 @@ def member_of(spark, sf_dir):
 def variables(spark, sf_dir):
     """Assigned names, destructuring opened in Python; __all__ is left out."""
     return facts.facts(tree(spark)).where("kind = 'variable' AND name <> '__all__'").select("name", F.col("detail").alias("scope")).distinct()
+
+
+def _graph(spark):
+    files, rows, pairs = _resolved(spark)
+    return rows, pairs, *imports.nodes_and_edges(files.select("path", search.line_count(F.col("text")).alias("n_lines")), rows, pairs)
+
+
+@query("likely_entries", """SELECT * FROM (VALUES ('main.py', 110, 'implementation surface'), ('web/index.ts', 129, 'package surface'), ('pkg/__init__.py', 47, 'package surface'),
+      ('pkg/core.py', 3, 'high-centrality source'), ('pkg/util.py', 3, 'high-centrality source'), ('web/area.ts', 2, 'high-centrality source'), ('web/shapes.ts', 2, 'high-centrality source'), ('pkg/broken.py', 1, 'source file')) AS t(file, score, role)""")
+def likely_entries(spark, sf_dir):
+    """Where to begin reading the tree."""
+    _, _, nodes, edges = _graph(spark)
+    return inspect_entries.likely_entries(nodes, edges)
+
+
+@query("node_tags", """SELECT * FROM (VALUES ('README.md','document','docs,entry-documentation,markdown'),('main.py','file','code,entry-candidate,python'),('web/index.ts','file','code,entry-candidate,typescript')) AS t(file_path, type, tags)""")
+def node_tags(spark, sf_dir):
+    """Type and tags of some files."""
+    _, _, nodes, _ = _graph(spark)
+    return nodes.where("file_path IN ('README.md', 'main.py', 'web/index.ts') AND line_start IS NULL").select("file_path", "type", F.array_join("tags", ",").alias("tags"))
+
+
+@query("graph_search", "SELECT * FROM (VALUES ('function:web/area.ts:multiply', 108), ('function:web/area.ts:area', 108), ('file:web/area.ts', 108)) AS t(id, score)")
+def graph_search(spark, sf_dir):
+    """Nodes that hold a phrase themselves or by an edge."""
+    _, _, nodes, edges = _graph(spark)
+    return graph.search_nodes(nodes, edges, "multiply").select("id", "score")
+
+
+@query("pattern_match", "SELECT * FROM (VALUES ('pkg/util.py', 4, 'helper(x)'), ('pkg/util.py', 12, 'helper(3)')) AS t(path, line, text)")
+def pattern_match(spark, sf_dir):
+    """Places of a call pattern with a metavariable."""
+    return match.matches(tree(spark), "helper($A)", "python").select("path", "line", "text")
+
+
+@query("enclosing_definitions", "SELECT * FROM (VALUES ('pkg/util.py','other',1::BIGINT),('pkg/util.py','helper',1::BIGINT),('pkg/core.py','inner',1::BIGINT)) AS t(path, name, matches)")
+def enclosing_definitions(spark, sf_dir):
+    """Text hits counted by the definition that holds them."""
+    hits = search.literal_matches(tree(spark), "helper(", per_file=10)
+    return surfaces.enclosing_definitions(hits, facts.facts(tree(spark)))
+
+
+@query("related_sections", "SELECT * FROM (VALUES ('in','file:web/area.ts'),('calls','function:web/area.ts:multiply')) AS t(label, other)")
+def related_sections(spark, sf_dir):
+    """A node's edges, worded from its side."""
+    _, _, nodes, edges = _graph(spark)
+    return surfaces.related_sections(edges, nodes, "function:web/area.ts:area").select("label", "other")
+
+
+@query("role_names", "SELECT * FROM (VALUES ('runner','Runners'),('shapes','shapeOf'),('shapes','makeShape')) AS t(label, name)")
+def role_names(spark, sf_dir):
+    """Names that match a label: the same but for a plural, else the closest."""
+    rows = [("runner", "Runners"), ("runner", "RunnerFactory"), ("shapes", "shapeOf"), ("shapes", "makeShape"), ("shapes", "makeShapeNow"), ("shapes", "_shape"), ("none", "other")]
+    return surfaces.role_names(spark.createDataFrame(rows, "label string, name string"))
+
+
+@query("unique_symbols", "SELECT * FROM (VALUES ('a','x','m/a.py'),('b','m.c.b','m/c.py')) AS t(name, qualified, path)")
+def unique_symbols(spark, sf_dir):
+    """Names that mean one symbol."""
+    symbols = spark.createDataFrame([("a", "m/a.py"), ("b", "m/b.py"), ("b", "m/c.py"), ("c", "p.py"), ("c", "q.py")], "name string, path string")
+    return surfaces.unique_symbols(symbols, spark.createDataFrame([("a", "x"), ("b", "m.c.b"), ("c", "z"), ("d", "d")], "name string, qualified string"))

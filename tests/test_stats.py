@@ -62,3 +62,8 @@ def test_formats():
     assert [render.fixed(x) for x in (1.005, 2.675, 0.125)] == [1.0, 2.67, 0.13]
     text = render.text_within("\n".join(f"line {i}" for i in range(9000)))
     assert len(text.encode()) <= render.MOST_BYTES and "more lines" in text
+
+
+def test_documents():
+    out = render.document({"rows": [{"path": "a.py", "line": 3, "score": 0.5, "note": None}], "none": [], "n": 2}, "search")
+    assert out == ["# search", "", "## rows", "- a.py:3 score=0.5", "n: 2"]
