@@ -35,7 +35,7 @@ from corpuscle.llm.labelled import held_out, sample
 PER_CLASS = 6000
 MAX_TERMS = 2000
 #: Letters of the stems that are learned beside whole words; a term that ends in * is a stem.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: A word is a term if chance explains its rows with a probability of at most exp(-SURPRISE).
 SURPRISE = 15
 #: Words on each side of a hit that its context is judged by.
@@ -51,9 +51,9 @@ OPEN, CLOSE = "\"“„«‘'", "\"”“»’'"
 LEET = str.maketrans("013457@$", "oieastas")
 
 WORD = re.compile(r"\w+(?:[@$*]+\w+)*")
-COLUMNS = ("exact", "fuzzy", "quoted", "weight", "density")
+COLUMNS = ("exact", "fuzzy", "quoted", "weight", "density", "rate")
 #: Weights of COLUMNS and, last, the constant, where there are too few labels.
-PRESET = (1.5, 0.6, -0.3, 0.6, 0.5, -3.0)
+PRESET = (1.5, 0.6, -0.3, 0.6, 0.5, 0.1, -3.0)
 
 
 def learn_lexicon(train: DataFrame, max_terms: int = MAX_TERMS) -> list[tuple[str, float]]:
@@ -124,7 +124,7 @@ class Scorer:
             fuzzy += not is_exact
             weight = max(weight, w)
             density = max(density, sum(1 for j in places[n : n + 2 * WINDOW] if j <= i + 2 * WINDOW))
-        return math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), weight, math.log1p(density)
+        return math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), weight, math.log1p(density), math.log1p(1000 * exact / len(words))
 
     @staticmethod
     def is_quoted(text: str, words: list[str], spans: list[tuple[int, int]], i: int) -> bool:
