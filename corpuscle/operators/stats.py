@@ -44,7 +44,7 @@ def bins(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     extent = extent.where("_n > 0").withColumn("_w", F.when(F.col("_lo") == F.col("_hi"), 1.0).when(F.col("_whole"), F.ceil(span / wanted).cast("double")).otherwise(span / wanted))
     extent = extent.withColumn("_k", F.when(F.col("_lo") == F.col("_hi"), 1).when(F.col("_whole"), F.ceil(span / F.col("_w"))).otherwise(wanted).cast("int"))
     number = F.least(F.col("_k") - 1, F.floor((F.col("_v") - F.col("_lo")) / F.col("_w"))).cast("int")
-    paired = rows.join(F.broadcast(extent), [*keys]) if keys else rows.crossJoin(F.broadcast(extent))  # one row for each group
+    paired = rows.join(extent, [*keys]) if keys else rows.crossJoin(F.broadcast(extent))  # one row for each group
     counts = paired.withColumn("bin", number).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     frame = extent.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     low = F.col("_lo") + F.col("bin") * F.col("_w")
