@@ -35,3 +35,11 @@ def test_edges(spark):
     assert len(got) == len(odd) and got[1].text == got[2].text == got[3].text == "" and got[4].text == "plain é text"
     assert all(r.n_chars == len(r.text) for r in got.values()) and got[None].text == "deep" and got[7].n_chars == 2 * 20000 - 1
     assert html.extract_pages(df.limit(0)).count() == 0
+
+
+def test_text_after_broken_declarations_stays():
+    for token in ("<![LOG[ x ]]>", "<![ x>", "<![>", "<![endif]-->", "<![if x>", "<![cdata[ x>"):
+        got = html.extract(f"<article><p>{LONG}</p>{token}<p>two</p><p>{LONG}</p></article>")
+        assert got.startswith(LONG.strip()) and got.endswith(LONG.strip()) and "two" in got, token
+    assert html.extract("<p>one</p><![LOG[ x ]]><p>two</p>") == "one\ntwo"
+    assert html.extract("<p>one</p><![ never closed").startswith("one")
