@@ -60,8 +60,7 @@ class Engine:
     def resolved(self) -> DataFrame:
         def make() -> DataFrame:
             some = self.files.where(F.col("path").rlike(r"(^|/)(ts|js)config[^/]*\.json$|(^|/)config/[^/]*\.json$"))
-            configs = {r.path: r.text for r in some.limit(10_000).collect()}
-            both = imports.python_imports(self.facts, self.inventory).unionByName(imports.script_imports(self.facts, self.inventory, configs))
+            both = imports.python_imports(self.facts, self.inventory).unionByName(imports.script_imports(self.facts, self.inventory, some))
             return both
 
         return self._keep("resolved", make)

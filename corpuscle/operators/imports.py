@@ -58,52 +58,61 @@ def python_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
     return best.select(F.col("path").alias("source"), "b.target", "name").where("source <> target").distinct()
 
 
-def aliases(configs: dict[str, str]) -> list[tuple[str, str, str]]:
-    """(directory of the config, pattern, replacement from the root) of the ``paths`` of tsconfig texts by path.
+def parsed_config(path: str, text: str | None) -> tuple[str | None, list[tuple[str, str]]]:
+    """(the config that it rests on as written from the root, or None; (pattern, replacement from the root) of its own ``paths``) of a tsconfig.
 
-    Comments and trailing commas are allowed; ``extends`` of a relative path is followed.
+    Comments and trailing commas are allowed; a config with ``paths`` rests on no other.
     """
-
-    def load(path: str, seen: frozenset) -> tuple[str, dict]:
-        if path in seen or path not in configs:
-            return posixpath.dirname(path), {}
-        text = re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/', lambda m: m[1] or "", configs[path])
-        try:
-            own = json.loads(re.sub(r",(\s*[}\]])", r"\1", text))
-        except ValueError:
-            return posixpath.dirname(path), {}
-        options = own.get("compilerOptions") or {}
-        if "paths" in options or not isinstance(own.get("extends"), str):
-            return posixpath.normpath(posixpath.join(posixpath.dirname(path), options.get("baseUrl") or ".")), options.get("paths") or {}
-        other = posixpath.normpath(posixpath.join(posixpath.dirname(path), own["extends"]))
-        return load(other if other in configs else other + ".json", seen | {path})
-
-    out = []
-    for path in sorted(configs):
-        if posixpath.basename(path) in ("tsconfig.json", "jsconfig.json"):
-            base, table = load(path, frozenset())
-            out += [(posixpath.dirname(path), pattern, posixpath.normpath(posixpath.join(base, target))) for pattern, targets in table.items() for target in targets]
-    return out
-
-
-def script_imports(facts: DataFrame, files: DataFrame, configs: dict[str, str] | None = None) -> DataFrame:
+    plain = re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/', lambda m: m[1] or "", text or "")
+    try:
+        own = json.loads(re.sub(r",(\s*[}\]])", r"\1", plain))
+    except ValueError:
+        return None, []
+    options = own.get("compilerOptions") or {}
+    if "paths" in options or not isinstance(own.get("extends"), str):
+        base = posixpath.normpath(posixpath.join(posixpath.dirname(path), options.get("baseUrl") or "."))
+        return None, [(pattern, posixpath.normpath(posixpath.join(base, target))) for pattern, targets in (options.get("paths") or {}).items() for target in targets]
+    return posixpath.normpath(posixpath.join(posixpath.dirname(path), own["extends"])), []
+
+
+def aliases(configs: DataFrame) -> DataFrame:
+    """(directory, table): of each directory whose configs have ``paths``, the (pattern, replacement) in order; ``configs``: path, text.
+
+    Configs are parsed in executors. ``extends`` of a relative path is followed, a step of all
+    chains in each round; a ring ends without ``paths``.
+    """
+    parse = F.udf(parsed_config, "struct<rests: string, table: array<struct<pattern: string, target: string>>>")
+    each = configs.select("path", parse("path", "text").alias("c")).select("path", "c.rests", "c.table").persist()
+    named = paths.basename(F.col("path")).isin("tsconfig.json", "jsconfig.json")
+    at = each.where(named).select(F.col("path").alias("config"), "rests", "table", F.array("path").alias("seen"))
+    ends = at.where("rests IS NULL")
+    at = at.where("rests IS NOT NULL")
+    while not at.isEmpty():
+        tries = at.select("config", "seen", F.posexplode(F.array(F.col("rests"), F.concat("rests", F.lit(".json")))).alias("no", "path")).join(each, "path")
+        first = tries.groupBy("config", "seen").agg(F.min_by(F.struct("path", "rests", "table"), "no").alias("f")).where(~F.array_contains("seen", F.col("f.path")))
+        step = first.select("config", "f.rests", "f.table", F.concat("seen", F.array("f.path")).alias("seen")).persist()
+        ends, at = ends.unionByName(step.where("rests IS NULL")), step.where("rests IS NOT NULL")
+    rows = ends.where("size(table) > 0").groupBy(paths.dirname(F.col("config")).alias("directory")).agg(F.sort_array(F.collect_list(F.struct("config", "table"))).alias("t"))
+    return rows.select("directory", F.flatten("t.table").alias("table"))
+
+
+def script_imports(facts: DataFrame, files: DataFrame, configs: DataFrame | dict[str, str] | None = None) -> DataFrame:
     """(source, target, name): local files that script imports and re-exports mean.
 
     Relative specifiers are normalised; others go through the nearest config's aliases. The
     first candidate that exists wins: as written, with the suffixes it may stand for, with
-    guessed suffixes, as a folder's index.
+    guessed suffixes, as a folder's index. ``configs``: path, text, or texts by path.
     """
-    table = aliases(configs or {})
 
     @F.udf("array<string>")
-    def candidates(path: str, specifier: str) -> list[str]:
+    def candidates(path: str, specifier: str, table: list) -> list[str]:
         if specifier.startswith("."):
             bases = [posixpath.normpath(posixpath.join(posixpath.dirname(path), specifier))]
         else:
-            bases, near = [], max((d for d, _, _ in table if not d or path.startswith(d + "/")), key=len, default=None)
-            for directory, pattern, target in sorted(table, key=lambda x: -len(x[1])):
+            bases = []
+            for pattern, target in sorted(table or (), key=lambda x: -len(x[0])):
                 head, star, tail = pattern.partition("*")
-                if directory == near and (specifier == pattern if not star else specifier.startswith(head) and specifier.endswith(tail)):
+                if specifier == pattern if not star else specifier.startswith(head) and specifier.endswith(tail):
                     bases.append(target.replace("*", specifier[len(head) : len(specifier) - len(tail)]) if star else target)
         out = []
         for base in bases:
@@ -112,12 +121,22 @@ def script_imports(facts: DataFrame, files: DataFrame, configs: dict[str, str] |
         return out
 
     rows = facts.where("kind IN ('import', 'reexport')").where(F.lower(paths.suffix(F.col("path"))).isin(*fixed.SCRIPT_SUFFIXES))
-    rows = rows.select("path", F.col("identifier").alias("specifier")).distinct().select("path", "specifier", F.posexplode(candidates("path", "specifier")).alias("rank", "target"))
+    rows = rows.select("path", F.col("identifier").alias("specifier")).distinct()
+    if isinstance(configs, dict):
+        configs = facts.sparkSession.createDataFrame(list(configs.items()), "path string, text string")
+    if configs is None:
+        rows = rows.withColumn("table", F.lit(None).cast("array<struct<pattern: string, target: string>>"))
+    else:
+        table = aliases(configs)
+        above = rows.where(~F.startswith("specifier", F.lit("."))).select("path").distinct().select("path", F.explode(F.array_distinct(F.concat(paths.ancestors(F.col("path")), F.array(F.lit(""))))).alias("directory"))
+        near = above.join(table.select("directory"), "directory").groupBy("path").agg(F.max_by("directory", F.length("directory")).alias("directory"))
+        rows = rows.join(near, "path", "left").join(table, "directory", "left").drop("directory")
+    rows = rows.select("path", "specifier", F.posexplode(candidates("path", "specifier", "table")).alias("rank", "target"))
     best = rows.join(files.select(F.col("path").alias("target")), "target").groupBy("path", "specifier").agg(F.min(F.struct("rank", "target")).alias("b"))
     return best.select(F.col("path").alias("source"), "b.target", F.col("specifier").alias("name")).where("source <> target").distinct()
 
 
-def import_map(facts: DataFrame, files: DataFrame, configs: dict[str, str] | None = None) -> DataFrame:
+def import_map(facts: DataFrame, files: DataFrame, configs: DataFrame | dict[str, str] | None = None) -> DataFrame:
     """(source, target): all resolved imports of the inventory."""
     both = python_imports(facts, files).select("source", "target").unionByName(script_imports(facts, files, configs).select("source", "target"))
     return both.distinct()

@@ -92,3 +92,19 @@ def test_engine_views(engine):
         engine.query("DROP TABLE files")
     changed = engine.files.withColumn("text", F.when(F.col("path") == "pkg/util.py", "x = 1").otherwise(F.col("text")))
     assert ("pkg/core.py", 1) in {(r["node"], r["hop"]) for r in engine.changes(changed)}
+
+
+def test_every_config_counts(spark):
+    rows = []
+    for i in range(10_050):
+        rows += [(f"d{i}/tsconfig.json", '{"extends": "./base.config"}' if i < 5 else f'{{"compilerOptions": {{"paths": {{"@x": ["./x.ts"]}}}}}} // {i}'), (f"d{i}/a.ts", 'import { x } from "@x";'), (f"d{i}/x.ts", "export const x = 1;")]
+    rows += [(f"d{i}/tsconfig.base.json", "{}") for i in range(5)] + [("d0/base.config.json", "{}"), ("ring/tsconfig.json", '{"extends": "./jsconfig"}'), ("ring/jsconfig.json", '{"extends": "./tsconfig.json"}'), ("ring/a.ts", 'import "@x";')]
+    with Engine(spark.createDataFrame(rows, "path string, text string")) as engine:
+        assert {(r.source, r.target) for r in engine.resolved.collect()} == {(f"d{i}/a.ts", f"d{i}/x.ts") for i in range(5, 10_050)}
+
+
+def test_nearest_config_and_what_it_rests_on(spark):
+    rows = [("tsconfig.json", '{"compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["./*"]}}}'), ("app/tsconfig.json", '{"extends": "./config/mid"}'), ("app/config/mid.json", '{"extends": "../../tsconfig.base.json"}'), ("tsconfig.base.json", '{"compilerOptions": {"paths": {"@/*": ["lib/*"],}}}')]
+    rows += [("app/x/a.ts", 'import "@/u";'), ("b.ts", 'import "@/u";'), ("src/u.ts", ""), ("lib/u.ts", ""), ("app/lib/u.ts", "")]
+    with Engine(spark.createDataFrame(rows, "path string, text string")) as engine:
+        assert {(r.source, r.target) for r in engine.resolved.collect()} == {("app/x/a.ts", "lib/u.ts"), ("b.ts", "src/u.ts")}
