@@ -13,7 +13,7 @@ benchmark of more than about ``BROADCAST_SEEDS`` seeds is worked off in parts of
 size, each with its own pass over the texts.
 
 Defined cases: null texts are empty; items of fewer words than the widest mask are
-indexed whole and compared exactly; items without words match nothing; an empty
+indexed whole too, besides by the masks that fit (under eight words, whole only); items without words match nothing; an empty
 benchmark leaves all documents; a null doc_id or item_id is kept as null and works as
 an id; repeated rows are judged each; an empty table gives an empty result; other
 columns are ignored.
@@ -70,7 +70,6 @@ class Index:
             if 0 < len(h) < widest:  # a mask of its own: all words
                 _, s = seeds(text, h, "1" * len(h), len(MASKS) + len(h))
                 rows.append((s, np.full(1, item), np.zeros(1, dtype=np.int64)))
-                continue
             for number, mask in enumerate(MASKS):
                 at, s = seeds(text, h, mask, number)
                 rows.append((s, np.full(len(at), item), at))

@@ -72,3 +72,12 @@ def test_edges(spark):
     assert {(r.doc_id, r.contaminated) for r in deco.judge(docs, bench).collect()} == {(1, False), (None, True), (3, False), (4, True)}
     assert not any(r.contaminated for r in deco.judge(docs, bench.limit(0)).collect())
     assert deco.judge(docs.limit(0), bench).count() == 0
+
+
+def test_short_items_stand_a_substitution(spark):
+    eight, ten, seven = ([f"{c}{k}" for k in range(n)] for c, n in (("e", 8), ("t", 10), ("s", 7)))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((eight, ten, seven))], "item_id long, text string")
+    swap = lambda x, k: ["before", *x[:k], "other", *x[k + 1 :], "after"]
+    docs = [swap(eight, 3), swap(ten, 2), swap(ten, 5), eight, ten, seven, prose(30)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    assert [r.contaminated for r in deco.judge(df, bench).orderBy("doc_id").collect()] == [True] * 6 + [False]
