@@ -1,8 +1,8 @@
 r"""Chat formatting: one training string per conversation, with a loss mask.
 
 Everything here is a Spark expression. A conversation is collected as one sorted
-array of (turn, role, text); neighbours of the same role share one block; the
-blocks are concatenated. Template, control strings in angle brackets:
+array of (turn, role, text); runs of one role are merged into one block each, by array
+functions over slices of it; the blocks are concatenated. Template, control strings in angle brackets:
 
     <|turn|>ROLE<|text|>TEXT<|next|>TEXT ...<|end|>
 
@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 CODES = ((TURN, "\\t"), (TEXT, "\\x"), (NEXT, "\\n"), (END, "\\e"))
 
+#: Lengths that are summed in one group.
+GROUP = 256
+
 
 def escape(text: Column) -> Column:
     """Text without control strings; ``unescape`` gives back the same text."""
@@ -53,24 +56,56 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
-    def piece(x: Column, i: Column) -> Column:
-        before = F.get(F.col("turns"), i - 1)
-        merged = (i > 0) & (before["role"] == x["role"])
-        head = F.when(merged, F.lit(NEXT)).otherwise(F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(TURN), escape(x["role"]), F.lit(TEXT)))
-        return F.struct(head.alias("head"), escape(x["text"]).alias("body"), (x["role"] == "assistant").alias("loss"))
+    at = F.sequence(F.lit(1), F.size("turns"))
+    firsts = F.filter(at, lambda i: (i == 1) | (F.get("turns", i - 2)["role"] != F.get("turns", i - 1)["role"]))
+
+    def block(first: Column, k: Column) -> Column:
+        """One run of turns of a role: what stands before each text, and the text."""
+        own = F.slice("turns", first, F.coalesce(F.get("firsts", k + 1), F.size("turns") + 1) - first)
+        start = F.concat(F.when(k > 0, F.lit(END)).otherwise(F.lit("")), F.lit(TURN), escape(own[0]["role"]), F.lit(TEXT))
+        return F.transform(own, lambda t, j: F.struct(F.when(j > 0, F.lit(NEXT)).otherwise(start).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")))
 
-    pieces = chats.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    runs = F.flatten(F.transform("pieces", lambda p: F.array(
+    blocks = chats.withColumn("firsts", firsts).select("conv_id", F.transform("firsts", block).alias("blocks"))
+    merged = F.transform("blocks", lambda b: F.array_join(F.transform(b, lambda p: F.concat(p["head"], p["body"])), ""))
+    runs = F.flatten(F.transform(F.flatten("blocks"), lambda p: F.array(
         F.struct(F.length(p["head"]).alias("n_chars"), F.lit(False).alias("loss")),
         F.struct(F.length(p["body"]).alias("n_chars"), p["loss"].alias("loss")),
     )))
-    return pieces.select(
+    return blocks.select(
         "conv_id",
-        F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), ""), F.lit(END)).alias("formatted"),
+        F.concat(F.array_join(merged, ""), F.lit(END)).alias("formatted"),
         F.concat(runs, F.array(F.struct(F.lit(len(END)).alias("n_chars"), F.lit(False).alias("loss")))).alias("loss_runs"),
     )
 
 
+def starts(lengths: Column) -> Column:
+    """For each of an array of lengths the sum of those before it; sums run within groups, then over groups."""
+    none = F.array().cast("array<long>")
+
+    def before(xs: Column) -> Column:
+        """As ``starts``, and the sum of all as last element."""
+        return F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    groups = F.when(F.size(lengths) > 0, F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(GROUP)), lambda i: before(F.slice(lengths, i, F.lit(GROUP)))))
+
+    def joined(g: Column) -> Column:
+        totals = before(F.transform(g, lambda x: F.element_at(x, -1)))
+        return F.flatten(F.zip_with(g, F.slice(totals, F.lit(1), F.size(g)), lambda xs, first: F.transform(F.slice(xs, F.lit(1), F.size(xs) - 1), lambda x: x + first)))
+
+    return F.coalesce(F.transform(F.array(groups), joined)[0], none)
+
+
+def loss_texts(formatted: DataFrame) -> DataFrame:
+    """``formatted`` with ``loss``: the runs under the loss mask, cut from the string and unescaped, in order."""
+    placed = formatted.withColumn("_starts", starts(F.transform("loss_runs", lambda r: r["n_chars"].cast("long"))))
+    runs = F.filter(F.zip_with("loss_runs", "_starts", lambda r, s: F.struct(r["loss"].alias("loss"), r["n_chars"].alias("n"), s.alias("at"))), lambda r: r["loss"])
+
+    def cut(code: Column) -> Column:  # four bytes a code point, so that a run is found without a search from the start
+        return F.transform(runs, lambda r: unescape(F.decode(F.substring(code, (r["at"] * 4 + 1).cast("int"), r["n"] * 4), "UTF-32")))
+
+    return placed.withColumn("loss", F.transform(F.array(F.encode("formatted", "UTF-32")), cut)[0]).drop("_starts")
+
+
 def parse_chats(formatted: DataFrame) -> DataFrame:
     """``formatted`` with ``turns``, the (role, text) array read back from the string."""
     blocks = F.slice(F.split("formatted", r"<\|end\|>", -1), 1, F.size(F.split("formatted", r"<\|end\|>", -1)) - 1)
@@ -84,10 +119,10 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
 
 
 def digests(parsed: DataFrame) -> DataFrame:
-    """Counts and hashes of what was read back, one row per conversation."""
+    """Counts and hashes of what was read back, one row per conversation: turns by the template, loss by the mask."""
     per_turn = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return parsed.select(
+    loss = F.array_join("loss", "")
+    return loss_texts(parsed).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(per_turn, 256).alias("turns_sha256"),

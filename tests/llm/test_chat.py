@@ -41,3 +41,21 @@ def test_neighbours_of_one_role_share_a_block(spark):
 
 def test_empty(spark):
     assert chat.digests(chat.parse_chats(chat.format_chats(spark.createDataFrame([], SCHEMA)))).count() == 0
+
+
+def test_loss_is_read_under_the_mask(spark):
+    df = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "one 🙂 <|end|>"), (1, 2, "assistant", "two")], SCHEMA)
+    formatted = chat.format_chats(df)
+    right = chat.loss_texts(formatted).first().loss
+    assert right == ["one 🙂 <|end|>", "two"]
+    turned = formatted.withColumn("loss_runs", chat.F.transform("loss_runs", lambda r: chat.F.struct(r["n_chars"].alias("n_chars"), (~r["loss"]).alias("loss"))))
+    assert "ask" in "".join(chat.loss_texts(turned).first().loss) and chat.digests(chat.parse_chats(turned)).first().loss_chars != 16
+
+
+def test_long_conversations_and_texts(spark):
+    rows = [(1, i, "assistant" if i % 3 else "user", f"turn {i} \\") for i in range(5000)] + [(2, 0, "assistant", "long é " * 300_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.conv_id: r for r in chat.digests(chat.parse_chats(chat.format_chats(df))).collect()}
+    loss = "".join(t for c, _, r, t in rows if c == 1 and r == "assistant")
+    assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (5000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert got[2].loss_chars == 7 * 300_000
