@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,6 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids up to which a table is broadcast rather than shuffled; a row of two numbers takes 40 to 80 bytes there.
+BROADCAST_ROWS = 1_000_000
+
+
+def within(table: DataFrame) -> DataFrame:
+    """``table``, written already, of rows of a few numbers, to be broadcast if its counted rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 class Scratch:
     """Tables in the shared folder, as Parquet, that go when the work that needs them is done.
 

@@ -1,38 +1,49 @@
 """Exact top-k search by a vector-approximation file.
 
-Each integer component is quantised to a cell of a per-block grid of ``2**BITS``
-levels. For a query the cells alone bound each inner product from above and below; the
-k-th largest lower bound shuts out most vectors. The others' exact vectors are read in
-the order of their upper bounds until the k-th result is at least the next bound: from
-there on nothing can enter the result (ties included, as reading goes on while the
-bound equals the k-th score).
+A first pass writes the cell file: blocks of up to ``ROWS_BLOCK`` vectors, each block
+with a grid of ``2**BITS`` cells a dimension and one byte a component; exact vectors are
+not in it. Searching scans cells alone. They bound each inner product from below and
+above; a row whose upper bound is under the k-th largest lower bound of its query is out.
+Exact vectors are then read of the rest only, in the order of their upper bounds: first
+the ``FIRST`` * k best, then those whose upper bound is at least the k-th score so far
+(ties included); nothing beyond can enter the result.
 
-Rows are searched where they lie, in blocks of bounded size; queries come in blocks of
-``QUERY_BLOCK``, so that what is broadcast has a bound of some MB at any input size.
-Each task returns k rows for a query; a window keeps the k best.
+Queries come in blocks of ``QUERY_BLOCK``, collected and broadcast one block at a time,
+some MB at any input size, and the broadcast goes when its block is done.
+
+Of rows with the same vector a block keeps those of the smallest ids, twice k (an id
+counts k times at most): no more can be among k results of ties by id, even without the
+query's own id.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component
 take no part, as query or candidate, nor do null ids; vectors whose length differs
 from the query's are no candidates of it; of repeated ids each row counts, but a
-query's own id never; ties go to the smaller id; fewer than k candidates give them
-all; other columns are ignored.
+query's own id never; query rows of one id with different vectors are queries of their
+own, equal ones are one; ties go to the smaller id; components of 2**40 or more count as
+non-finite, and a product beyond 64 bits as the last number of 64 bits; fewer than k candidates give them
+all; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 4
+from corpuscle.llm.cut import Scratch, cut, within
+
+BITS = 8
 ROWS_BLOCK = 4096
 QUERY_BLOCK = 8192
-OUT = "query_id bigint, vec_id bigint, score bigint"
+#: Rows of cells times queries that are bounded at once.
+TILE = 512
+FIRST = 4
+_CELLS = "d int, n int, ids binary, hashes binary, low binary, width binary, cells binary"
+_WIDE = "decimal(38,0)"
+_BOUNDS = "q int, vec_id bigint, hash bigint, lower double, upper double"
 
 
 def to_integers(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
@@ -41,83 +52,151 @@ def to_integers(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
     return embeddings.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-class Approximation:
-    """Cells of a block of vectors, and bounds of inner products from cells alone."""
+def smallest_of_equals(ids: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
+    """Rows to keep: of each hash the 2k smallest ids, an id k times at most."""
+    order = np.lexsort((ids, hashes))
+    i, h = ids[order], hashes[order]
+    at = np.arange(len(i))
+    new_pair = np.concatenate([[True], (i[1:] != i[:-1]) | (h[1:] != h[:-1])])
+    keep = at - np.maximum.accumulate(np.where(new_pair, at, 0)) < k
+    order, h = order[keep], h[keep]
+    at = np.arange(len(h))
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    return np.sort(order[at - np.maximum.accumulate(np.where(new, at, 0)) < 2 * k])
+
 
-    def __init__(self, x: np.ndarray, bits: int = BITS):
-        self.x = x
-        self.low = x.min(axis=0)
-        self.width = np.maximum(1, -(-(x.max(axis=0) - self.low + 1) // 2**bits))
-        self.cells = ((x - self.low) // self.width).astype(np.uint8)
-        self.middle = self.low + self.cells * self.width + (self.width - 1) / 2
+class Cells:
+    """A block of the cell file, and bounds of inner products from it."""
+
+    def __init__(self, low: np.ndarray, width: np.ndarray, cells: np.ndarray):
+        self.low, self.width, self.cells = low, width, cells
+
+    @staticmethod
+    def of(x: np.ndarray, bits: int = BITS) -> Cells:
+        low = x.min(axis=0)
+        width = np.maximum(1, -(-(x.max(axis=0) - low + 1) // 2**bits))
+        return Cells(low, width, ((x - low) // width).astype(np.uint8))
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds, (queries, rows)."""
-        centre = q.astype(float) @ self.middle.T
-        reach = (np.abs(q) * ((self.width - 1) / 2)).sum(axis=1)[:, None]
-        slack = 1e-9 * (np.abs(centre) + reach) + 1e-3  # what rounding can add
+        half = (self.width - 1) / 2
+        middle = self.low + self.cells * self.width.astype(float) + half
+        centre = q.astype(float) @ middle.T
+        reach = (np.abs(q) * half).sum(axis=1)[:, None]
+        slack = 1e-9 * (np.abs(q).astype(float) @ np.abs(middle).T + reach) + 1e-3  # what rounding can add
         return centre - reach - slack, centre + reach + slack
 
-    def search(self, q: np.ndarray, k: int, skip: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(rows, scores) that hold the k best of each query, ties of the last included; ``skip``: rows to leave out."""
-        lower, upper = self.bounds(q)
-        out = []
-        for i in range(len(q)):
-            low, up = lower[i], upper[i]
-            if len(skip[i]):
-                low[skip[i]] = up[skip[i]] = -np.inf
-            floor = np.partition(low, -k)[-k] if len(low) > k else -np.inf
-            rows = np.flatnonzero((up >= floor) & (up > -np.inf))
-            rows = rows[np.argsort(-up[rows], kind="stable")]
-            got, seen, kth = np.empty(0, dtype=np.int64), 0, -np.inf
-            while seen < len(rows) and (seen < k or up[rows[seen]] >= kth):
-                step = rows[seen : seen + max(4 * k, 64)]
-                got = np.concatenate([got, self.x[step] @ q[i]])
-                seen += len(step)
-                if len(got) >= k:
-                    kth = np.partition(got, -k)[-k]
-            keep = np.flatnonzero(got >= kth)
-            out.append((rows[keep], got[keep]))
-        return out
+
+def cell_file(vectors: DataFrame, k: int) -> DataFrame:
+    """Blocks of cells of ``vectors`` (vec_id, hash, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            ids, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            at, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            sizes, out = np.diff(at), []
+            for d in np.unique(sizes):
+                rows = np.flatnonzero(sizes == d)
+                rows = rows[smallest_of_equals(ids[rows], hashes[rows], k)]
+                for s in range(0, len(rows), ROWS_BLOCK):
+                    own = rows[s : s + ROWS_BLOCK]
+                    c = Cells.of(flat[at[own][:, None] + np.arange(d)])
+                    out.append((int(d), len(own), ids[own].tobytes(), hashes[own].tobytes(), c.low.tobytes(), c.width.tobytes(), c.cells.tobytes()))
+            kinds = (pa.int32(), pa.int32(), *(pa.binary(),) * 5)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["d", "n", "ids", "hashes", "low", "width", "cells"])
+
+    return vectors.mapInArrow(run, _CELLS)
+
+
+class Best:
+    """What a scan keeps of one query: its k largest lower bounds and the rows still possible."""
+
+    def __init__(self, k: int):
+        self.k, self.top, self.parts = k, np.empty(0), []
+
+    def add(self, lower: np.ndarray, upper: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> None:
+        top = np.concatenate([self.top, lower])
+        self.top = np.partition(top, -self.k)[-self.k :] if len(top) > self.k else top
+        keep = np.flatnonzero(upper >= self.floor())
+        if len(keep):
+            self.parts.append((ids[keep], hashes[keep], lower[keep], upper[keep]))
+        if sum(len(p[0]) for p in self.parts) > 8 * ROWS_BLOCK:
+            self.parts = [self.rows()]
+
+    def floor(self) -> float:
+        return float(self.top.min()) if len(self.top) >= self.k else -np.inf
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        ids, hashes, lower, upper = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
+        keep = np.flatnonzero(upper >= self.floor())
+        keep = keep[smallest_of_equals(ids[keep], hashes[keep], self.k)] if len(keep) else keep
+        return ids[keep], hashes[keep], lower[keep], upper[keep]
+
+
+def scan(cells: DataFrame, shared, k: int) -> DataFrame:
+    """(q, vec_id, hash, lower, upper): the rows that each task can't rule out for query number q."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, query_ids, offsets, values = shared.value
+        lengths = np.diff(offsets)
+        best: dict[int, Best] = {}
+        for batch in batches:
+            for d, n, ids, hashes, low, width, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                asked = np.flatnonzero(lengths == d)
+                ids, hashes, low, width = (np.frombuffer(x, dtype=np.int64) for x in (ids, hashes, low, width))
+                block = Cells(low, width, np.frombuffer(cells, dtype=np.uint8).reshape(n, d))
+                for s in range(0, len(asked), TILE):
+                    mine = asked[s : s + TILE]
+                    lower, upper = block.bounds(values[offsets[mine][:, None] + np.arange(d)])
+                    for j, q in enumerate(mine):
+                        others = ids != query_ids[q]
+                        best.setdefault(int(q), Best(k)).add(lower[j][others], upper[j][others], ids[others], hashes[others])
+        for q, b in best.items():
+            if b.parts:
+                ids, hashes, lower, upper = b.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), first + q, dtype=np.int32)), *map(pa.array, (ids, hashes, lower, upper))], ["q", "vec_id", "hash", "lower", "upper"])
+
+    return cells.mapInArrow(run, _BOUNDS)
+
+
+def scored(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, scratch: Scratch) -> DataFrame:
+    """``candidates`` (q, vec_id, hash, copy) with their exact scores; only their vectors are read."""
+    wanted = scratch.table(candidates.select("vec_id", "hash").distinct())
+    read = vectors.join(within(wanted), ["vec_id", "hash"], "left_semi").dropDuplicates(["vec_id", "hash"])
+    exact = F.aggregate(F.zip_with("v", "qv", lambda x, y: x.cast(_WIDE) * y.cast(_WIDE)), F.lit(0).cast(_WIDE), lambda a, x: (a + x).cast(_WIDE))
+    score = F.greatest(F.lit(-(2**63)).cast(_WIDE), F.least(F.lit(2**63 - 1).cast(_WIDE), exact)).cast("long")
+    return candidates.join(read, ["vec_id", "hash"]).join(queries.select("q", "qv"), "q").select("q", "vec_id", score.alias("score"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the k rows of largest inner product."""
     spark = vectors.sparkSession
-    queries = vectors.where(is_query)
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = []
-    for b in range(blocks):
-        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
-        rows = sorted((r.vec_id, tuple(r.v)) for r in mine.collect())  # about QUERY_BLOCK rows
-        shared = spark.sparkContext.broadcast(rows)
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            by_length: dict[int, list] = defaultdict(list)
-            for vec_id, v in shared.value:
-                by_length[len(v)].append((vec_id, v))
-            asked = {d: (np.array([a for a, _ in x], dtype=np.int64), np.array([v for _, v in x], dtype=np.int64)) for d, x in by_length.items()}
-            best: dict[tuple[int, int], list] = {}
-            for frame in frames:
-                sizes = frame["v"].map(len).to_numpy()
-                for d in np.unique(sizes):
-                    if int(d) not in asked:
-                        continue
-                    part = frame[sizes == d]
-                    ids, x = part["vec_id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.int64)
-                    for at in range(0, len(ids), ROWS_BLOCK):
-                        own, block = ids[at : at + ROWS_BLOCK], Approximation(x[at : at + ROWS_BLOCK])
-                        q_ids, q = asked[int(d)]
-                        for s in range(0, len(q), 512):
-                            skip = [np.flatnonzero(own == i) for i in q_ids[s : s + 512]]
-                            for j, (rows, scores) in enumerate(block.search(q[s : s + 512], k, skip)):
-                                pairs = best.get((int(d), s + j), []) + list(zip((-scores).tolist(), own[rows].tolist(), strict=True))
-                                best[int(d), s + j] = sorted(pairs)[:k]
-            found = [(int(asked[d][0][i]), vec_id, -score) for (d, i), pairs in best.items() for score, vec_id in pairs]
-            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-        parts.append(vectors.mapInPandas(run, OUT))
-    near = reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with Scratch(spark) as scratch:
+        vectors = scratch.table(vectors.select("vec_id", F.xxhash64("v").alias("hash"), "v"))
+        asked = scratch.table(vectors.where(is_query).select("vec_id", "v").distinct())
+        cells = scratch.table(cell_file(vectors, k))
+        blocks, first, results = max(1, -(-asked.count() // QUERY_BLOCK)), 0, None
+        for b in range(blocks):
+            mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b)
+            rows = sorted((r.vec_id, tuple(r.v)) for r in mine.collect())  # about QUERY_BLOCK rows
+            if not rows:
+                continue
+            offsets = np.concatenate([[0], np.cumsum([len(v) for _, v in rows])])
+            shared = spark.sparkContext.broadcast((first, np.array([i for i, _ in rows]), offsets, np.array([x for _, v in rows for x in v], dtype=np.int64)))
+            queries = spark.createDataFrame([(first + j, i, list(v)) for j, (i, v) in enumerate(rows)], "q int, query_id long, qv array<bigint>")
+            bounded = scratch.table(scan(cells, shared, k))
+            shared.destroy()
+            best, by_bound, by_score = (Window.partitionBy("q").orderBy(*o) for o in ((F.desc("lower"),), (F.desc("upper"), "vec_id"), (F.desc("score"), "vec_id")))
+            floors = bounded.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("q", F.col("lower").alias("floor"))
+            left = bounded.join(F.broadcast(floors), "q", "left").where("floor IS NULL OR upper >= floor")
+            left = scratch.table(left.select("q", "vec_id", "hash", "upper", F.row_number().over(by_bound).alias("r")))
+            early = scratch.table(scored(left.where(F.col("r") <= FIRST * k), vectors, queries, scratch))
+            kth = early.withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k).select("q", F.col("score").alias("kth"))
+            late = left.where(F.col("r") > FIRST * k).join(F.broadcast(kth), "q").where("upper >= kth")  # a query with more than FIRST * k rows has a k-th score
+            found = early.unionByName(scored(late, vectors, queries, scratch)).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+            done = scratch.table(found.join(F.broadcast(queries.select("q", "query_id")), "q").select("query_id", "rank", "vec_id", "score"))
+            results, first = done if results is None else results.unionByName(done), first + len(rows)
+        if results is None:
+            return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        return cut(results)

@@ -23,3 +23,21 @@ def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 20)
     assert {tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 10 == 0).collect()} == want
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_query_rows_of_one_id(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [0.5, 0.0]), (2, [0.0, 0.25]), (3, [0.5, 0.0])]
+    vectors = topk.to_integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [tuple(r) for r in topk.top_k(vectors, F.col("vec_id") == 100, 2).orderBy("query_id", "rank", "vec_id").collect()]
+    assert sorted(got) == sorted([(100, 1, 1, 2**19), (100, 2, 3, 2**19), (100, 1, 2, 2**18), (100, 2, 1, 0)])
+
+
+def test_many_equal_vectors_and_large_components(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(3000)] + [(5000 + i, [1e9, -1e11, 3.0]) for i in range(3)]
+    vectors = topk.to_integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {tuple(r) for r in topk.top_k(vectors.repartition(5), F.col("vec_id").isin(0, 2000, 5001), 4).collect()}
+    same = 1024 * 1024 * 14
+    want = {(0, r, r, same) for r in range(1, 5)} | {(2000, r, r - 1, same) for r in range(1, 5)}
+    far = -2 * 10**11 * 1024 * 1024 + 10**9 * 1024 * 1024 + 9 * 1024 * 1024
+    want |= {(5001, 1, 5000, 2**63 - 1), (5001, 2, 5002, 2**63 - 1)} | {(5001, r, r - 3, far) for r in (3, 4)}
+    assert got == want
