@@ -15,7 +15,7 @@ size, each with its own pass over the texts.
 Defined cases: null texts are empty; items of fewer words than the widest mask are
 indexed whole too, besides by the masks that fit (under eight words, whole only); items without words match nothing; an empty
 benchmark leaves all documents; a null doc_id or item_id is kept as null and works as
-an id; repeated rows are judged each; an empty table gives an empty result; other
+an id; rows that repeat an id are judged each by their own text; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import grams
 from corpuscle.llm.cut import cut
+from corpuscle.llm.rows import row_hash
 
 # The masks, 1 for a word that counts.
 MASKS = ("11101111", "1101100111", "110010110111", "1110110101")
@@ -133,9 +134,12 @@ class Finder:
                 likely = index.some[seed >> np.uint64(42)]
                 place, seed = place[likely], seed[likely]
                 low, high = np.searchsorted(index.seed, seed), np.searchsorted(index.seed, seed, side="right")
-                for i in np.flatnonzero(high > low):
-                    for j in range(low[i], high[i]):
-                        hits.setdefault(int(text[place[i]]), []).append((int(index.item[j]), int(place[i] - cuts[text[place[i]]] - index.at[j]), int(place[i] - cuts[text[place[i]]])))
+                i = np.repeat(np.arange(len(seed)), high - low)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[i]
+                owner = text[place[i]]
+                at_word = place[i] - cuts[owner]
+                for row, *hit in zip(owner.tolist(), index.item[j].tolist(), (at_word - index.at[j]).tolist(), at_word.tolist(), strict=True):
+                    hits.setdefault(row, []).append(tuple(hit))
             for i in range(end - first):
                 yield self._verified(hashes[cuts[i] : cuts[i + 1]], hits.get(i, []))
 
@@ -153,12 +157,12 @@ class Finder:
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, wrong: float = WRONG) -> DataFrame:
-    """(doc_id, item_id, first_word, end_word, equal_words): each verified stretch."""
+    """(doc_id, row, item_id, first_word, end_word, equal_words): each verified stretch; ``row`` is of ``row_hash``."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0
     spark = documents.sparkSession
     kinds = dict(documents.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, first_word int, end_word int, equal_words int"
+    schema = f"doc_id {kinds[0]}, row bigint, item_id {kinds[1]}, first_word int, end_word int, equal_words int"
     n_parts = max(1, -(-words * len(MASKS) // (4 * BROADCAST_SEEDS)))  # a word with its space has 4 characters or more
     parts = None
     for part in range(n_parts):
@@ -168,20 +172,23 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: int = LEAST,
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = Finder(Index(shared.value), least, wrong)
             for batch in batches:
-                rows = [(i, *hit) for i, found in enumerate(finder.find(batch.column(1))) for hit in found]
+                rows = [(i, *hit) for i, found in enumerate(finder.find(batch.column(2))) for hit in found]
                 take = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), pa.array([r[1] for r in rows], pa.int64() if kinds[1] == "bigint" else None), *(pa.array([r[k] for r in rows], pa.int32()) for k in (2, 3, 4))],
-                    ["doc_id", "item_id", "first_word", "end_word", "equal_words"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array([r[1] for r in rows], pa.int64() if kinds[1] == "bigint" else None), *(pa.array([r[k] for r in rows], pa.int32()) for k in (2, 3, 4))],
+                    ["doc_id", "row", "item_id", "first_word", "end_word", "equal_words"],
                 )
 
-        found = documents.select("doc_id", "text").mapInArrow(run, schema)
+        found = documents.select("doc_id", row_hash().alias("row"), "text").mapInArrow(run, schema)
         parts = found if parts is None else parts.unionByName(found)
     return parts
 
 
 def judge(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, contaminated, n_items, n_words) of every document id: verified stretches of benchmark items in it."""
-    hits = cut(contaminated(documents, benchmark)).groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.sum("equal_words").alias("n_words"))
-    rows = documents.select("doc_id").alias("d").join(hits.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return rows.select("doc_id", F.col("n_words").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"))
+    """(doc_id, contaminated, n_items, n_words) of every document: verified stretches of benchmark items in it."""
+    found = cut(contaminated(documents, benchmark).distinct())
+    hits = found.groupBy("doc_id", "row").agg(F.countDistinct("item_id").alias("n_items"), F.sum("equal_words").alias("n_words"))
+    rows = documents.select("doc_id", row_hash().alias("row"))
+    named = hits.select(F.struct("doc_id", "row").alias("_hit"), "n_items", "n_words")
+    joined = rows.join(named, (F.col("row") == F.col("_hit.row")) & F.col("doc_id").eqNullSafe(F.col("_hit.doc_id")), "left")
+    return joined.select("doc_id", F.col("n_words").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"))

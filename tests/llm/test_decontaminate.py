@@ -69,7 +69,7 @@ def test_alignment_is_the_longest():
 def test_edges(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma"), (None, None), (2, ""), (1, "alpha beta gamma")], "item_id long, text string")
     docs = spark.createDataFrame([(1, None), (None, "Alpha, beta GAMMA!"), (3, "alpha beta"), (4, "x " * 100_000 + "alpha beta gamma"), (4, "")], "doc_id long, text string")
-    assert {(r.doc_id, r.contaminated) for r in deco.judge(docs, bench).collect()} == {(1, False), (None, True), (3, False), (4, True)}
+    assert {(r.doc_id, r.contaminated) for r in deco.judge(docs, bench).collect()} == {(1, False), (None, True), (3, False), (4, True), (4, False)}
     assert not any(r.contaminated for r in deco.judge(docs, bench.limit(0)).collect())
     assert deco.judge(docs.limit(0), bench).count() == 0
 
@@ -81,3 +81,17 @@ def test_short_items_stand_a_substitution(spark):
     docs = [swap(eight, 3), swap(ten, 2), swap(ten, 5), eight, ten, seven, prose(30)]
     df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
     assert [r.contaminated for r in deco.judge(df, bench).orderBy("doc_id").collect()] == [True] * 6 + [False]
+
+
+def test_rows_that_repeat_an_id_are_judged_each(spark):
+    passage, own = " ".join(f"word{i}" for i in range(20)), "nothing of the kind here"
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, passage), (None, own), (9, passage), (9, passage), (9, own)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.contaminated, r.n_items, r.n_words) for r in deco.judge(docs, bench).collect()), key=str)
+    assert got == sorted([(None, True, 1, 20), (None, False, 0, 0), (9, True, 1, 20), (9, True, 1, 20), (9, False, 0, 0)], key=str)
+
+
+def test_repeated_words(spark):
+    bench = spark.createDataFrame([(1, "the " * 60), (2, "a b " * 30)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the " * 3000), (2, "one the two " * 500), (3, "b a " * 400)], "doc_id long, text string")
+    assert {(r.doc_id, r.contaminated) for r in deco.judge(docs, bench).collect()} == {(1, True), (2, False), (3, True)}
