@@ -11,7 +11,7 @@ from corpuscle.llm.cut import cut
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of each node that has a larger id than its component.
 
-    ``links`` has columns a and b. A component is named by its smallest node; that node
+    ``links`` has columns a and b of one type that has an order. A component is named by its smallest node; that node
     itself, and nodes without links, have no row. Each round hooks every node to its
     smallest smaller neighbour, shortens the paths by pointer jumping and contracts the
     links, so rounds grow with the logarithm of a component's extent. Nothing is
@@ -35,4 +35,11 @@ def components(links: DataFrame) -> DataFrame:
             hooks = cut(moved(hooks, "component", hooks))
         labels = hooks if labels is None else cut(moved(labels, "component", hooks).unionByName(hooks))
         edges = cut(oriented(moved(moved(edges, "a", hooks), "b", hooks)))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")) if labels is None else labels
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return labels.select("node", "component")
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` (with a column node) and their component, which without a label is the node itself."""
+    return rows.join(labels.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))

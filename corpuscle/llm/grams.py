@@ -85,6 +85,17 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         row = end
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about CHUNK bytes of text in ``column``, one text at least."""
+    for batch in batches:
+        _, at = buffers(batch.column(column))
+        row = 0
+        while row < batch.num_rows:
+            end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, side="right")) - 1)
+            yield batch.slice(row, min(end, batch.num_rows) - row)
+            row = end
+
+
 def words(data: np.ndarray, at: np.ndarray, part: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, start, end, hash) of each word; letters A-Z count as a-z."""
     if not len(data):

@@ -1,243 +1,173 @@
-"""MinHash near-duplicates: bottom-k sketches of one hash, exact Jaccard, components.
+"""MinHash near-duplicates: bottom-k sketches of one hash, inverted lists, exact Jaccard.
 
 A document's set holds the hashes of its distinct word shingles; one hash function
-serves sketch, candidates and sets. Equal sets collapse to one representative first,
-so copies cost nothing further. Of each set the ``LEAST`` smallest values in each of
-``CLASSES`` residue classes are retained, and inverted lists over the retained groups
-bring sets together: two sets of similarity s share a given class with probability
-about s**LEAST, so at 0.85 all are missed with probability under 1e-6.
-
-No list is expanded into all its pairs. First each member meets the list's smallest
-one; components of the confirmed links follow, and lists that lie in one component are
-done. In the others, members of different components are compared by the union of
-their sketches, in blocks of bounded size, each pair in one list only. Pairs that the
-estimate can't rule out are confirmed on the full sets. As pairs within one component
-change nothing, no link between different sets that could change the result is lost.
+serves sketch and sets. Equal sets collapse to one class first, so copies cost nothing
+further. A sketch retains the ``RETAINED`` smallest values of a set. Two sets of
+similarity p or more have sketches that share ``least_shared`` values or more (missed
+with probability 1e-6 at the threshold, and less above it).
+
+Inverted lists hold single retained values. Values are ordered by the number of sketches
+that retain them, rarest first, and a sketch enters the lists of so many of its first
+values that two sketches of enough overlap share a list for certain; values that a third
+of all documents share are the last and seldom list anything.
+
+No list is expanded into all its pairs. Each member meets the list's smallest one; the
+pair's overlap is counted, the sketch of their union estimates the similarity, and what
+the estimate can't rule out is confirmed on the full sets. Components of the links
+follow, and lists in one component are done. In other lists of at most ``FEW`` members
+those of different components meet; members of larger ones meet by ``links_by_prefix``
+over their full sets, which loses no pair.
 
 Defined cases: a null text has an empty set, which links with nothing; a null doc_id
 is its own document with a null component and is kept; rows that repeat an id are each
-returned and judged by their own set (different sets of the same smallest id count as
-one document); an empty table gives an empty result; other columns are ignored.
+returned and judged by their own text; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.components import components
-from corpuscle.llm.cut import cut
-from corpuscle.llm.grams import mix, shingle_sets
+from corpuscle.llm.components import components, labelled
+from corpuscle.llm.cut import Scratch, cut, within
+from corpuscle.llm.grams import mix, pieces, shingle_sets
+from corpuscle.llm.prefix import links_by_prefix
+from corpuscle.llm.rows import row_hash
 
-CLASSES, LEAST = 20, 4
-#: Values of the sketch that an estimate reads; sets up to this size are compared whole by it.
-SKETCH = 256
-#: Members of a block of a list; two blocks meet in one step.
-BLOCK = 256
-#: Ids up to which a set of candidate ids is broadcast rather than shuffled (8 MB).
-BROADCAST_IDS = 1_000_000
+RETAINED, MISSED = 32, 1e-6
+#: Members of an open list up to which its pairs of different components are compared.
+FEW = 64
+_TOP = np.uint64(1 << 63)
 
 
-def class_keys(values: np.ndarray) -> np.ndarray:
-    """A key for each residue class that the sorted ``values`` fill: of its LEAST smallest values."""
-    kind = (values % np.uint64(CLASSES)).astype(np.int64)
-    order = np.argsort(kind, kind="stable")
-    sizes = np.bincount(kind, minlength=CLASSES)
-    first = np.cumsum(sizes) - sizes
-    used = np.flatnonzero(sizes)
-    key = mix(used.astype(np.uint64))
-    for j in range(LEAST):
-        there = sizes[used] > j
-        at = order[np.where(there, first[used] + j, 0)]
-        key = mix(key + np.where(there, values[at], np.uint64(j)))
-    return key
+def least_shared(percent: int) -> int:
+    """Values that two full sketches share at least, at this similarity, but with probability MISSED."""
+    p, below = percent / 100, 0.0
+    for t in range(RETAINED + 1):
+        below += comb(RETAINED, t) * p**t * (1 - p) ** (RETAINED - t)
+        if below > MISSED:
+            return max(1, t)
+    return RETAINED
 
 
-def _map(rows: Iterator[pa.RecordBatch], f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        yield f(batch)
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Hashes as signed numbers of the same order."""
+    return (values ^ _TOP).view(np.int64)
 
 
 def features(documents: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, d1, d2, keys): set size, a 128-bit digest of the set, list keys."""
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, digest, keys, cuts = [], [], [], [0]
-        for s in shingle_sets(batch.column(1), words):
-            n.append(len(s))
-            digest.append((int(s.sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64))))
-            if len(s):
-                keys.append(class_keys(s))
-            cuts.append(cuts[-1] + (len(keys[-1]) if len(s) else 0))
-        flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)
-        d = np.array(digest, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists], ["doc_id", "n", "d1", "d2", "keys"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda rows: _map(rows, one), "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>")
-
-
-def full_sets(documents: DataFrame, words: int) -> DataFrame:
-    """(id, n, values): the sorted set as 8-byte words."""
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = list(shingle_sets(batch.column(1), words))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "values"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(lambda rows: _map(rows, one), "id bigint, n bigint, values binary")
-
-
-def verdict(inter: np.ndarray, union: np.ndarray, whole: np.ndarray, percent: int) -> np.ndarray:
-    """1: a link; 2: to be confirmed; 0: none. ``whole``: the sketches are the sets."""
-    exact = 100 * inter >= percent * union
-    p = percent / 100
-    likely = inter >= union * (p - 5 * np.sqrt(p * (1 - p) / np.maximum(union, 1)))
-    return np.where(whole, np.where(exact, 1, 0), np.where(likely, 2, 0))
-
-
-def _values(column: pa.Array, i: int) -> np.ndarray:
-    return np.frombuffer(column[i].as_py(), dtype=np.uint64)
-
-
-def judged(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that link on the full sets."""
-
-    def sides(p: DataFrame, values) -> DataFrame:
-        for side in ("a", "b"):
-            p = p.join(sets.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), values.alias(f"v{side}")), side)
-        return p.where((100 * F.least("na", "nb")) >= (percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb", "va", "vb")
-
-    def estimate(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for i in range(batch.num_rows):
-            x, y = _values(batch.column(4), i), _values(batch.column(5), i)
-            whole = batch.column(2)[i].as_py() == len(x) and batch.column(3)[i].as_py() == len(y)
-            inter = len(np.intersect1d(x, y, assume_unique=True))
-            last = np.uint64(2**64 - 1) if whole else min(v[-1] for v, n in ((x, batch.column(2)[i].as_py()), (y, batch.column(3)[i].as_py())) if n > len(v))
-            union = np.searchsorted(x, last, side="right") + np.searchsorted(y, last, side="right") - inter
-            out.append(int(verdict(np.array(inter), np.array(union), np.array(whole), percent)))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], ["a", "b", "verdict"])
-
-    near = sides(pairs, F.substring("values", 1, 8 * SKETCH)).mapInArrow(lambda rows: _map(rows, estimate), "a bigint, b bigint, verdict int").where("verdict > 0")
-    return confirmed(cut(near), sets, percent)
-
-
-def confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among (a, b, verdict): those of verdict 1, and those of 2 whose full sets agree."""
-
-    def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for i in range(batch.num_rows):
-            x, y = _values(batch.column(2), i), _values(batch.column(3), i)
-            inter = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    p = near.where("verdict = 2").select("a", "b")
-    for side in ("a", "b"):
-        p = p.join(sets.select(F.col("id").alias(side), F.col("values").alias(f"v{side}")), side)
-    checked = p.select("a", "b", "va", "vb").mapInArrow(lambda rows: _map(rows, exact), "a bigint, b bigint")
-    return near.where("verdict = 1").select("a", "b").unionByName(checked)
-
-
-def blocks_meet(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b, verdict) of members of different components in each list, block against block.
-
-    ``lists``: key, id, component, n, keys, values. A pair that shares several keys is
-    judged in the list of the smallest.
-    """
-    sized = lists.groupBy("key").agg(F.count("*").alias("members"))
-    rows = lists.join(sized, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component", "n", "keys", "values")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def meet(group: list[tuple], out: list[tuple[int, int, int]]) -> None:
-        key, i, j = group[0][:3]
-        one, two = [g for g in group if g[3] == i], [g for g in group if g[3] == j]
-        if not one or not two:
-            return
-        sketches = {g[4]: np.frombuffer(g[8], dtype=np.uint64) for g in group}
-        seen, times = np.unique(np.concatenate(list(sketches.values())), return_counts=True)
-        shared = seen[times > 1]
-        inter = np.zeros((len(one), len(two)))
-        for at in range(0, len(shared), 4096):
-            some = shared[at : at + 4096]
-            x, y = (np.stack([np.isin(some, sketches[g[4]], assume_unique=True) for g in side]).astype(np.float32) for side in (one, two))
-            inter += x @ y.T
-        n1, n2 = (np.array([g[6] for g in side]) for side in (one, two))
-        full = np.uint64(2**64 - 1)
-        last1, last2 = (np.array([full if g[6] == len(sketches[g[4]]) else sketches[g[4]][-1] for g in side], dtype=np.uint64) for side in (one, two))
-        last = np.minimum(last1[:, None], last2[None, :])
-        union = np.stack([np.searchsorted(sketches[g[4]], last[r], side="right") for r, g in enumerate(one)])
-        union = union + np.stack([np.searchsorted(sketches[g[4]], last[:, r], side="right") for r, g in enumerate(two)], axis=1) - inter
-        said = verdict(inter, union, (last1[:, None] == full) & (last2[None, :] == full), percent)
-        said[100 * np.minimum(n1[:, None], n2[None, :]) < percent * np.maximum(n1[:, None], n2[None, :])] = 0
-        for r, s in zip(*np.nonzero(said), strict=True):
-            a, b = one[r], two[s]
-            if a[5] == b[5] or i == j and s <= r or min(set(a[7]) & set(b[7])) != key:
-                continue
-            out.append((a[4], b[4], int(said[r, s])))
+    """(doc_id, row, n, d1, d2, sketch): set size, a 128-bit digest of the set, its smallest values in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-
-        def flush(out: list) -> None:
-            if len({g[5] for g in group}) > 1:
-                meet(group, out)
-            group.clear()
+        for batch in pieces(batches, 2):
+            n, digest, kept, cuts = [], [], [], [0]
+            for s in shingle_sets(batch.column(2), words):
+                n.append(len(s))
+                digest.append((int(s.sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64))))
+                kept.append(_ordered(s[:RETAINED]))
+                cuts.append(cuts[-1] + len(kept[-1]))
+            d = np.array(digest, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            flat = np.concatenate(kept) if kept else np.empty(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists], ["doc_id", "row", "n", "d1", "d2", "sketch"])
 
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:3] != group[0][:3]:
-                    flush(out)
-                group.append(row)
-            yield _links(out)
-        out = []
-        if group:
-            flush(out)
-        yield _links(out)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", row_hash().alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, row bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>")
 
-    return rows.mapInArrow(run, "a bigint, b bigint, verdict int")
 
+def full_sets(documents: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, grams): the whole sets of the documents ``nodes`` names."""
 
-def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    a = np.array(rows, dtype=np.int64).reshape(-1, 3)
-    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2].astype(np.int32))], ["a", "b", "verdict"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2):
+            sets = [_ordered(s) for s in shingle_sets(batch.column(2), words)]
+            cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            lists = pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(np.concatenate(sets))).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "row", "grams"])
+
+    wanted = nodes.select("node.doc_id", "node.row")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", row_hash().alias("row"), "text")
+    found = rows.join(wanted, ["doc_id", "row"], "left_semi").mapInArrow(run, "doc_id bigint, row bigint, grams array<bigint>")
+    return found.select(F.struct("doc_id", "row").alias("node"), "grams").dropDuplicates(["node"])
+
+
+def inverted_lists(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(value, node): the lists that sketches enter, of values that two of them or more retain."""
+    entries = classes.select("node", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
+    common = scratch.table(entries.groupBy("value").agg(F.count("*").alias("sketches")).where("sketches > 1"))
+    met = entries.join(within(common), "value").groupBy("node").agg(F.max("s").alias("s"), F.array_sort(F.collect_list(F.struct("sketches", "value"))).alias("met"))
+    shared = F.greatest(F.lit(1), F.floor(F.lit(least_shared(percent)) * F.col("s") / RETAINED))
+    own = F.col("s") - F.size("met")  # values that no other sketch retains are the rarest
+    listed = F.greatest(F.lit(0), F.col("s") - shared + 1 - own).cast("int")
+    return met.select("node", F.explode(F.slice("met", F.lit(1), listed)).alias("x")).select("x.value", "node")
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b) those whose sizes, overlap and union sketch leave the similarity possible."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    sized = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    counted = sized.withColumn("both", F.array_intersect("sa", "sb")).withColumn("union", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, RETAINED))
+    need = F.greatest(F.lit(1), F.floor(F.lit(least_shared(percent)) * F.least(F.size("sa"), F.size("sb")) / RETAINED))
+    p, u = percent / 100, F.size("union")
+    estimate = F.size(F.array_intersect("union", "both")) >= u * (p - 5 * F.sqrt(p * (1 - p) / u))
+    return counted.where((F.size("both") >= need) & estimate).select("a", "b")
 
 
-def named(ids: DataFrame, labels: DataFrame) -> DataFrame:
-    """``ids`` (with a column id) and their component, which without a label is the id itself."""
-    return ids.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b) those whose full sets are similar."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("grams").alias(f"v{side}")), side)
+    sizes = pairs.select("a", "b", F.size("va").alias("na"), F.size("vb").alias("nb"), F.size(F.array_intersect("va", "vb")).alias("both"))
+    return sizes.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
+
+
+def linked(documents: DataFrame, classes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame | None:
+    """(node, component) of the classes, as ``components`` gives them; None where no list has two members."""
+    lists = scratch.table(inverted_lists(classes, percent, scratch))
+    heads = scratch.table(lists.groupBy("value").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1"))
+    members = scratch.table(lists.join(within(heads), "value").select(F.col("value").alias("key"), "node", "head", "members"))
+    if members.isEmpty():
+        return None
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        near = scratch.table(likely(pairs, classes, percent))
+        ids = scratch.table(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        sets = scratch.table(full_sets(documents, within(ids), words))
+        return cut(exact(near, sets, percent))
+
+    links = confirmed(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+    named = scratch.table(labelled(members, components(links)))
+    mixed = scratch.table(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
+    named = named.join(within(mixed), "key")
+    one = named.where((F.col("members") <= FEW) & (F.col("node") != F.col("head"))).select("key", "node", "component")
+    two = one.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
+    links = links.unionByName(confirmed(one.join(two, "key").where("node > b AND component <> other").select(F.col("node").alias("a"), "b").distinct()))
+    large = scratch.table(named.where(F.col("members") > FEW).select("key", "node"))
+    if not large.isEmpty():
+        ids = scratch.table(large.select("node").distinct())
+        sets = scratch.table(full_sets(documents, within(ids), words))
+        links = links.unionByName(links_by_prefix(large, sets, links, percent, confirmed, scratch))
+    return components(links)
 
 
 def near_duplicates(documents: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document."""
-    facts = cut(features(documents, words))
-    filled = facts.where("n > 0 AND doc_id IS NOT NULL")
-    first = filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"))
-    classes = cut(first)
-    entries = classes.select("id", F.explode("keys").alias("key"))
-    heads = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("head")).where("members > 1")
-    lists = cut(entries.join(heads.select("key", "head"), "key"))
-    ids = lists.select("id").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    wanted = ids.withColumnRenamed("id", "doc_id")
-    sets = cut(full_sets(documents.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), words))
-    links = cut(judged(lists.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), sets, percent))
-    labels = components(links)
-    members = named(lists.select("key", "id"), labels)
-    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_lists = members.join(mixed, "key").join(classes.select("id", "keys").dropDuplicates(["id"]), "id").join(sets.select("id", "n", F.substring("values", 1, 8 * SKETCH).alias("values")).dropDuplicates(["id"]), "id")
-    more = confirmed(cut(blocks_meet(open_lists, percent)), sets, percent)
-    labels = components(links.unionByName(more))
-    found = named(classes.select("n", "d1", "d2", "id"), labels).select("n", "d1", "d2", "component")
-    joined = facts.join(found, ["n", "d1", "d2"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """(doc_id, row, n_shingles, component_id, kept) of every document; ``row`` is of ``row_hash``."""
+    with Scratch(documents.sparkSession) as scratch:
+        facts = scratch.table(features(documents, words))
+        filled = facts.where("n > 0 AND doc_id IS NOT NULL")
+        first = F.min(F.struct("doc_id", "row")).alias("node")
+        classes = scratch.table(filled.groupBy("n", "d1", "d2").agg(first, F.first("sketch").alias("sketch")))
+        labels = linked(documents, classes, words, percent, scratch)
+        named = classes.withColumn("component", F.col("node")) if labels is None else labelled(classes, labels)
+        found = named.select("n", "d1", "d2", F.col("component.doc_id").alias("component"))
+        joined = facts.join(found, ["n", "d1", "d2"], "left")
+        component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+        out = joined.select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"))
+        return cut(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))

@@ -54,7 +54,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of similar documents."""
-    return op8_neardup.near_duplicates(read(spark, sf_dir, "documents"))
+    return op8_neardup.near_duplicates(read(spark, sf_dir, "documents")).drop("row")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 import re
 
-from corpuscle.llm import op8_neardup
+from corpuscle.llm import cut, op8_neardup
 from corpuscle.llm.components import components
 
 
@@ -52,16 +52,16 @@ def test_against_brute_force(spark, monkeypatch):
     for seed, n, percent in ((1, 3, 85), (2, 5, 80)):
         docs = corpus(seed)
         df = spark.createDataFrame([(i, t, 1, 1) for i, t in docs], "doc_id long, text string, n int, keys int")
-        assert {tuple(r) for r in op8_neardup.near_duplicates(df, n, percent).collect()} == expected(docs, n, percent)
-    monkeypatch.setattr(op8_neardup, "BLOCK", 4)
-    monkeypatch.setattr(op8_neardup, "BROADCAST_IDS", 0)
-    assert {tuple(r) for r in op8_neardup.near_duplicates(df, n, percent).collect()} == expected(docs, n, percent)
+        assert {tuple(r) for r in op8_neardup.near_duplicates(df, n, percent).drop("row").collect()} == expected(docs, n, percent)
+    monkeypatch.setattr(op8_neardup, "FEW", 3)
+    monkeypatch.setattr(cut, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in op8_neardup.near_duplicates(df, n, percent).drop("row").collect()} == expected(docs, n, percent)
 
 
 def test_null_and_repeated_ids(spark):
     text = "a b c d e f g"
     df = spark.createDataFrame([(None, text), (4, text), (4, text), (7, text), (7, "other words here now"), (8, "other words here now")], "doc_id long, text string")
-    got = sorted((tuple(r) for r in op8_neardup.near_duplicates(df).collect()), key=str)
+    got = sorted((tuple(r) for r in op8_neardup.near_duplicates(df).drop("row").collect()), key=str)
     assert got == sorted([(None, 5, None, True), (4, 5, 4, True), (4, 5, 4, True), (7, 5, 4, False), (7, 2, 7, True), (8, 2, 7, False)], key=str)
     assert op8_neardup.near_duplicates(df.limit(0)).count() == 0
 
