@@ -4,10 +4,11 @@ The standard library's parser streams events of a page. They become lines, one f
 each block, with the text's length and the tags met since the line before. The ratio
 of text to tags is smoothed along the page by a Gaussian and parted into two clusters
 by the threshold of largest between-class variance; the lines of the upper cluster are
-content. Structure then settles what a ratio alone can't: lines inside menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments never count, and a
-content line brings in the whole of its article element (without one, of the innermost
-container of most content), so that a short heading or paragraph of the article stays.
+content regions. Structure then settles what a ratio alone can't: lines inside menus,
+headers, footers, sidebars, notices, adverts, forms and reader comments never count, and
+a content region brings in the whole of its article element, however short (without one,
+of the innermost container of most content), so that a short heading or paragraph of the
+article stays.
 
 Defined cases: a null or empty page has empty text; markup without text too; unclosed
 and stray tags are closed as browsers do; repeated rows are extracted each; an empty
@@ -40,7 +41,7 @@ NAMES = frozenset(
     "comment comments commentlist disqus respond replies reply login signup signin search tags toc skip".split()
 )
 MAIN_NAMES = frozenset("article content main post entry story body".split())
-SPACE = re.compile(r"[\s ​﻿]+")
+SPACE = re.compile(r"\s+")
 LAYOUT = re.compile(r"\b(?:has|no|with|without|show|hide|js)[-_][\w-]+")  # words that say what a page holds, not what a part is
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
@@ -51,13 +52,16 @@ SIGMA = 1.0
 
 
 class Events(HTMLParser):
-    """Turns a page into ``lines``: [text, tags, number of the main element, boilerplate, numbers of the containers]."""
+    """Turns a page into ``lines``: [text, tags, number of the main element, boilerplate, number of the container].
+
+    ``parents`` has the container around each container; 0 is the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []  # tag, boilerplate, hidden, number of the main element, containers
-        self.containers = 0
+        self.open: list[tuple[str, bool, bool, int, int]] = []  # tag, boilerplate, hidden, numbers of the main element and the container
+        self.parents = [0]
         self.parts: list[str] = []
         self.tags = 0
         self.mains = 0
@@ -66,8 +70,8 @@ class Events(HTMLParser):
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts.clear()
         if text:
-            _, boilerplate, _, main, chain = self.open[-1] if self.open else ("", False, False, 0, ())
-            self.lines.append([text, self.tags, main, boilerplate, chain])
+            _, boilerplate, _, main, container = self.open[-1] if self.open else ("", False, False, 0, 0)
+            self.lines.append([text, self.tags, main, boilerplate, container])
             self.tags = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -80,7 +84,7 @@ class Events(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, boilerplate, hidden, main, chain = self.open[-1] if self.open else ("", False, False, 0, ())
+        _, boilerplate, hidden, main, container = self.open[-1] if self.open else ("", False, False, 0, 0)
         values = dict(attrs)
         names = {p.lower() for k in ("class", "id") for p in NAME_PARTS.findall(LAYOUT.sub("", values.get(k) or ""))}
         is_main = tag in MAIN or (values.get("role") or "") == "main" or tag in ("div", "section") and bool(names & MAIN_NAMES) and not names & NAMES
@@ -93,10 +97,10 @@ class Events(HTMLParser):
         if is_main and not bad and not boilerplate and not main:
             self.mains += 1
             main = self.mains
-        if tag in CONTAINERS and len(chain) < 500:
-            self.containers += 1
-            chain = (*chain, self.containers)
-        self.open.append((tag, boilerplate or bad, hidden, main, chain))
+        if tag in CONTAINERS:
+            self.parents.append(container)
+            container = len(self.parents) - 1
+        self.open.append((tag, boilerplate or bad, hidden, main, container))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -152,28 +156,27 @@ def extract(html: str) -> str:
     events = Events()
     events.feed(html)
     events.close()
-    lines = [x for x in events.lines if not x[3]]
-    if not lines:
+    if all(x[3] for x in events.lines):
         return ""
-    ratio = smooth(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
-    content = ratio > threshold(ratio)
-    weight: dict[int, int] = {}
-    for (text, _, main, *_), take in zip(lines, content, strict=True):
-        if take:
-            weight[main] = weight.get(main, 0) + len(text)
-    inside = {m: w for m, w in weight.items() if m}
-    if inside:  # every article that holds content counts whole
-        most = max(inside.values())
-        mains = {m for m, w in inside.items() if 4 * w >= most}
+    ratio = smooth(np.array([len(text) / max(1, tags) for text, tags, *_ in events.lines]))
+    plain = np.array([not x[3] for x in events.lines])
+    content = plain & (ratio > threshold(ratio))
+    lines, content = [x for x in events.lines if not x[3]], (content if content.any() else plain)[plain]
+    mains = {main for (_, _, main, *_), take in zip(lines, content, strict=True) if take and main}
+    if mains:  # every article that a content region lies in counts whole
         return "\n".join(text for text, _, main, *_ in lines if main in mains)
     # no article element: the innermost container that holds most of the content
-    total = sum(len(text) for (text, *_), take in zip(lines, content, strict=True) if take)
-    held: dict[int, int] = {}
-    for (text, _, _, _, chain), take in zip(lines, content, strict=True):
-        for number in chain if take else ():
-            held[number] = held.get(number, 0) + len(text)
-    inner = max((number for number, n in held.items() if n >= MOST * total), default=0)
-    return "\n".join(x[0] for x in lines if not inner or inner in x[4])
+    held = [0] * len(events.parents)
+    for (text, _, _, _, container), take in zip(lines, content, strict=True):
+        held[container] += len(text) * bool(take)
+    total = sum(held)
+    for number in range(len(held) - 1, 0, -1):  # a container is numbered after the one around it
+        held[events.parents[number]] += held[number]
+    inner = max(number for number, n in enumerate(held) if n >= MOST * total)
+    inside = [False] * len(held)
+    for number in range(len(held)):
+        inside[number] = number == inner or inside[events.parents[number]]
+    return "\n".join(text for text, *_, container in lines if inside[container])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -43,3 +43,19 @@ def test_text_after_broken_declarations_stays():
         assert got.startswith(LONG.strip()) and got.endswith(LONG.strip()) and "two" in got, token
     assert html.extract("<p>one</p><![LOG[ x ]]><p>two</p>") == "one\ntwo"
     assert html.extract("<p>one</p><![ never closed").startswith("one")
+
+
+def test_short_articles_and_deep_containers():
+    one = " ".join(LONG.split())
+    assert html.extract(page(f"<article><p>{LONG * 4}</p></article><article><p>{LONG}</p></article>")).endswith("\n" + one)
+    deep = "<div>" * 3000 + f"<p>{LONG}</p><p>tail</p>" + "</div>" * 3000
+    assert html.extract(page(deep)) == one + "\ntail"
+
+
+def test_only_white_space_is_white_space():
+    assert html.extract("<article><p>a\u200bb \u00a0 c\ufeff d</p></article>") == "a\u200bb c\ufeff d"
+
+
+def test_ties():
+    """Lines of one ratio make no clusters: all are content."""
+    assert html.extract("<div><p>same</p><p>size</p><p>text</p></div>") == "same\nsize\ntext"
