@@ -6,7 +6,7 @@ conjunctive rule; a lasso logistic fit keeps few rules. Rules and weights become
 Spark column, so scoring runs no Python.
 
 Learning is bounded: at most ``PER_CLASS`` labelled rows of each class (see
-``labelled.sample``). Id, language and source are no inputs.
+``labelled.sample``), weighed by the class's share of all labelled rows. Id, language and source are no inputs.
 
 Defined cases: a null or empty text has zero statistics and is scored like any other;
 a null doc_id is kept and is not held out; repeated rows are scored each; an empty
@@ -90,17 +90,18 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_lasso(z: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Lasso logistic weights and constant, by accelerated proximal gradient."""
+def fit_lasso(z: np.ndarray, y: np.ndarray, row: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Lasso logistic weights and constant, by accelerated proximal gradient; ``row`` weighs rows, 1 on average."""
     n, k = z.shape
-    step = 4 * n / max(1e-9, np.linalg.norm(np.hstack([z, np.ones((n, 1))]), 2) ** 2)
-    b, c = np.zeros(k), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    step = 4 * n / max(1e-9, np.linalg.norm(np.sqrt(row)[:, None] * np.hstack([z, np.ones((n, 1))]), 2) ** 2)
+    rate = float((row * y).mean())
+    b, c = np.zeros(k), float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
     vb, vc, m = b, c, 1.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ vb + vc, -30, 30)))
-        nb = vb - step * (z.T @ (p - y)) / n
+        nb = vb - step * (z.T @ (row * (p - y))) / n
         nb = np.sign(nb) * np.maximum(np.abs(nb) - step * penalty, 0)
-        nc = vc - step * float((p - y).mean())
+        nc = vc - step * float((row * (p - y)).mean())
         nm = (1 + np.sqrt(1 + 4 * m * m)) / 2
         vb, vc = nb + (m - 1) / nm * (nb - b), nc + (m - 1) / nm * (nc - c)
         b, c, m = nb, nc, nm
@@ -136,7 +137,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     """Grow trees, read their rules and weigh them, over the rows that may be learned from."""
     stats = statistics()
     names = list(stats)
-    rows = sample(documents, labels, "quality", per_class).select("doc_id", "y", *(v.alias(k) for k, v in stats.items())).collect()
+    rows = sample(documents, labels, "quality", per_class).select("doc_id", "y", "n_class", *(v.alias(k) for k, v in stats.items())).collect()
     rows.sort(key=lambda r: (r.doc_id, tuple(r)))
     y = np.array([r.y for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
@@ -149,6 +150,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         for path in Tree(x[take], y[take], rng).paths:
             rules.setdefault(np.packbits(holds(path, x)).tobytes(), path)
     z = np.stack([holds(r, x) for r in rules.values()], axis=1).astype(float)
-    weights, constant = fit_lasso(z, y)
+    row = np.array([r.n_class / (y == r.y).sum() for r in rows])  # so that the sample has the classes' shares of all labelled rows
+    weights, constant = fit_lasso(z, y, row / row.mean())
     kept = [(r, float(w)) for r, w in zip(rules.values(), weights, strict=True) if abs(w) > 1e-3]
     return RuleModel(names, kept, constant)
