@@ -8,8 +8,9 @@ each bin shrinks to the smallest permitted capacity that holds its contents.
 The plan needs only how many pieces have each length: bins in one state are one group
 with a count, so the plan's size depends on the capacities and not on the rows. It is
 made on the driver from at most ``max(capacities)`` counts; rows then find their bins by
-their rank among the pieces of their length. Ranks come from counts for each of many
-salted shards of a length, so no task holds all pieces of one length.
+their rank among the pieces of their length. Ranks come from counts for each salted
+shard of about ``SHARD`` pieces of a length, so no task holds all pieces of one length,
+however common (full pieces are).
 
 Opening a bin, all permitted capacities are compared for the pieces still to come: a
 bin of capacity c costs ``c + overhead``; of its room, what the pieces of this length
@@ -37,7 +38,8 @@ from corpuscle.llm.cut import cut
 
 # Permitted sequence lengths in tokens, and the cost of a bin besides its length.
 CAPACITIES, OVERHEAD = (512, 1024, 2048, 4096), 32
-SHARDS = 64
+#: Pieces of one length that are ranked together, about.
+SHARD = 200_000
 
 
 class Plan:
@@ -132,8 +134,11 @@ def pack(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: in
     A longer row than the largest capacity is an error.
     """
     spark = rows.sparkSession
-    rows = cut(rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS)).cast("int")))
-    sizes = rows.where("n_tokens > 0").groupBy("n_tokens", "shard").agg(F.count("*").alias("n")).collect()  # at most max(capacities) * SHARDS rows
+    rows = cut(rows)
+    lengths = rows.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n")).collect()  # at most max(capacities) rows
+    shards = spark.createDataFrame([(r.n_tokens, -(-r.n // SHARD)) for r in lengths], "n_tokens int, shards long")
+    rows = rows.join(F.broadcast(shards), "n_tokens", "left").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("shards", F.lit(1))).cast("int"))
+    sizes = rows.where("n_tokens > 0").groupBy("n_tokens", "shard").agg(F.count("*").alias("n")).collect()  # one row for SHARD pieces, and one for each length
     counts: dict[int, int] = defaultdict(int)
     before = []
     for r in sorted(sizes):

@@ -41,7 +41,8 @@ def test_plan_is_best_fit():
         assert got == one_by_one(lengths, (25, 50, 100), 5)
 
 
-def test_bins_hold_every_token(spark):
+def test_bins_hold_every_token(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 7)
     rng = random.Random(7)
     docs = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 9, 20, 33, 64, 65, 200, 1000]))) for i in range(300)] + [(None, "a b"), (5, "a b c"), (5, "a b c"), (9, None)]
     df = spark.createDataFrame([(i, t, 0, 0) for i, t in docs], "doc_id long, text string, bin int, rank int")
@@ -59,3 +60,29 @@ def test_bins_hold_every_token(spark):
         seen.add((r.bin, r.n_tokens, r.slot))
     assert all(size[b] == min(c for c in (16, 32, 64) if c >= n) for b, n in fill.items())
     assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+def test_choice_of_capacity():
+    """Against bins filled one by one: the size of least cost for each token that can fill it."""
+    for seed in range(40):
+        rng = random.Random(seed)
+        capacities, overhead = (16, 32, 64), rng.randint(0, 12)
+        length, left, rest = rng.randint(1, 64), rng.randint(1, 9), rng.randint(0, 300)
+        costs = {}
+        for c in (c for c in capacities if c >= length):
+            bins, pieces = [], left
+            each = 0
+            while (each + 1) * length <= c and each < left:
+                each += 1
+            while pieces > 0:
+                bins.append(min(each, pieces))
+                pieces -= each
+            costs[c] = (c + overhead) / (each * length + min(c - each * length, rest / len(bins)))
+        least = min(costs.values())
+        assert packing.Plan({}, capacities, overhead).best_capacity(length, left, rest) == min(c for c, x in costs.items() if abs(x - least) < 1e-12)
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 1_000_000), (2, "x" * 3_000_000)], "doc_id long, text string")
+    rows = packing.pack_documents(df).collect()
+    assert sum(r.n_tokens for r in rows) == 1_000_001 and len({r.bin for r in rows}) == 245
