@@ -7,13 +7,12 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import op2_toxicity, op4_packing, op8_neardup, op9_lines, op10_decontaminate
-from corpuscle.llm.cut import read, shared_folder
+from corpuscle.llm.cut import Scratch, cut, read
+from corpuscle.llm.rows import without
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,21 +22,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal and similar lines the first stays."""
-    return op9_lines.dedup_lines(docs).select(*docs.columns)
+    """Of equal and similar lines the first stays; documents that lost lines and have no words left go."""
+    out = op9_lines.dedup_lines(docs, counts=("_lines", "_removed"))
+    return out.where((F.col("_removed") == 0) | F.col("text").rlike(r"\S")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8) the first document stays."""
-    found = op8_neardup.near_duplicates(docs, words=5, percent=80)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each group of near-duplicates (five words, 0.8) the first document stays, judged row by row."""
+    return without(docs, op8_neardup.near_duplicates(docs, words=5, percent=80).where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
-    hits = op10_decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Documents that hold benchmark passages go, judged row by row."""
+    hits = op10_decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return without(docs, cut(hits.select("doc_id", "row").distinct()))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over ``documents``; what is written between them goes at the end."""
+    with Scratch(spark) as scratch:
+        docs = read(spark, sf_dir, "documents")
+        for _, stage in STAGES[:-1]:
+            docs = scratch.table(stage(spark, docs, sf_dir))
+        return cut(STAGES[-1][1](spark, docs, sf_dir))
