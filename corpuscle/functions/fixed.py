@@ -28,9 +28,20 @@ LANGUAGES = SCRIPT_LANGUAGES | {
     ".kts": "kotlin", ".livemd": "markdown", ".lua": "lua", ".md": "markdown", ".mmd": "mermaid", ".php": "php", ".prisma": "prisma", ".proto": "protobuf", ".py": "python", ".rb": "ruby",
     ".rs": "rust", ".rules": "rules", ".scala": "scala", ".sh": "shell", ".sql": "sql", ".swift": "swift", ".toml": "toml", ".yaml": "yaml", ".yml": "yaml",
 }
-ENTRY_BASENAMES = ("__main__.py", "main.py", "app.py", "cli.py", "server.py", *(f"{name}.{suffix}" for name in ("main", "app", "index") for suffix in ("js", "ts", "jsx", "tsx", "mjs", "cjs", "mts", "cts")))
+ENTRY_BASENAMES = (
+    "__main__.py", "app.cjs", "app.cts", "app.js", "app.jsx", "app.mjs", "app.mts", "app.py", "app.ts", "app.tsx", "cli.py", "index.cjs", "index.cts", "index.js", "index.jsx", "index.mjs", "index.mts",
+    "index.ts", "index.tsx", "main.cjs", "main.cts", "main.js", "main.jsx", "main.mjs", "main.mts", "main.py", "main.ts", "main.tsx", "server.py",
+)
 CONFIG_BASENAMES = (".env", ".gitignore", "Cargo.toml", "Dockerfile", "go.mod", "package.json", "pnpm-lock.yaml", "pyproject.toml", "ruff.toml", "tsconfig.json", "uv.lock")
 MANIFESTS = ("package.json", "pyproject.toml", "go.mod", "Cargo.toml")
 SEARCH_STOP_WORDS = ("about", "and", "are", "can", "for", "from", "how", "into", "the", "this", "that", "what", "when", "where", "which", "with")
 UTILITY_BASENAMES = ("types.py", "types.ts", "exceptions.py", "constants.py", "constants.ts", "base.py", "base.ts", "utils.py", "utils.ts")
 IMPLEMENTATION_BASENAMES = ("factory.py", "main.py", "run.py", "runner.py", "server.py", "cli.py")
+MAIN_NAMES = ("main", "run", "start", "serve", "cli", "app", "create_app", "build_app", "invoke", "execute", "handler")
+MAIN_PREFIXES = ("build_", "create_", "load_", "fetch_", "resolve_", "get_", "display_")
+GENERIC_NAMES = (
+    "all", "any", "append", "cat", "bool", "clear", "close", "connect", "concat", "describe", "dict", "eval", "execute", "expect", "exists", "fetch", "filter", "float", "from", "get",
+    "handler", "html", "int", "isInstance", "items", "it", "json", "keys", "len", "list", "lower", "map", "max", "min", "open", "pop", "print", "range", "read", "read_text",
+    "reject", "reshape", "resolve", "run", "send", "set", "sleep", "str", "sum", "test", "to", "transpose", "tuple", "unsqueeze", "update", "upper", "values", "write", "write_text", "yield",
+)
+GENERIC_LABELS = ("app", "lib", "packages", "src")

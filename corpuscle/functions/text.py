@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import fixed
@@ -20,16 +20,18 @@ def search_terms(query: str) -> list[str]:
     return [w for w in words if len(w) >= 3 and w not in fixed.SEARCH_STOP_WORDS]
 
 
+#: Endings of plurals: what a longer word ends in, what it must not end in, letters to drop, letters to add.
+_PLURALS = (
+    (re.compile(r"ies$"), 3, "y"),
+    (re.compile(r"(?:ch|sh|x|z|s)es$"), 2, ""),
+    (re.compile(r"(?<![siu])s$"), 1, ""),
+)
+
+
 def term_variants(term: str) -> list[str]:
-    """A term's label, its plural ending dropped, and the term itself where they differ."""
-    if len(term) > 4:
-        if term.endswith("ies"):
-            return [term[:-3] + "y", term]
-        if term.endswith(("ches", "shes", "xes", "zes", "ses")):
-            return [term[:-2], term]
-        if term.endswith("s") and not term.endswith(("ss", "is", "us")):
-            return [term[:-1], term]
-    return [term]
+    """A term's label (its singular) and, where they differ, the term itself; words of four letters stay."""
+    rule = next((r for r in _PLURALS if len(term) >= 5 and r[0].search(term)), None)
+    return [term] if rule is None else [term[: -rule[1]] + rule[2], term]
 
 
 def query_terms(query: str) -> dict[str, list[str]]:
@@ -41,14 +43,12 @@ def query_terms(query: str) -> dict[str, list[str]]:
 
 
 def definition_symbols(query: str) -> list[str]:
-    """A phrase as camelCase, PascalCase and snake_case; an identifier as it is."""
-    if re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_$]*", query):
+    """What a query may be declared as: an identifier as it is, up to six terms of a phrase in camel, Pascal and snake case."""
+    if re.fullmatch(r"[A-Za-z_$][\w$]*", query, re.ASCII):
         return [query]
-    terms = search_terms(query)[:6]
-    if len(terms) < 2:
-        return []
-    titles = [t[:1].upper() + t[1:] for t in terms]
-    return [terms[0] + "".join(titles[1:]), "".join(titles), "_".join(terms)]
+    snake = "_".join(search_terms(query)[:6])
+    pascal = re.sub(r"(?:^|_)(.)", lambda m: m[1].upper(), snake)
+    return [snake[0] + pascal[1:], pascal, snake] if "_" in snake else []
 
 
 def compact(text: Column, most: int = 240) -> Column:
@@ -61,15 +61,24 @@ def contains_any(text: Column, variants: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(v)) for v in variants])
 
 
+def _compiles(pattern: str) -> bool:
+    """Whether the engine that runs patterns takes this one: Java's, where a session is there to ask."""
+    session = SparkSession.getActiveSession()
+    try:
+        if session is None or not hasattr(session, "_jvm"):
+            re.compile(pattern)
+        else:
+            session._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # re.error, or the JVM's of the same kind
+        return False
+    return True
+
+
 def text_filter(value: Column, pattern: str | None) -> Column:
     """No pattern takes all; null never matches; a broken pattern is searched as plain text."""
     if pattern is None:
         return F.lit(True)
-    try:
-        re.compile(pattern)
-    except re.error:
-        return F.coalesce(F.contains(value, F.lit(pattern)), F.lit(False))
-    return F.coalesce(value.rlike(pattern), F.lit(False))
+    return F.coalesce(value.rlike(pattern) if _compiles(pattern) else F.contains(value, F.lit(pattern)), F.lit(False))
 
 
 def glob_filter(value: Column, pattern: str | None) -> Column:
@@ -89,10 +98,11 @@ def symbol_name(qualified: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common beginning."""
-    n = F.least(F.length(a), F.length(b))
-    same = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
-    return F.when(n < 1, 0).otherwise(F.size(F.filter(same, lambda x: x)))
+    """Length of the common beginning, in one pass over both."""
+    letters = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
+    same = F.zip_with(letters(a), letters(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, F.lit(False))
+    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
 
 
 def line_span(value: Column) -> Column:
