@@ -95,9 +95,12 @@ def score() -> Column:
 
 def members(defs: DataFrame, owner: str) -> DataFrame:
     """Definitions whose innermost class span is ``owner``; without a class, files named after it."""
-    d = defs.where("kind = 'function'").select("path", "name", "line", F.monotonically_increasing_id().alias("_id"))
+    own = defs.where((F.col("kind") == "class") & (F.col("name") == owner) | (F.regexp_extract(paths.basename(F.col("path")), r"^([^.]+)", 1) == owner))
+    defs = defs.join(own.select("path").distinct(), "path", "left_semi")  # only files that can hold a member
+    d = defs.where("kind = 'function'").select("path", "name", "line", F.struct("path", "line", "identifier").alias("_id"))
     spans = defs.where("kind = 'class'").select("path", F.col("name").alias("_c"), F.col("line").alias("_s"), (F.col("line") + F.col("span")).alias("_e"))
-    inside = d.join(spans, "path", "left").withColumn("_in", (F.col("_s") < F.col("line")) & (F.col("line") < F.col("_e")))
-    inner = inside.groupBy("_id", "path", "name", "line").agg(F.max(F.when(F.col("_in"), F.struct("_s", "_c"))).alias("_o"))
+    held = (d.path == spans.path) & (F.col("_s") < F.col("line")) & (F.col("line") < F.col("_e"))
+    inside = d.join(spans, held, "left").select(d["*"], "_s", "_c")
+    inner = inside.groupBy("_id", "path", "name", "line").agg(F.max(F.when(F.col("_c").isNotNull(), F.struct("_s", "_c"))).alias("_o"))
     stem = F.regexp_extract(paths.basename(F.col("path")), r"^([^.]+)", 1)
     return inner.where(F.coalesce(F.col("_o._c") == owner, stem == owner)).select("path", "name", "line")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +37,15 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return one.union(two).distinct().groupBy(F.col("source").alias("node")).agg(F.count("*").alias("reach"))
 
 
-def k_hops(edges: DataFrame, start: DataFrame, hops: int, cut=None) -> DataFrame:
-    """(node, hop): nodes reached from ``start`` (column node) by directed steps, with the fewest; starts are left out."""
+def k_hops(edges: DataFrame, start: DataFrame, hops: int | None, cut=None) -> DataFrame:
+    """(node, hop): nodes reached from ``start`` (column node) by directed steps, with the fewest; starts are left out.
+
+    Without a number of ``hops`` until nothing new is reached; ``cut`` materialises a round.
+    """
     step = edges.select(F.col("source").alias("node"), F.col("target").alias("to")).distinct()
     seen = start.select("node").distinct().withColumn("hop", F.lit(0))
     frontier = seen
-    for hop in range(1, hops + 1):
+    for hop in count(1) if hops is None else range(1, hops + 1):
         frontier = frontier.select("node").join(step, "node").select(F.col("to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
         if cut is not None:
             frontier = cut(frontier)
@@ -51,9 +55,16 @@ def k_hops(edges: DataFrame, start: DataFrame, hops: int, cut=None) -> DataFrame
     return seen.where("hop > 0")
 
 
-def reach(edges: DataFrame, start: DataFrame, cut, most: int = 1_000) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, cut) -> DataFrame:
     """(node, hop): all nodes reached, however far; ``cut`` materialises a round."""
-    return k_hops(edges, start, most, cut)
+    return k_hops(edges, start, None, cut)
+
+
+def schema_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, name, n): nodes (column type) of each label, and edges of each type."""
+    labels = nodes.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).withColumn("part", F.lit("labels"))
+    types = edges.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).withColumn("part", F.lit("types"))
+    return labels.unionByName(types).select("part", "name", "n")
 
 
 def trace(edges: DataFrame, name: str, hops: int = 2) -> DataFrame:

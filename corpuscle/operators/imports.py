@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import posixpath
 import re
+from collections.abc import Iterator
+from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ def python_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
     package. ``from p import n`` means the module p.n where any such resolves, else p. Levels
     climb from the file's directory.
     """
-    rows = facts.where("kind IN ('import', 'from') AND path LIKE '%.py'").select("path", "kind", "name", F.col("identifier").alias("module"), F.col("detail").cast("int").alias("level"), F.monotonically_increasing_id().alias("_id"))
+    rows = facts.where("kind IN ('import', 'from') AND path LIKE '%.py'").select("path", "kind", "name", F.col("identifier").alias("module"), F.col("detail").cast("int").alias("level"), F.struct("path", "line", "kind", "name", "identifier", "detail").alias("_id"))
     base = F.split(paths.dirname(F.col("path")), "/")
     depth = F.size(F.filter(base, lambda x: x != ""))
     above = F.array_join(F.slice(F.filter(base, lambda x: x != ""), F.lit(1), F.greatest(depth - F.col("level") + 1, F.lit(0))), "/")
@@ -104,7 +107,6 @@ def script_imports(facts: DataFrame, files: DataFrame, configs: DataFrame | dict
     guessed suffixes, as a folder's index. ``configs``: path, text, or texts by path.
     """
 
-    @F.udf("array<string>")
     def candidates(path: str, specifier: str, table: list) -> list[str]:
         if specifier.startswith("."):
             bases = [posixpath.normpath(posixpath.join(posixpath.dirname(path), specifier))]
@@ -131,7 +133,13 @@ def script_imports(facts: DataFrame, files: DataFrame, configs: DataFrame | dict
         above = rows.where(~F.startswith("specifier", F.lit("."))).select("path").distinct().select("path", F.explode(F.array_distinct(F.concat(paths.ancestors(F.col("path")), F.array(F.lit(""))))).alias("directory"))
         near = above.join(table.select("directory"), "directory").groupBy("path").agg(F.max_by("directory", F.length("directory")).alias("directory"))
         rows = rows.join(near, "path", "left").join(table, "directory", "left").drop("directory")
-    rows = rows.select("path", "specifier", F.posexplode(candidates("path", "specifier", "table")).alias("rank", "target"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p, s, rank, target) for p, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for rank, target in enumerate(candidates(p, s, [(x["pattern"], x["target"]) for x in t or ()]))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))], ["path", "specifier", "rank", "target"])
+
+    rows = rows.select("path", "specifier", "table").mapInArrow(run, "path string, specifier string, rank int, target string")
     best = rows.join(files.select(F.col("path").alias("target")), "target").groupBy("path", "specifier").agg(F.min(F.struct("rank", "target")).alias("b"))
     return best.select(F.col("path").alias("source"), "b.target", F.col("specifier").alias("name")).where("source <> target").distinct()
 
@@ -169,12 +177,13 @@ def nodes_and_edges(files: DataFrame, facts: DataFrame, resolved: DataFrame) ->
     return file_nodes.unionByName(def_nodes), edges.withColumn("weight", F.lit(1).cast("long"))
 
 
-def export_closure(facts: DataFrame, files: DataFrame, resolved: DataFrame, surface: str, depth: int = 12, cut=None) -> DataFrame:
+def export_closure(facts: DataFrame, files: DataFrame, resolved: DataFrame, surface: str, cut=None) -> DataFrame:
     """(name, origin): public names of a file, followed through re-exports to where they are defined.
 
     ``resolved``: source, target, name of script imports. Names exported by the file itself
     come before those of ``export *``; a name whose module isn't local keeps its specifier.
-    Each round follows one step; files once visited aren't visited again.
+    Each round follows one step, until no new file is reached; files once visited aren't visited
+    again, so rings end. ``cut`` materialises a round; without it chains should be short.
     """
     steps = facts.where("kind = 'reexport'").select("path", F.col("name").alias("public"), F.col("identifier").alias("specifier"), F.col("detail").alias("imported"))
     steps = steps.join(resolved.select(F.col("source").alias("path"), F.col("name").alias("specifier"), "target"), ["path", "specifier"], "left")
@@ -183,7 +192,7 @@ def export_closure(facts: DataFrame, files: DataFrame, resolved: DataFrame, surf
     spark = facts.sparkSession
     frontier = spark.createDataFrame([(surface, None, None)], "path string, wanted string, public string")
     seen, found = frontier.select("path", "wanted"), None
-    for hop in range(depth):
+    for hop in count():
         named = F.col("wanted").isNull() | (F.col("wanted") == F.col("p"))
         here = frontier.join(plain.select("path", F.col("public").alias("p")), "path").where(named).select(F.coalesce("public", "p").alias("name"), F.col("path").alias("origin"), F.lit(2 * hop).alias("rank"))
         through = frontier.join(steps.select("path", F.col("public").alias("p"), "specifier", "imported", "target"), "path").where(named | (F.col("imported") == "*"))

@@ -103,3 +103,16 @@ def symbols_by_name(fact_rows: DataFrame) -> DataFrame:
     spans = fact_rows.where("kind = 'function'").select("name", "path", "line")
     names = fact_rows.where("kind = 'export'").select("name", "path").distinct().join(spans.select("name", "path"), ["name", "path"], "left_anti")
     return spans.unionByName(names.withColumn("line", F.lit(0)))
+
+
+def relationship_counts(rows: DataFrame) -> DataFrame:
+    """One row of counts over profiled files: file, entry, imports_local, relative, reexports_local, extends, inherits."""
+    python = F.endswith("file", F.lit(".py"))
+
+    def total(column: str, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(column))), F.lit(0))
+
+    return rows.agg(
+        F.count("*").alias("files"), total("imports_local", python).alias("python_imports"), total("imports_local", ~python).alias("script_imports"), F.count_if("entry").alias("entrypoints"),
+        total("relative", ~python).alias("script_relative"), total("relative", python).alias("python_relative"), total("reexports_local", ~python).alias("script_reexports"),
+        total("inherits", python).alias("python_inheritance"), total("extends", ~python).alias("script_inheritance"), F.count_if(F.col("imports_local") > 0).alias("importing"))

@@ -17,6 +17,8 @@ from corpuscle.operators.stats import first_n_per_key
 ROWS_PER_FILE = 2
 WINDOW_LINES = 50
 ANCHORS = 2
+#: Phrases that one expression looks for.
+DIRECT = 200
 
 
 def lines(files: DataFrame, *keep: str) -> DataFrame:
@@ -130,7 +132,7 @@ def anchors(files: DataFrame, windows: DataFrame, query: str) -> DataFrame:
 
 def ranked_coverage(files: DataFrame, query: str) -> DataFrame:
     """Files of the strongest coverage in rank order: terms, path rank, content terms, span, path."""
-    scored = coverage(files, query)
+    scored = coverage(files, query).persist()  # one pass over the texts; its rows are small
     best = scored.agg(F.max("matched").alias("_best"))
     top = scored.join(F.broadcast(best), F.col("matched") == F.col("_best")).drop("_best", "hits")
     spans = cohesive_windows(files.join(top.select("path"), "path", "left_semi"), query)
@@ -168,3 +170,27 @@ def decisive(files: DataFrame, query: str) -> list[str] | None:
 def match_rank(path: Column, content: Column, query: str, definition: Column) -> Column:
     """Where a match ranks; lower is better: path, then deprecation, then definitions first."""
     return paths.relevance(path, text.search_terms(query)) + F.when(content.rlike(r"(?i)\bdeprecated\b"), 4).otherwise(0) - definition.cast("int")
+
+
+def phrase_matches(documents: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of documents (doc_id, text) that hold a phrase (item_id, phrase) as it is.
+
+    A phrase of five words or more meets the documents that have its second to fourth word in a
+    row, by equality; the whole phrase is then looked for. Shorter ones are looked for directly,
+    in one expression for each ``DIRECT`` of them.
+    """
+    cut = phrases.where("phrase <> ''").withColumn("_w", F.split("phrase", " "))
+    key = F.concat_ws(" ", F.slice("_w", 2, 3))
+    long = cut.where(F.size("_w") >= 5).select("item_id", "phrase", key.alias("_key"))
+    words = F.split("text", " ")
+    runs = F.when(F.size(words) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(3))))))
+    rows = documents.select("doc_id", "text", runs.alias("_runs"))
+    pairs = rows.select("doc_id", F.explode("_runs").alias("_key")).join(long, "_key").select("doc_id", "item_id", "phrase").distinct()
+    found = documents.join(pairs, "doc_id").where(F.contains("text", F.col("phrase"))).select("doc_id", "item_id")
+    short = cut.where(F.size("_w") < 5).select("item_id", "phrase")
+    for part in range(max(1, -(-short.count() // DIRECT))):
+        some = short.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-short.count() // DIRECT)))) == part).collect()  # about DIRECT rows
+        if some:
+            flags = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(r.phrase)), F.lit(r.item_id)) for r in some)))
+            found = found.unionByName(documents.select("doc_id", F.explode(flags).alias("item_id")))
+    return found.distinct()

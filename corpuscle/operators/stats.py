@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
 MOST_BINS = 10
+#: Ranges of values that a population is split into to order it.
+SLICES = 64
 
 
 def finite(value: Column) -> Column:
@@ -21,13 +23,40 @@ def finite(value: Column) -> Column:
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation (0 of one value), extremes and exact quantiles, without non-finite values.
 
-    Quantiles interpolate linearly. An empty population has zeros throughout.
+    Quantiles interpolate linearly. An empty population has zeros throughout. Values are
+    counted first; their counts are summed up in order, in ``SLICES`` ranges of values that
+    approximate quantiles cut, so that no task holds a population. The order statistics that
+    the quantiles lie between are then read from the sums.
     """
-    rows = df.select(*(by or []), finite(F.col(value)).alias("_v")).where("_v IS NOT NULL")
-    q = F.percentile("_v", F.array(*(F.lit(x) for x in QUANTILES.values())))
-    figures = rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.min("_v").alias("low"), q.alias("_q"), F.max("_v").alias("high"))
-    columns = [*(by or []), "n", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "std", "low")), *(F.coalesce(F.get("_q", F.lit(i)), F.lit(0.0)).alias(k) for i, k in enumerate(QUANTILES)), F.coalesce("high", F.lit(0.0)).alias("high")]
-    return figures.select(*columns)
+    keys = by or []
+    rows = df.select(*keys, finite(F.col(value)).alias("_v")).where("_v IS NOT NULL")
+    cuts = F.percentile_approx("_v", F.array(*(F.lit(i / SLICES) for i in range(1, SLICES))), F.lit(1000))
+    figures = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.min("_v").alias("low"), F.max("_v").alias("high"), cuts.alias("_cuts"))
+    marks = figures.select(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(keys)), F.col("n").alias("_all"), "_cuts")
+    same = [F.col(k).eqNullSafe(F.col(f"_by{i}")) for i, k in enumerate(keys)]
+    counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    paired = counts.join(marks, same) if keys else counts.crossJoin(F.broadcast(marks))  # one row for each group
+    paired = paired.select(*keys, "_v", "_n", "_all", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_slice"))
+    sums = paired.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_in"))
+    up = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows for each group
+    sums = sums.select(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_s"), F.coalesce(F.sum("_in").over(up), F.lit(0)).alias("_before"))
+    placed = paired.join(sums, [*same, F.col("_slice") == F.col("_s")])
+    within = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_v")))
+
+    picked = placed.groupBy(*keys).agg(*(at(f((F.col("_all") - 1) * q)).alias(f"_{k}_{side}") for k, q in QUANTILES.items() for side, f in (("lo", F.floor), ("hi", F.ceil))))
+    picked = picked.select(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(keys)), *(c for c in picked.columns if c not in keys))
+    joined = figures.join(picked, same, "left") if keys else figures.crossJoin(F.broadcast(picked))  # one row each
+
+    def quantile(k: str, q: float) -> Column:
+        part = (F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)
+        return F.col(f"_{k}_lo") * (1 - part) + F.col(f"_{k}_hi") * part
+
+    columns = [*keys, "n", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "std", "low")), *(F.coalesce(quantile(k, q), F.lit(0.0)).alias(k) for k, q in QUANTILES.items()), F.coalesce("high", F.lit(0.0)).alias("high")]
+    return joined.select(*columns)
 
 
 def bins(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -120,3 +149,43 @@ def skyline(df: DataFrame, measures: list[str]) -> DataFrame:
         passes = passes | (F.col(f"_{m}") > F.col(m))
     front = few.join(other, reaches & passes, "left_anti")
     return df.join(front.select(*(F.col(m).alias(f"_{m}") for m in measures)), [F.col(m).cast("double") == F.col(f"_{m}") for m in measures], "left_semi")
+
+
+def adjacent_groups(df: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
+    """(key, block, value, rows): neighbours of one value as one block, numbered from 1."""
+    w = Window.partitionBy(*key).orderBy(order)
+    before = F.lag(value).over(w)
+    new = F.when((F.row_number().over(w) == 1) | ~before.eqNullSafe(F.col(value)), 1).otherwise(0)
+    return df.withColumn("_new", new).withColumn("block", F.sum("_new").over(w)).groupBy(*key, "block").agg(F.first(value).alias(value), F.count("*").alias("rows"))
+
+
+def capped(df: DataFrame, flag: str, order: list[Column], cap: int, limit: int) -> DataFrame:
+    """The ``limit`` best rows with at most ``cap`` flagged ones, unless others run out."""
+    few = df.where(flag).orderBy(*order).limit(limit).unionByName(df.where(f"NOT {flag}").orderBy(*order).limit(limit))  # as many of each kind fill all places
+    later = F.col(flag) & (F.row_number().over(Window.partitionBy(flag).orderBy(*order)) > cap)
+    return few.withColumn("_later", later).orderBy("_later", *order).limit(limit).drop("_later")
+
+
+def innermost_spans(points: DataFrame, spans: DataFrame, width: int) -> DataFrame:
+    """(id, span): for each point (id, key, at) the latest span (span, key, start, stop) that strictly holds it.
+
+    Spans of up to ``width`` units lie in the cells of that width that they touch, points in one;
+    they meet in cells, so a busy key is split over time.
+    """
+    cell = lambda c: F.floor(F.col(c) / width)
+    held = spans.withColumn("_cell", F.explode(F.sequence(cell("start"), cell("stop"))))
+    rows = points.withColumn("_cell", cell("at")).join(held, ["key", "_cell"]).where("start < at AND at < stop")
+    return rows.groupBy("id").agg(F.max_by("span", F.struct("start", "span")).alias("span"))
+
+
+def unseen(df: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct keys of ``df`` that ``seen`` lacks."""
+    return df.select(*key).distinct().join(seen.select(*key), key, "left_anti")
+
+
+def in_all(key: list[str], first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Distinct keys that every relation has."""
+    out = first.select(*key).distinct()
+    for other in others:
+        out = out.join(other.select(*key), key, "left_semi")
+    return out

@@ -241,21 +241,22 @@ def ordered_distinct(spark, sf_dir):
 @query("except_labelled", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def except_labelled(spark, sf_dir):
     """Documents without a label."""
-    return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").select("doc_id"))
+    return stats.unseen(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query("intersect_labelled", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels WHERE toxic = 1")
 def intersect_labelled(spark, sf_dir):
     """Documents with a toxic label."""
-    return table(spark, sf_dir, "documents").select("doc_id").intersect(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
+    return stats.in_all(["doc_id"], table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 1"))
 
 
 @query("merged_rows", "SELECT doc_id, quality, 1 AS lane FROM labels UNION ALL SELECT d.doc_id, NULL, 2 FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def merged_rows(spark, sf_dir):
     """Labelled rows first, then documents that no label names."""
-    labels = table(spark, sf_dir, "labels")
-    rest = table(spark, sf_dir, "documents").join(labels, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(2).alias("lane"))
-    return labels.select("doc_id", F.col("quality").cast("int").alias("quality"), F.lit(1).alias("lane")).union(rest)
+    from corpuscle.operators import surfaces
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    return surfaces.merged_metrics(labels, table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
 
 
 @query("line_counts", f"""WITH files AS ({_FILES}) SELECT path, (CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) END)::INT AS n_lines FROM files""")
@@ -270,11 +271,10 @@ def first_turns(spark, sf_dir):
     return stats.first_n_per_key(table(spark, sf_dir, "conversations"), ["conv_id"], [F.col("turn")], 2).select("conv_id", "turn", "role")
 
 
-@query("benchmark_phrases", f"""WITH files AS ({_FILES}), b AS (SELECT item_id, lower(string_split(text, '.')[1]) AS phrase FROM benchmark WHERE item_id < 8)
-    SELECT item_id, count(*) AS n FROM b, files WHERE contains(lower(files.text), phrase) GROUP BY item_id""")
+@query("benchmark_phrases", f"""WITH files AS ({_FILES}), b AS (SELECT item_id, lower(string_split(text, '.')[1]) AS phrase FROM benchmark)
+    SELECT item_id, count(*) AS n FROM b, files WHERE phrase <> '' AND contains(lower(files.text), phrase) GROUP BY item_id""")
 def benchmark_phrases(spark, sf_dir):
-    """Documents that hold the first sentence of eight benchmark items, in one pass."""
-    items = {r.item_id: r.text.split(".")[0].lower() for r in table(spark, sf_dir, "benchmark").where("item_id < 8").collect()}  # eight rows
-    low = F.lower("text")
-    flags = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(p)), F.lit(i).cast("long")) for i, p in items.items())))
-    return table(spark, sf_dir, "documents").select(F.explode(flags).alias("item_id")).groupBy("item_id").agg(F.count("*").alias("n"))
+    """Documents that hold the first sentence of each benchmark item."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring_index("text", ".", 1)).alias("phrase"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return search.phrase_matches(docs, items).groupBy("item_id").agg(F.count("*").alias("n"))

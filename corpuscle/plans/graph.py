@@ -10,7 +10,7 @@ from corpuscle.sources.tables import table
 
 _EDGES = """e AS (SELECT 'c' || o_custkey AS source, 's' || l_suppkey AS target, count(*) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"""
 _STEPS = """r AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, user_id FROM events),
-  s AS (SELECT a || user_id % 50 AS source, b || (user_id + 1) % 50 AS target, count(*) AS weight FROM r WHERE b IS NOT NULL GROUP BY 1, 2)"""
+  s AS (SELECT a || user_id AS source, b || (user_id + 1) AS target, count(*) AS weight FROM r WHERE b IS NOT NULL GROUP BY 1, 2)"""
 _NATIONS = f"""{_EDGES}, owner AS (SELECT 'c' || c_custkey AS node, c_nationkey AS boundary FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey FROM supplier),
   b AS (SELECT x.boundary AS source, y.boundary AS target, sum(weight)::BIGINT AS weight FROM e JOIN owner x ON e.source = x.node JOIN owner y ON e.target = y.node WHERE x.boundary <> y.boundary GROUP BY 1, 2)"""
 
@@ -22,13 +22,13 @@ def edges(spark, sf_dir):
 
 
 def steps(spark, sf_dir):
-    """Transitions between event types in folds of users: a small graph with cycles."""
+    """Transitions between event types, from each user to the next: a graph that grows with the users."""
     from pyspark.sql import Window
 
     after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("a"), after.alias("b")).where("b IS NOT NULL")
-    fold = lambda c, k: F.concat(c, ((F.col("user_id") + k) % 50).cast("string"))
-    return rows.groupBy(fold("a", 0).alias("source"), fold("b", 1).alias("target")).agg(F.count("*").alias("weight"))
+    at = lambda c, k: F.concat(c, (F.col("user_id") + k).cast("string"))
+    return rows.groupBy(at("a", 0).alias("source"), at("b", 1).alias("target")).agg(F.count("*").alias("weight"))
 
 
 def boundary(spark, sf_dir):
@@ -103,7 +103,7 @@ def boundary_edges(spark, sf_dir):
 
 @query("structural_roles", f"""WITH {_NATIONS}, one AS (SELECT DISTINCT source, target FROM b), two AS (SELECT * FROM one UNION SELECT x.source, y.target FROM one x JOIN one y ON x.target = y.source),
   outs AS (SELECT source AS node, count(*) AS n, sum(weight) AS w FROM b GROUP BY 1), ins AS (SELECT target AS node, count(*) AS n, sum(weight) AS w FROM b GROUP BY 1),
-  wide AS (SELECT two.source AS node, count(*) AS n, any_value(w) AS w FROM two JOIN outs ON outs.node = two.source WHERE two.source < 5 GROUP BY 1),
+  wide AS (SELECT two.source AS node, count(*) AS n, any_value(w) AS w FROM two JOIN outs ON outs.node = two.source GROUP BY 1),
   en AS (SELECT * FROM (SELECT *, rank() OVER (ORDER BY n DESC, w DESC) AS r FROM wide) WHERE r = 1 QUALIFY count(*) OVER () = 1),
   co AS (SELECT * FROM (SELECT *, rank() OVER (ORDER BY n DESC, w DESC) AS r FROM outs WHERE n >= 2) WHERE r = 1 QUALIFY count(*) OVER () = 1),
   fo AS (SELECT * FROM (SELECT *, rank() OVER (ORDER BY n DESC, w DESC) AS r FROM ins WHERE n >= 2) WHERE r = 1 QUALIFY count(*) OVER () = 1),
@@ -113,8 +113,8 @@ def boundary_edges(spark, sf_dir):
     CASE WHEN fo.node IS NOT NULL AND k > 1 THEN fo.n / (k - 1) END FROM (co FULL JOIN fo ON co.node = fo.node), k""")
 def structural_roles(spark, sf_dir):
     """Entry, coordination and foundation among nations."""
-    b = boundary(spark, sf_dir)
-    return graph.roles(b, b.where("source < 5").select(F.col("source").alias("node")))
+    b = boundary(spark, sf_dir).persist()  # used six times; one row for each pair of boundaries
+    return graph.roles(b, b.select(F.col("source").alias("node")))
 
 
 @query("import_boundary", f"""WITH {_STEPS}, p AS (SELECT DISTINCT source, target FROM s) SELECT source, target, 'out' AS direction FROM p WHERE source LIKE 'click%' AND target NOT LIKE 'click%'
@@ -132,11 +132,12 @@ def widened_set(spark, sf_dir):
     return graph.widened(steps(spark, sf_dir), spark.createDataFrame([("click0",)], "node string"))
 
 
-@query("schema_counts", f"WITH {_EDGES} SELECT 'customer' AS label, count(DISTINCT source) AS n FROM e UNION ALL SELECT 'supplier', count(DISTINCT target) FROM e UNION ALL SELECT 'BUYS', count(*) FROM e")
+@query("schema_counts", f"WITH {_EDGES} SELECT 'labels' AS part, 'customer' AS name, count(DISTINCT source) AS n FROM e UNION ALL SELECT 'labels', 'supplier', count(DISTINCT target) FROM e UNION ALL SELECT 'types', CASE WHEN weight > 1 THEN 'OFTEN' ELSE 'ONCE' END, count(*) FROM e GROUP BY 2")
 def schema_counts(spark, sf_dir):
     """Nodes of each label and edges of each type."""
-    e = edges(spark, sf_dir).withColumn("k", F.explode(F.array(F.struct(F.lit("customer").alias("label"), F.col("source").alias("x")), F.struct(F.lit("supplier").alias("label"), F.col("target").alias("x")), F.struct(F.lit("BUYS").alias("label"), F.concat_ws(">", "source", "target").alias("x")))))
-    return e.select("k.label", "k.x").distinct().groupBy("label").agg(F.count("*").alias("n"))
+    e = edges(spark, sf_dir)
+    nodes = e.select(F.col("source").alias("id"), F.lit("customer").alias("type")).union(e.select("target", F.lit("supplier"))).distinct()
+    return graph.schema_counts(nodes, e.withColumn("type", F.when(F.col("weight") > 1, "OFTEN").otherwise("ONCE")))
 
 
 @query("most_called", f"WITH {_EDGES} SELECT target, count(*) AS fan_in, count(*) / (SELECT count(*) FROM e) AS share FROM e GROUP BY target ORDER BY fan_in DESC, target LIMIT 10")

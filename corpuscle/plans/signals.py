@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuscle.operators import stats
@@ -14,8 +13,7 @@ from corpuscle.sources.tables import table
 def argmax_per_key(spark, sf_dir):
     """The largest line of each supplier, the earliest of equals."""
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
-    best = rows.groupBy("l_suppkey").agg(F.min(F.struct((-F.col("l_extendedprice")).alias("p"), "l_orderkey", "l_linenumber")).alias("b"))
-    return best.select("l_suppkey", "b.l_orderkey", "b.l_linenumber", (-F.col("b.p")).alias("l_extendedprice"))
+    return stats.best_per_key(rows, ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")])
 
 
 @query("topk_total_order", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
@@ -57,29 +55,33 @@ def unique_winner(spark, sf_dir):
 def capped_surfaces(spark, sf_dir):
     """The eight best orders with at most two of one kind, unless others run out."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").startswith("1").alias("surface"), "o_totalprice")
-    # eight of each kind are enough to fill eight places
-    few = o.where("surface").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(8).unionByName(o.where("NOT surface").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(8))
-    r = F.row_number().over(Window.partitionBy("surface").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return few.withColumn("_later", F.col("surface") & (r > 2)).orderBy("_later", F.desc("o_totalprice"), "o_orderkey").limit(8).drop("_later")
+    return stats.capped(o, "surface", [F.desc("o_totalprice"), F.col("o_orderkey")], 2, 8)
 
 
 @query("span_members", """WITH p AS (SELECT event_id AS s, user_id, ts AS t0, ts + INTERVAL 2 HOUR AS t1 FROM events WHERE event_type = 'purchase')
   SELECT e.event_id, max_by(p.s, (p.t0, p.s)) AS span FROM events e JOIN p ON e.user_id = p.user_id AND p.t0 < e.ts AND e.ts < p.t1 GROUP BY e.event_id""")
 def span_members(spark, sf_dir):
     """The innermost span that strictly holds each event; user is the equal key, time the range."""
-    e = table(spark, sf_dir, "events")
-    p = e.where("event_type = 'purchase'").select(F.col("event_id").alias("s"), F.col("user_id").alias("u"), F.col("ts").alias("t0"), (F.col("ts") + F.expr("INTERVAL 2 HOUR")).alias("t1"))
-    rows = e.join(p, (F.col("user_id") == F.col("u")) & (F.col("t0") < F.col("ts")) & (F.col("ts") < F.col("t1")))
-    return rows.groupBy("event_id").agg(F.max_by("s", F.struct("t0", "s")).alias("span"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    hours = 2 * 3600 * 1_000_000
+    spans = e.where("event_type = 'purchase'").select(F.col("id").alias("span"), "key", F.col("at").alias("start"), (F.col("at") + hours).alias("stop"))
+    return stats.innermost_spans(e.select("id", "key", "at"), spans, hours).withColumnRenamed("id", "event_id")
 
 
-@query("relationship_counts", """SELECT count(*) AS n_lines, count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_discount > 0) AS discounted, count(*) FILTER (l_quantity >= 40) AS large,
-  count(DISTINCT l_suppkey) AS suppliers, count(*) FILTER (l_shipdate > TIMESTAMP '1997-01-01') AS recent FROM lineitem""")
+@query("relationship_counts", """WITH f AS (SELECT 'f' || l_orderkey || CASE WHEN l_orderkey % 3 = 0 THEN '.py' ELSE '.ts' END AS file, sum(l_linenumber) AS imports_local, count(*) FILTER (l_returnflag = 'R') AS extends, count(*) FILTER (l_linestatus = 'F') AS inherits,
+  count(*) FILTER (l_discount > 0.05) AS reexports_local, min(l_linenumber) AS relative, min(l_suppkey) % 10 = 0 AS entry FROM lineitem GROUP BY l_orderkey), g AS (SELECT *, file LIKE '%.py' AS py FROM f)
+  SELECT count(*) AS files, sum(imports_local) FILTER (py)::BIGINT AS python_imports, sum(imports_local) FILTER (NOT py)::BIGINT AS script_imports, count(*) FILTER (entry) AS entrypoints, sum(relative) FILTER (NOT py)::BIGINT AS script_relative,
+  sum(relative) FILTER (py)::BIGINT AS python_relative, sum(reexports_local) FILTER (NOT py)::BIGINT AS script_reexports, sum(inherits) FILTER (py)::BIGINT AS python_inheritance, sum(extends) FILTER (NOT py)::BIGINT AS script_inheritance,
+  count(*) FILTER (imports_local > 0) AS importing FROM g""")
 def relationship_counts(spark, sf_dir):
-    """Several conditional counts in one pass."""
-    return table(spark, sf_dir, "lineitem").agg(
-        F.count("*").alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_discount") > 0).alias("discounted"), F.count_if(F.col("l_quantity") >= 40).alias("large"),
-        F.countDistinct("l_suppkey").alias("suppliers"), F.count_if(F.col("l_shipdate") > F.lit("1997-01-01").cast("timestamp")).alias("recent"))
+    """Ten conditional counts and sums over profiled files, in one pass."""
+    from corpuscle.operators import profiles
+
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_linenumber").alias("imports_local"), F.count_if(F.col("l_returnflag") == "R").alias("extends"), F.count_if(F.col("l_linestatus") == "F").alias("inherits"),
+        F.count_if(F.col("l_discount") > 0.05).alias("reexports_local"), F.min("l_linenumber").alias("relative"), (F.min("l_suppkey") % 10 == 0).alias("entry"))
+    name = F.concat(F.lit("f"), "l_orderkey", F.when(F.col("l_orderkey") % 3 == 0, ".py").otherwise(".ts"))
+    return profiles.relationship_counts(rows.withColumn("file", name))
 
 
 @query("share_threshold", """WITH w AS (SELECT lang, sum(octet_length(encode(text))) AS b FROM documents GROUP BY 1) SELECT lang, b::BIGINT AS bytes FROM w WHERE b >= 0.2 * (SELECT sum(b) FROM w)""")
@@ -93,7 +95,4 @@ def share_threshold(spark, sf_dir):
   g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM t) SELECT conv_id, k::BIGINT AS block, any_value(role) AS role, count(*) AS turns FROM g GROUP BY conv_id, k""")
 def adjacent_groups(spark, sf_dir):
     """Neighbours of one kind as one group."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    before = F.lag("role").over(w)
-    t = table(spark, sf_dir, "conversations").withColumn("new", F.when(before.isNull() | (before != F.col("role")), 1).otherwise(0))
-    return t.withColumn("block", F.sum("new").over(w)).groupBy("conv_id", "block").agg(F.first("role").alias("role"), F.count("*").alias("turns"))
+    return stats.adjacent_groups(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role").withColumnRenamed("rows", "turns")

@@ -44,8 +44,8 @@ def syntax_calls(spark, sf_dir):
 
 def _resolved(spark):
     files = tree(spark)
-    rows = facts.facts(files)
-    return files, rows, imports.import_map(rows, files.select("path"))
+    rows = facts.facts(files).persist()  # sources are scanned once
+    return files, rows, imports.import_map(rows, files.select("path")).persist()
 
 
 @query("import_map", """SELECT * FROM (VALUES ('pkg/__init__.py','pkg/core.py'),('pkg/core.py','pkg/util.py'),('pkg/broken.py','pkg/util.py'),('main.py','pkg/core.py'),('main.py','pkg/util.py'),
@@ -59,8 +59,8 @@ def import_map(spark, sf_dir):
 def export_closure(spark, sf_dir):
     """Public names of an index, followed to where they are defined."""
     files = tree(spark)
-    rows = facts.facts(files)
-    return imports.export_closure(rows, files, imports.script_imports(rows, files.select("path")), "web/index.ts", depth=4)
+    rows = facts.facts(files).persist()
+    return imports.export_closure(rows, files, imports.script_imports(rows, files.select("path")), "web/index.ts")
 
 
 @query("graph_edge_types", "SELECT * FROM (VALUES ('imports', 8::BIGINT), ('contains', 12::BIGINT), ('calls', 4::BIGINT)) AS t(type, n)")
@@ -105,7 +105,8 @@ def variables(spark, sf_dir):
 
 def _graph(spark):
     files, rows, pairs = _resolved(spark)
-    return rows, pairs, *imports.nodes_and_edges(files.select("path", search.line_count(F.col("text")).alias("n_lines")), rows, pairs)
+    nodes, edges = imports.nodes_and_edges(files.select("path", search.line_count(F.col("text")).alias("n_lines")), rows, pairs)
+    return rows, pairs, nodes.persist(), edges.persist()
 
 
 @query("likely_entries", """SELECT * FROM (VALUES ('main.py', 110, 'implementation surface'), ('web/index.ts', 129, 'package surface'), ('pkg/__init__.py', 47, 'package surface'),
