@@ -43,6 +43,20 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+#: Languages that patterns and rules may name.
+LANGUAGES = ("python", "py", "typescript", "ts", "tsx", "javascript", "js", "jsx")
+
+
+def readable_reason(reason: str) -> str:
+    """A failure as one line: the hint of a JSON reason, with its outcome; other reasons as they are."""
+    try:
+        payload = json.loads(reason)
+    except ValueError:
+        return reason.strip().split("\n")[0]
+    hint, outcome = (str(payload.get(k) or "").strip() for k in ("hint", "outcome")) if isinstance(payload, dict) else ("", "")
+    return ": ".join(x for x in (outcome, hint) if x) if hint else reason
+
+
 def answer(engine, args: argparse.Namespace):
     """The answer of one command; ValueError on bad usage."""
     if args.command == "summary":
@@ -68,16 +82,27 @@ def answer(engine, args: argparse.Namespace):
     first, rest = args.words[0], args.words[1:]
     if first == "calls" and rest:
         return engine.calls(rest[0], args.limit if args.limit != 15 else 1000)
+    structural = None
     if first == "match" and args.pattern:
-        return engine.match(args.pattern, args.lang)
+        if args.lang and args.lang.lower() not in LANGUAGES:
+            raise NotImplementedError(f"no scanner for {args.lang}")
+        structural = engine.match(args.pattern, args.lang)
     if first == "rule" and args.rule:
-        with open(args.rule) as f:
-            return engine.rule(f.read())
+        try:
+            with open(args.rule) as f:
+                text = f.read()
+        except OSError as error:
+            raise ValueError(f"rule file: {error.strerror}") from error
+        structural = engine.rule(text)
+    if structural is not None:
+        from corpuscle.operators.match import match_json
+
+        return {"total": len(structural), "matches": [match_json(r) for r in structural]} if args.json and structural else structural
     return engine.search(" ".join(args.words), "graph" if args.graph else "semantic" if args.semantic else "source", args.limit, **filters)
 
 
 def main(argv: list[str] | None = None) -> int:
-    """0: an answer, 1: none or an error, 2: bad usage."""
+    """0: an answer, 1: none or an error, 2: bad usage, 127: a language without a scanner."""
     args = parser().parse_args(argv)
     from pyspark.sql import SparkSession
 
@@ -90,6 +115,12 @@ def main(argv: list[str] | None = None) -> int:
         except ValueError as error:
             print(error, file=sys.stderr)
             return 2
+        except NotImplementedError as error:
+            print(error, file=sys.stderr)
+            return 127
+        except Exception as error:  # of Spark, mostly: one line, no trace
+            print(readable_reason(str(error)), file=sys.stderr)
+            return 1
     plain = json.loads(json.dumps(out, default=str))
     print(render.json_within(plain) if args.json else render.text_within("\n".join(render.document(plain, args.command))))
     return 0 if out else 1

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import paths, render, text
 from corpuscle.operators import facts as fact_rows
-from corpuscle.operators import graph, imports, inspect_entries, match, search, stats
+from corpuscle.operators import definitions, graph, imports, inspect_entries, match, overview, search, stats
+from corpuscle.operators import profiles as profile_rows
 from corpuscle.sources import files as file_source
 
 SECTIONS = ("all", "top", "files", "functions", "variables", "usage", "lengths", "relationships", "docstrings", "stats")
@@ -94,8 +95,11 @@ class Engine:
             found = search.path_matches(files, query).orderBy("exactness", "path").limit(limit).collect()
             if found:
                 return [{"lane": "path", "path": r.path} for r in found]
-        for symbol in text.definition_symbols(query) if "." not in query else []:
-            rows = search.definition_matches(files, symbol).withColumn("rank", search.match_rank(F.col("path"), F.col("text"), query, F.lit(True)))
+        symbols = text.definition_symbols(query) if "." not in query else []
+        if symbols:
+            phrase = symbols != [query]
+            rows = definitions.symbol_definitions(files, self.facts, symbols, callable_only=phrase, include_tests=self.include_tests)
+            rows = rows.withColumn("rank", search.match_rank(F.col("path"), F.col("text"), query, F.lit(True)))
             found = rows.orderBy("rank", "path", "line").limit(limit).collect()
             if found:
                 return [{"lane": "definition", "path": r.path, "line": r.line, "text": r.text} for r in found]
@@ -165,9 +169,12 @@ class Engine:
         return [r.asDict() for r in rows.orderBy("path", "line", "col").limit(limit).collect()]
 
     def rule(self, rule_text: str, limit: int = 1000) -> list[dict]:
-        """Matches of a rule file's pattern."""
+        """Matches of a rule file: ``pattern``, ``kind``, ``any``, ``all``, ``not``, ``has``, ``inside``, ``regex``."""
         rule = file_source.rule_file(rule_text)
-        return self.match(str(rule["rule"].get("pattern", "")), rule["language"], limit)
+        if rule["rule"].keys() == {"pattern"}:
+            return self.match(str(rule["rule"]["pattern"]), rule["language"], limit)
+        rows = match.rule_matches(self.files, rule["rule"], rule["language"])
+        return [r.asDict() for r in rows.orderBy("path", "line", "col").limit(limit).collect()]
 
     def profiles(self) -> DataFrame:
         p = F.col("path")
@@ -219,12 +226,16 @@ class Engine:
             out["inheritance_hubs"] = [r.asDict() for r in heirs.orderBy(F.desc("count"), "file").limit(3).select("file", "count").collect()]
         if want("relationships"):
             counts = profiles.agg(F.count("*").alias("files"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("defines", "imports_local", "exports", "reexports_local", "extends", "inherits", "decorators")))
-            out["relationships"] = counts.first().asDict()
+            relative = self.facts.where("kind IN ('import', 'from') AND (identifier LIKE '.%' OR kind = 'from' AND detail <> '0')").groupBy(F.col("path").alias("file")).agg(F.count("*").alias("relative"))
+            counted = profiles.join(relative, "file", "left").withColumn("relative", F.coalesce("relative", F.lit(0))).withColumn("entry", F.col("role") == "likely entrypoint")
+            out["relationships"] = counts.first().asDict() | profile_rows.relationship_counts(counted).first().asDict()
         if want("top") or section == "all":
             rows = self._production(fact_rows.metrics(self.files))
             out["complex_functions"] = top(rows, F.desc("cognitive"), F.desc("cyclomatic"), F.desc("span"), "path", "identifier")
         if want("docstrings"):
             out["docstrings"] = self.documentation_totals()
+            out["documentation_focus"] = [r.asDict() for r in profile_rows.documentation_focus(self._production(self.docs), self.profiles()).orderBy("path", "kind").collect()]
+            out["likely_mains"] = [r.asDict() for r in profile_rows.likely_mains(self._production(self.docs)).collect()]
         return out
 
     def documentation_totals(self) -> dict[str, Any]:
@@ -241,8 +252,12 @@ class Engine:
             crossing = graph.import_boundary(pairs, inside.select(F.col("path").alias("node"))).orderBy("direction", "source", "target").limit(limit).collect()
             held = self.nodes.join(inside.select(F.col("path").alias("file_path")), "file_path", "left_semi")
             entries = inspect_entries.likely_entries(held, self.edges)
+            profiles = self.profiles()
             return {
                 "target": target,
+                "profile": profile_rows.directory_profile(profiles, target).first().asDict(),
+                "dense_files": [r.asDict() for r in profile_rows.dense_files(profiles, target, limit).select("file", "total", "samples").collect()],
+                "specifiers": [r.specifier for r in profile_rows.import_specifiers(self.facts, target).orderBy("first", "specifier").limit(limit).collect()],
                 "files": [r.asDict() for r in inside.orderBy(F.desc("n_lines"), "path").limit(limit).collect()],
                 "definitions": [r.asDict() for r in held.where("line_start IS NOT NULL").select("type", "name", "file_path", "line_start", "line_end").orderBy("file_path", "line_start").limit(limit).collect()],
                 "boundary": [r.asDict() for r in crossing],
@@ -255,6 +270,10 @@ class Engine:
         chosen = nodes.orderBy("tier", "file_path", "id").limit(limit).collect()
         best = [r for r in chosen if r.tier == min((c.tier for c in chosen), default=0)]
         out: dict[str, Any] = {"target": target, "candidates": [r.asDict() for r in best]}
+        variables = self.facts.where("kind = 'variable'").select(F.col("path").alias("file"), "name", F.concat_ws("::", "path", "name").alias("identifier"), "line", F.col("detail").alias("scope"))
+        named = variables.where((F.col("name") == target) | F.endswith("identifier", F.lit("::" + target)))
+        if not named.isEmpty():
+            out["variables"] = [r.asDict() for r in profile_rows.variable_profile(variables, self.profiles(), target).orderBy("identifier", "line").limit(limit).collect()]
         if len(best) == 1:
             node = best[0]
             calls = self.edges.where("type = 'calls'").select("source", "target")
@@ -262,6 +281,8 @@ class Engine:
             near = graph.adjacency(self.edges.select("source", "target", "type")).where(F.col("node") == node.id)
             out["related"] = [r.asDict() for r in near.orderBy("other").limit(limit).collect()]
             if node.line_start:
+                wanted = self.spark.createDataFrame([(node.file_path, node.name, node.type if node.type == "class" else "function", node.line_start)], "path string, name string, kind string, line int")
+                out["docstring"] = profile_rows.symbol_docstrings(self.docs, wanted).first().docstring
                 source = self.files.where(F.col("path") == node.file_path).first()
                 out["snippet"] = "\n".join((source.text or "").split("\n")[node.line_start - 1 : node.line_end])
         return out
@@ -280,20 +301,45 @@ class Engine:
         calls = self.edges.where("type = 'calls'")
         readme = self.files.where(F.lower("path").isin("readme.md", "readme.rst", "readme.txt", "readme")).first()
         labels = graph.clusters(pairs)
+        sizes = graph.cluster_summary(pairs, labels)
+        owners = labels.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_set("node")), 1, 100).alias("files"))
+        named = sizes.join(owners, "cluster").select("cluster", "members", F.lit(None).cast("string").alias("label"), F.transform("files", lambda f: paths.basename(f)).alias("names"), "files")
+        clusters = sizes.join(overview.cluster_labels(named), "cluster")
+        shown = self.facts.where("kind = 'export'").join(inventory.select("path"), "path", "left_semi").groupBy(F.col("path").alias("file")).agg(F.count_distinct("name").alias("names"))
+        reached = self.resolved.groupBy(F.col("source").alias("file")).agg(F.count_distinct("target").alias("origins"))
+        importers = graph.fan_in(pairs).select(F.col("node").alias("file"), F.col("importers").alias("fan_in"))
+        candidates = shown.join(reached, "file", "left").join(importers, "file", "left").join(entries_of(packages), "file", "left").na.fill(0, ["origins", "fan_in"]).withColumn("declared", F.coalesce("declared", F.lit(False)))
+        focus = roots.select("boundary").distinct().withColumn("ord", F.dense_rank().over(Window.orderBy("boundary"))).select("ord", F.col("boundary").alias("focus"))
+        surfaces = overview.surface_winners(candidates, focus).join(shown, "file")
+        between = overview.added_weights(between, overview.package_edges(packages, packages.select("root", F.explode("dependencies").alias("dependency"))))
         return {
             "languages": [r.asDict() for r in stats.shares(inventory, "language", F.col("n_bytes")).orderBy(F.desc("weight"), "language").collect()],
             "packages": [r.asDict() for r in packages.orderBy("root").collect()],
             "roles": [r.asDict() for r in graph.roles(between, entries).orderBy("role").collect()],
             "boundaries": [r.asDict() for r in between.orderBy(F.desc("weight"), "source", "target").limit(20).collect()],
-            "surfaces": [r.asDict() for r in self.facts.where("kind = 'export'").where(paths.is_conventional_surface(F.col("path"))).groupBy("path").agg(F.array_sort(F.collect_set("name")).alias("names")).orderBy("path").limit(8).collect()],
-            "most_called": [r.asDict() for r in stats.shares(calls, "target", F.lit(1)).orderBy(F.desc("weight"), "target").limit(10).collect()],
-            "clusters": [r.asDict() for r in graph.cluster_summary(pairs, labels).orderBy(F.desc("members"), "cluster").limit(8).collect()],
+            "surfaces": [r.asDict() for r in surfaces.orderBy("ord", "kind", "file").limit(8).collect()],
+            "most_called": [self._described(r) for r in overview.most_called(calls.select(F.substring_index("target", ":", -1).alias("target"))).orderBy(F.desc("calls"), "target").limit(10).collect()],
+            "clusters": [r.asDict() for r in clusters.orderBy(F.desc("members"), "cluster").limit(8).collect()],
+            "references": [r.asDict() for r in overview.compacted_references(between.select(F.col("source").alias("node"), F.col("target").alias("other")), "target").orderBy("node", "label").limit(20).collect()],
+            "unscanned": [r.language for r in definitions.unscanned_languages(inventory.where("category = 'code'")).orderBy("language").collect()],
+            "unparsed": [r.asDict() for r in definitions.unparsed_definitions(self.files).groupBy(paths.suffix(F.col("file_path")).alias("suffix")).agg(F.count("*").alias("definitions")).orderBy("suffix").collect()],
             "readme": [{"level": a, "heading": b, "content": c} for a, b, c in file_source.readme_outline(readme.text)] if readme else [],
         }
 
+    def _described(self, row) -> dict[str, Any]:
+        """A most called symbol with the file and description of the one definition that it means."""
+        found = profile_rows.symbols_by_name(self.facts).where(F.col("name") == row.target).select("path", "name", "line").distinct()
+        if found.count() != 1:
+            return row.asDict()
+        about = profile_rows.descriptions(self.docs, found).first()
+        return row.asDict() | {"file": about.path, "description": about.description}
+
     def schema(self) -> dict[str, Any]:
         """Nodes of each label, edges of each type."""
-        return {"labels": {r.type: r["count"] for r in self.nodes.groupBy("type").count().collect()}, "types": {r.type: r["count"] for r in self.edges.groupBy("type").count().collect()}}
+        out: dict[str, Any] = {"labels": {}, "types": {}}
+        for r in graph.schema_counts(self.nodes, self.edges).collect():
+            out[r.part][r.name] = r.n
+        return out
 
     def query(self, sql: str, max_rows: int = 200) -> list[dict]:
         """Read-only SQL over the views nodes, edges, files, facts, docs."""
@@ -310,4 +356,10 @@ class Engine:
         return [r.asDict() for r in rows.orderBy("hop", "node").collect()]
 
 
+def entries_of(packages: DataFrame) -> DataFrame:
+    """(file, declared): the files that packages name as entries."""
+    path = F.regexp_replace(F.concat_ws("/", F.nullif("root", F.lit("")), F.regexp_replace("entry", r"^\./", "")), "/+", "/")
+    return packages.select("root", F.explode("entries").alias("entry")).select(path.alias("file"), F.lit(True).alias("declared")).distinct()
+
+
 _SCRIPTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts")
