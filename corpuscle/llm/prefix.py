@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm.components import components, labelled
-from corpuscle.llm.cut import Scratch
+from corpuscle.llm.cut import Scratch, within
 
 
 def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
@@ -23,7 +23,8 @@ def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, perce
     in common, and the first such value leaves enough places after it on both sides. A
     part that a third of the sets share comes last, so sets with enough of their own never
     meet by it. First, each bucket's sets meet its most typical one (of the most common
-    values), which joins the copies with few changes; sets of one component never meet.
+    values), which joins the copies with few changes; sets of one component never meet, and
+    sets whose buckets are one component by then take no further part.
     """
     grams = sets.select("node", F.explode("grams").alias("gram"))
     common = grams.groupBy("gram").agg(F.count("*").alias("sets"))
@@ -34,7 +35,10 @@ def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, perce
     typical = buckets.join(ordered.select("node", "typical"), "node").groupBy("key").agg(F.max(F.struct("typical", "node"))["node"].alias("b"))
     stars = buckets.join(typical, "key").where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     found = confirmed(stars)
-    placed = labelled(ordered, components(links.unionByName(found)))
+    labels = components(links.unionByName(found))
+    mixed = labelled(buckets, labels).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    still = scratch.table(buckets.join(mixed.select("key"), "key", "left_semi").select("node").distinct())
+    placed = labelled(ordered.join(within(still), "node", "left_semi"), labels)
     placed = scratch.table(placed.select("node", "n", "component", F.posexplode("first").alias("at", "gram")))
     larger = placed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"), F.col("component").alias("other"))
     smaller = placed.where(f"{100 + percent} * at <= {100 - percent} * n")
