@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import op2_toxicity, op4_packing, op8_neardup, op9_lines, op10_decontaminate
 from corpuscle.llm.cut import Scratch, cut, read
-from corpuscle.llm.rows import without
+from corpuscle.llm.rows import row_hash, without
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = op2_toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return model.score(docs, keep=docs.columns).where("predicted = 0").select("kept.*")
+    rows = docs.select("doc_id", "text", row_hash().alias("row"))
+    rejected = model.score(rows, keep=["doc_id", "row"]).where("predicted = 1").select("kept.doc_id", "kept.row")
+    return without(docs, cut(rejected.distinct()))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
