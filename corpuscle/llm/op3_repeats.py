@@ -43,11 +43,16 @@ LENGTH = 400
 COARSE, FINE, REACH = 128, 8, 64
 #: Candidate texts up to which their ids are broadcast (24 MB) rather than shuffled.
 BROADCAST_IDS = 1_000_000
-_PLACE = np.uint64((1 << 28) - 1)
+#: Places that are told apart at once; a longer text is worked on in pieces.
+PLACES = 1 << 28
+_PLACE = np.uint64(PLACES - 1)
 
 
 def smallest(hashes: np.ndarray, reach: int) -> np.ndarray:
-    """For each i the place of the smallest of hashes[i : i + reach], the first of equals."""
+    """For each i the place of the smallest of hashes[i : i + reach], the first of equals (by their upper 36 bits)."""
+    if len(hashes) > PLACES:  # pieces that overlap by a reach, so that a place fits its bits
+        step = PLACES // 2
+        return np.concatenate([smallest(hashes[s : s + step + reach - 1], reach) + s for s in range(0, len(hashes) - reach + 1, step)])
     key = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     width = 1
     while 2 * width <= reach:

@@ -45,3 +45,22 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert op3_repeats.repeated_strings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_places_of_long_texts(monkeypatch):
+    """Pieces give the same places as the whole."""
+    rng = op3_repeats.np.random.default_rng(4)
+    hashes = rng.integers(0, 2**63, 5000, dtype=op3_repeats.np.uint64)
+    hashes[1000:1400] = hashes[7]  # ties: the first of equals
+    whole = {reach: op3_repeats.smallest(hashes, reach) for reach in (1, 64, 273)}
+    monkeypatch.setattr(op3_repeats, "PLACES", 1024)
+    assert all((op3_repeats.smallest(hashes, reach) == places).all() for reach, places in whole.items())
+
+
+def test_very_long_text(spark):
+    rng = random.Random(11)
+    long = " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(300_000))
+    text = long + "#" + long[50_000:50_450]
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = {r.doc_id: r for r in op3_repeats.repeated_strings(df).collect()}
+    assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans) == (len(text), 900, 2) and got[2].n_removed == 0
