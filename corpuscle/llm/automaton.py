@@ -15,35 +15,46 @@ def allowed_edits(term: str) -> int:
 
 
 class FuzzyLexicon:
-    """Finds the term of a lexicon that a word is, or is a misspelling of."""
+    """Finds the term of a lexicon that a word is, or is a misspelling of, and the stems that it begins with.
+
+    Stems lie in the same trie and allow no edits: passing the end of one is enough.
+    """
 
     #: Entries of the transition table after which it is begun anew.
     TABLE = 400_000
 
-    def __init__(self, terms: list[str]):
-        self.terms = sorted(set(terms))
+    def __init__(self, terms: list[str], stems: list[str] = ()):
+        self.terms, self.stems = sorted(set(terms)), sorted(set(stems))
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
         self.reach: list[int] = [0]  # the most edits that a term below a node allows
+        self.stem_ends: dict[int, int] = {}
         for i, term in enumerate(self.terms):
-            node, edits = 0, allowed_edits(term)
-            self.reach[0] = max(self.reach[0], edits)
-            for char in term:
-                if char not in self.children[node]:
-                    self.children[node][char] = len(self.children)
-                    self.children.append({})
-                    self.ends.append(-1)
-                    self.reach.append(0)
-                node = self.children[node][char]
-                self.reach[node] = max(self.reach[node], edits)
-            self.ends[node] = i
+            self.ends[self._path(term, allowed_edits(term))] = i
+        for i, stem in enumerate(self.stems):
+            self.stem_ends[self._path(stem, 0)] = i
         self._begin()
 
+    def _path(self, letters: str, edits: int) -> int:
+        """The trie node at the end of ``letters``, made if need be; nodes on the way reach so many edits."""
+        node = 0
+        self.reach[0] = max(self.reach[0], edits)
+        for char in letters:
+            if char not in self.children[node]:
+                self.children[node][char] = len(self.children)
+                self.children.append({})
+                self.ends.append(-1)
+                self.reach.append(0)
+            node = self.children[node][char]
+            self.reach[node] = max(self.reach[node], edits)
+        return node
+
     def _begin(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.finals: list[tuple[int, int] | None] = []
+        self.passed: list[tuple[int, ...]] = []
         self.entries = 0
         self.dead = self._state({})
         self.start = self._state({0: 0})
@@ -65,6 +76,7 @@ class FuzzyLexicon:
             self.steps.append({})
             hits = [(edits, self.ends[node]) for node, edits in key if self.ends[node] >= 0 and edits <= allowed_edits(self.terms[self.ends[node]])]
             self.finals.append(min(hits, default=None))
+            self.passed.append(tuple(self.stem_ends[node] for node, edits in key if edits == 0 and node in self.stem_ends))
         return self.ids[key]
 
     def _step(self, state: int, char: str) -> int:
@@ -83,14 +95,19 @@ class FuzzyLexicon:
         self.entries += 1
         return to
 
-    def find(self, word: str) -> tuple[int, int] | None:
-        """(edits, term number) of the nearest term that allows so many edits, or None."""
+    def read(self, word: str) -> tuple[tuple[int, int] | None, list[int]]:
+        """(edits, term number) of the nearest term that allows so many edits, or None; and the numbers of the stems that the word begins with, itself not among them."""
         if self.entries > self.TABLE:
             self._begin()
-        state, dead, steps = self.start, self.dead, self.steps
+        state, dead, steps, passed, stems = self.start, self.dead, self.steps, self.passed, []
         for char in word:
+            if passed[state]:
+                stems += passed[state]
             to = steps[state].get(char)
             state = self._step(state, char) if to is None else to
             if state == dead:
-                return None
-        return self.finals[state]
+                return None, stems
+        return self.finals[state], stems
+
+    def find(self, word: str) -> tuple[int, int] | None:
+        return self.read(word)[0]

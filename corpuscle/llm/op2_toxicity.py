@@ -82,17 +82,16 @@ class Scorer:
     def __init__(self, lexicon: list[tuple[str, float]]):
         self.weights = {term: w for term, w in lexicon if not term.endswith("*")}
         self.stems = {term[:-1]: w for term, w in lexicon if term.endswith("*")}
-        self.fuzzy = FuzzyLexicon(list(self.weights))
+        self.fuzzy = FuzzyLexicon(list(self.weights), list(self.stems))
         self.known: dict[str, tuple[float, bool] | None] = {}
 
     def look(self, word: str) -> tuple[float, bool] | None:
         """(weight, exact) of a word that is a term, begins with a stem, or is a misspelling of a term."""
-        if word in self.weights:
-            return self.weights[word], True
-        stem = max((self.stems[word[:k]] for k in STEMS if word[:k] in self.stems), default=None)
-        if stem is not None:
-            return stem, True
-        hit = self.fuzzy.find(word)
+        hit, begins = self.fuzzy.read(word)
+        if hit is not None and hit[0] == 0:
+            return self.weights[self.fuzzy.terms[hit[1]]], True
+        if begins or word in self.stems:
+            return max(self.stems[s] for s in (*(self.fuzzy.stems[i] for i in begins), word) if s in self.stems), True
         if hit is None and any(c in "013457@$*" for c in word) and not word.isdigit():
             hit = self.fuzzy.find(word.translate(LEET))
         return None if hit is None else (self.weights[self.fuzzy.terms[hit[1]]] / (1 + hit[0]), False)

@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 import pytest
@@ -5,7 +7,7 @@ import pytest
 from corpuscle.llm import op2_toxicity, op5_quality
 from corpuscle.llm.automaton import FuzzyLexicon, allowed_edits
 
-DATA = "/root/testdata/sf0.01"
+DATA = "/root/testdata/sf0.1"
 
 
 def distance(a, b):
@@ -35,7 +37,7 @@ def test_quotation_counts_less_than_abuse():
     assert scorer.figures("") == (0.0,) * len(op2_toxicity.COLUMNS)
 
 
-@pytest.mark.parametrize(("module", "label", "least"), [(op2_toxicity, "toxic", 0.6), (op5_quality, "quality", 0.95)])
+@pytest.mark.parametrize(("module", "label", "least"), [(op2_toxicity, "toxic", 0.94), (op5_quality, "quality", 0.99)])
 def test_held_out_accuracy(spark, module, label, least):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     rows = module.fit(docs, labels).score(docs).join(labels, "doc_id").where("held_out").collect()
@@ -43,7 +45,7 @@ def test_held_out_accuracy(spark, module, label, least):
     good, bad = [r.score for r in rows if r[label] == 1], [r.score for r in rows if r[label] == 0]
     auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
     assert auc >= least
-    assert sum(r.predicted != r[label] for r in rows) <= 0.1 * len(rows)
+    assert sum(r.predicted != r[label] for r in rows) <= 0.03 * len(rows)
 
 
 @pytest.mark.parametrize("module", [op2_toxicity, op5_quality])
@@ -54,3 +56,54 @@ def test_edge_rows(spark, module):
         rows = module.fit(docs, labels).score(docs).collect()
         assert len(rows) == 5 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
     assert module.fit(docs.limit(0), labels).score(docs.limit(0)).count() == 0
+
+
+def naive_look(word, terms, stems):
+    """As ``Scorer.look``, term by term."""
+    if word in terms:
+        return terms[word], True
+    begun = [w for s, w in stems.items() if word.startswith(s)]
+    if begun:
+        return max(begun), True
+    for form in (word, word.translate(op2_toxicity.LEET)) if any(c in "013457@$*" for c in word) and not word.isdigit() else (word,):
+        near = [(distance(form, t), t) for t in sorted(terms) if distance(form, t) <= allowed_edits(t)]
+        if near:
+            d, t = min(near)
+            return terms[t] / (1 + d), False
+    return None
+
+
+def test_figures_against_all_terms():
+    rng = random.Random(3)
+    terms = {"clown": 3.0, "worthless": 2.5, "trash": 3.5, "scum": 3.0, "thrash": 1.0, "abominable": 4.0}
+    stems = {"clow": 2.0, "patheti": 2.2, "tras": 1.5, "wort": 0.7}
+    scorer = op2_toxicity.Scorer([*terms.items(), *((s + "*", w) for s, w in stems.items())])
+    letters = "abcdefghilmnoprstwxyz04@"
+
+    def word():
+        w = list(rng.choice([*terms, *stems, "harmless", "word", "a"]))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = [rng.choice(letters)] * rng.randint(0, 1)
+        return "".join(w)
+
+    for _ in range(300):
+        words = [w for w in (word() for _ in range(rng.randint(0, 40))) if op2_toxicity.WORD.fullmatch(w)]
+        hits = {i: naive_look(w, terms, stems) for i, w in enumerate(words)}
+        hits = {i: h for i, h in hits.items() if h is not None}
+        exact, fuzzy = sum(h[1] for h in hits.values()), sum(not h[1] for h in hits.values())
+        near = max((min(2 * op2_toxicity.WINDOW, sum(i <= j <= i + 2 * op2_toxicity.WINDOW for j in hits)) for i in hits), default=0)
+        want = (math.log1p(exact), math.log1p(fuzzy), 0.0, max((h[0] for h in hits.values()), default=0.0), math.log1p(near), math.log1p(1000 * exact / max(1, len(words))))
+        assert scorer.figures(" ".join(words)) == pytest.approx(want), words
+
+
+def test_weights_keep_the_base_rate(spark):
+    """A sample of as many rows of each class scores like all rows."""
+    rng = random.Random(4)
+    text = lambda good: " ".join(rng.choice(["lorem", "ipsum", "dolor"] if good else ["##", "!!", "lorem"]) for _ in range(30))
+    ids = [i for i in range(1500) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, i % 10 != 0, text(i % 10 != 0 or rng.random() < 0.5)) for i in ids]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y, _ in rows], "doc_id long, quality int")
+    mean = lambda model: model.score(docs).agg({"score": "avg"}).first()[0]
+    assert abs(mean(op5_quality.fit(docs, labels)) - 0.9) < 0.03 and abs(mean(op5_quality.fit(docs, labels, per_class=100)) - 0.9) < 0.06
