@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
 from corpuscle.functions import render
 
@@ -36,10 +37,14 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("section", nargs="?", default="top")
     g.add_argument("--include-tests", action="store_true")
     b = sub.add_parser("backend")
-    b.add_argument("action", choices=("status", "schema", "query"))
+    b.add_argument("action", choices=("projects", "status", "schema", "query", "changes"))
     b.add_argument("text", nargs="?")
     b.add_argument("--max-rows", type=int, default=200)
-    sub.add_parser("index")
+    b.add_argument("--hops", type=int, default=2)
+    x = sub.add_parser("index")
+    for command in (b, x):
+        command.add_argument("--catalog", help="folder of saved projects, shared by the cluster")
+        command.add_argument("--name", help="the project's name there")
     return p
 
 
@@ -59,6 +64,9 @@ def readable_reason(reason: str) -> str:
 
 def answer(engine, args: argparse.Namespace):
     """The answer of one command; ValueError on bad usage."""
+    from corpuscle.sources import catalog
+
+    began = time.perf_counter()
     if args.command == "summary":
         return engine.summary()
     if args.command == "inspect":
@@ -68,9 +76,17 @@ def answer(engine, args: argparse.Namespace):
     if args.command == "backend":
         if args.action == "query":
             return engine.query(args.text or "", args.max_rows)
-        return engine.schema()
+        if args.action in ("projects", "changes"):
+            if not args.catalog:
+                raise ValueError(f"backend {args.action} needs --catalog")
+            if args.action == "projects":
+                return [row for page in catalog.pages(catalog.projects(engine.spark, args.catalog), "name") for row in page]
+            return engine.changes_since(catalog.state(engine.spark, args.catalog, args.name or "", "digests"), args.hops)
+        return engine.schema() | ({"milliseconds": round(1000 * (time.perf_counter() - began))} if args.action == "status" else {})
     if args.command == "index":
         engine.refresh()
+        if args.catalog:
+            return catalog.save(engine, args.catalog, args.name or "corpus", args.project_root)
         return engine.schema()
     if args.graph and args.semantic:
         raise ValueError("choose one lane")
@@ -98,7 +114,11 @@ def answer(engine, args: argparse.Namespace):
         from corpuscle.operators.match import match_json
 
         return {"total": len(structural), "matches": [match_json(r) for r in structural]} if args.json and structural else structural
-    return engine.search(" ".join(args.words), "graph" if args.graph else "semantic" if args.semantic else "source", args.limit, **filters)
+    lane = "graph" if args.graph else "semantic" if args.semantic else "source"
+    found = engine.search(" ".join(args.words), lane, args.limit + 1, **filters)
+    if args.json:
+        return found[: args.limit]
+    return render.search_lines(found, lane, args.limit)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -122,7 +142,8 @@ def main(argv: list[str] | None = None) -> int:
             print(readable_reason(str(error)), file=sys.stderr)
             return 1
     plain = json.loads(json.dumps(out, default=str))
-    print(render.json_within(plain) if args.json else render.text_within("\n".join(render.document(plain, args.command))))
+    lines = plain if args.command == "search" and plain and isinstance(plain[0], str) else render.document(plain, args.command)
+    print(render.json_within(plain) if args.json else render.text_within("\n".join(lines)))
     return 0 if out else 1
 
 

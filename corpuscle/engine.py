@@ -351,8 +351,12 @@ class Engine:
 
     def changes(self, other: DataFrame, hops: int = 2) -> list[dict]:
         """Files that differ from another state of the corpus, and what depends on them."""
-        digest = lambda df: df.select(F.col("path").alias("node"), F.xxhash64("text").alias("digest"))
-        rows = graph.change_impact(digest(other), digest(self.files), self.resolved.select("source", "target").distinct(), hops)
+        return self.changes_since(other.select(F.col("path").alias("node"), F.xxhash64("text").alias("digest")), hops)
+
+    def changes_since(self, digests: DataFrame, hops: int = 2) -> list[dict]:
+        """As ``changes``, against a saved state (node, digest)."""
+        own = self.files.select(F.col("path").alias("node"), F.xxhash64("text").alias("digest"))
+        rows = graph.change_impact(digests, own, self.resolved.select("source", "target").distinct(), hops)
         return [r.asDict() for r in rows.orderBy("hop", "node").collect()]
 
 

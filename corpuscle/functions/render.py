@@ -158,6 +158,24 @@ def document(value: Any, title: str = "", level: int = 1) -> list[str]:
     return lines
 
 
+#: Headings of the lanes of a search, and what a lane's answer rests on.
+LANES = {
+    "path": ("Path Matches", ""), "definition": ("Definitions", ""), "member": ("Definitions", "members of the named class"), "coverage": ("Term Coverage", "files that hold the most terms, closest together"),
+    "text": ("Text Matches", "exact text, whatever its case"), "concept": ("Paths", "files whose path names every term"), "partial": ("Partial Matches", "no file holds all terms"),
+    "graph": ("Graph Matches", ""), "semantic": ("Semantic Matches", "names and documentation by BM25"),
+}
+
+
+def search_lines(found: list[dict], lane: str, limit: int) -> list[str]:
+    """A search's answer: the lane's heading and note, rows, and how many candidates are left out."""
+    if not found:
+        return []
+    title, note = LANES[found[0].get("lane", lane)]
+    rows = [{k: v for k, v in r.items() if k != "lane"} for r in found]
+    more = len(rows) - limit
+    return [f"# {title}", *([f"note: {note}"] if note else []), *(f"- {row_text(r)}" for r in rows[:limit]), *([f"... at least {more} more candidate{'s' * (more > 1)}"] if more > 0 else [])]
+
+
 def row_text(row: Any) -> str:
     """A row on one line: where it is first, then what is known of it."""
     if not isinstance(row, dict):

@@ -1 +1 @@
-"""Part of corpuscle."""
+"""Streams: fact tables that follow a folder, windowed counts."""
