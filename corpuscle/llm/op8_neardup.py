@@ -14,9 +14,9 @@ of all documents share are the last and seldom list anything.
 No list is expanded into all its pairs. Each member meets the list's smallest one; the
 pair's overlap is counted, the sketch of their union estimates the similarity, and what
 the estimate can't rule out is confirmed on the full sets. Components of the links
-follow, and lists in one component are done. In other lists of at most ``FEW`` members
-those of different components meet; members of larger ones meet by ``links_by_prefix``
-over their full sets, which loses no pair.
+follow, and ``close_buckets`` compares what is left: pair by pair where members of
+different components are few, else by prefix filtering over the full sets, which loses no
+pair.
 
 Defined cases: a null text has an empty set, which links with nothing; a null doc_id
 is its own document with a null component and is kept; rows that repeat an id are each
@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 from corpuscle.llm.components import components, labelled
 from corpuscle.llm.cut import Scratch, cut, within
 from corpuscle.llm.grams import mix, pieces, shingle_sets
-from corpuscle.llm.prefix import links_by_prefix
+from corpuscle.llm.prefix import close_buckets
 from corpuscle.llm.rows import row_hash
 
 RETAINED, MISSED = 32, 1e-6
-#: Members of an open list up to which its pairs of different components are compared.
-FEW = 64
+#: Ordered pairs of different components a member up to which a list's are compared one by one.
+FEW = 16
 _TOP = np.uint64(1 << 63)
 
 
@@ -131,8 +131,8 @@ def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked(documents: DataFrame, classes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame | None:
     """(node, component) of the classes, as ``components`` gives them; None where no list has two members."""
     lists = scratch.table(inverted_lists(classes, percent, scratch))
-    heads = scratch.table(lists.groupBy("value").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1"))
-    members = scratch.table(lists.join(within(heads), "value").select(F.col("value").alias("key"), "node", "head", "members"))
+    heads = scratch.table(lists.groupBy("value").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members"))
+    members = scratch.table(lists.join(within(heads), "value").select(F.col("value").alias("key"), "node", "head"))
     if members.isEmpty():
         return None
 
@@ -143,18 +143,8 @@ def linked(documents: DataFrame, classes: DataFrame, words: int, percent: int, s
         return cut(exact(near, sets, percent))
 
     links = confirmed(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
-    named = scratch.table(labelled(members, components(links)))
-    mixed = scratch.table(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
-    named = named.join(within(mixed), "key")
-    one = named.where((F.col("members") <= FEW) & (F.col("node") != F.col("head"))).select("key", "node", "component")
-    two = one.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-    links = links.unionByName(confirmed(one.join(two, "key").where("node > b AND component <> other").select(F.col("node").alias("a"), "b").distinct()))
-    large = scratch.table(named.where(F.col("members") > FEW).select("key", "node"))
-    if not large.isEmpty():
-        ids = scratch.table(large.select("node").distinct())
-        sets = scratch.table(full_sets(documents, within(ids), words))
-        links = links.unionByName(links_by_prefix(large, sets, links, percent, confirmed, scratch))
-    return components(links)
+    sets = lambda nodes: full_sets(documents, within(scratch.table(nodes)), words)
+    return components(close_buckets(members.select("key", "node"), links, percent, FEW, confirmed, sets, scratch))
 
 
 def near_duplicates(documents: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Similar sets by prefix filtering: exact, and without all pairs of a group."""
+"""Links within buckets of candidates: every similar pair, and never all pairs of a large bucket."""
 
 from __future__ import annotations
 
@@ -11,6 +11,43 @@ from corpuscle.llm.components import components, labelled
 from corpuscle.llm.cut import Scratch, within
 
 
+def close_buckets(members: DataFrame, links: DataFrame, percent: int, few: int, confirmed: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """(a, b): ``links`` and whatever else joins all similar sets of a bucket.
+
+    ``members``: key, node. ``confirmed`` keeps those of pairs (a, b), a > b, whose sets have a
+    Jaccard similarity of ``percent`` or more; ``sets_of`` gives (node, grams) for nodes.
+
+    A bucket in one component is done. One with at most ``few`` ordered pairs of different
+    components for each member has these pairs compared. In others, all members first meet the
+    most typical one (that lies in most such buckets), which joins copies with few changes; if
+    still too many pairs are left, members meet by ``links_by_prefix``.
+    """
+
+    def state() -> tuple[DataFrame, DataFrame]:
+        named = scratch.table(labelled(members, components(links)))
+        sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+        keys = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
+        return named, scratch.table(keys.where("parts > 1").select("key", (F.col("pairs") > few * F.col("members")).alias("wide")))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+
+    named, keys = state()
+    wide = scratch.table(named.join(keys.where("wide"), "key").select("key", "node"))
+    if not wide.isEmpty():
+        held = wide.groupBy("node").agg(F.count("*").alias("keys"))
+        typical = wide.join(held, "node").groupBy("key").agg(F.max(F.struct("keys", "node"))["node"].alias("b"))
+        links = links.unionByName(confirmed(ordered(wide.join(typical, "key").where("node <> b"))))
+        named, keys = state()
+    one = named.join(keys.where("NOT wide"), "key").select("key", "node", "component")
+    two = one.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
+    links = links.unionByName(confirmed(ordered(one.join(two, "key").where("node > b AND component <> other"))))
+    wide = scratch.table(named.join(keys.where("wide"), "key").select("key", "node"))
+    if wide.isEmpty():
+        return links
+    return links.unionByName(links_by_prefix(wide, scratch.table(sets_of(wide.select("node").distinct())), links, percent, confirmed, scratch))
+
+
 def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(a, b): with ``links``, whatever joins all similar sets of ``buckets``.
 
@@ -22,7 +59,7 @@ def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, perce
     sets, the smaller one's first 1 - 2p/(1+p) and the larger one's first 1 - p have a value
     in common, and the first such value leaves enough places after it on both sides. A
     part that a third of the sets share comes last, so sets with enough of their own never
-    meet by it. First, each bucket's sets meet its most typical one (of the most common
+    meet by it; values that no other set has are not listed. First, each bucket's sets meet its most typical one (of the most common
     values), which joins the copies with few changes; sets of one component never meet, and
     sets whose buckets are one component by then take no further part.
     """
@@ -31,7 +68,7 @@ def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, perce
     ordered = grams.join(common, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("grams"), F.count("*").alias("n"), F.avg("sets").alias("typical"))
     n, p = F.col("n"), F.lit(percent)
     first = F.slice("grams", F.lit(1), (n - F.ceil(n * p / 100) + 1).cast("int"))
-    ordered = scratch.table(ordered.select("node", "n", "typical", F.transform(first, lambda x: x["gram"]).alias("first")))
+    ordered = scratch.table(ordered.select("node", "n", "typical", F.filter(F.transform(first, lambda x, i: F.struct(i.alias("at"), x["gram"].alias("gram"), x["sets"].alias("sets"))), lambda x: x["sets"] > 1).alias("first")))
     typical = buckets.join(ordered.select("node", "typical"), "node").groupBy("key").agg(F.max(F.struct("typical", "node"))["node"].alias("b"))
     stars = buckets.join(typical, "key").where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     found = confirmed(stars)
@@ -39,7 +76,7 @@ def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, perce
     mixed = labelled(buckets, labels).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     still = scratch.table(buckets.join(mixed.select("key"), "key", "left_semi").select("node").distinct())
     placed = labelled(ordered.join(within(still), "node", "left_semi"), labels)
-    placed = scratch.table(placed.select("node", "n", "component", F.posexplode("first").alias("at", "gram")))
+    placed = scratch.table(placed.select("node", "n", "component", F.explode("first").alias("x")).select("node", "n", "component", "x.at", "x.gram"))
     larger = placed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"), F.col("component").alias("other"))
     smaller = placed.where(f"{100 + percent} * at <= {100 - percent} * n")
     left = f"{100 + percent} * LEAST(n - at, nb - atb) >= {percent} * (n + nb)"
