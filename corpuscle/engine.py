@@ -239,8 +239,7 @@ class Engine:
         return out
 
     def documentation_totals(self) -> dict[str, Any]:
-        rows = self._production(self.docs).where("parse_error IS NULL")
-        counted = rows.groupBy("kind").agg(F.count("*").alias("total"), F.count("docstring").alias("present")).collect()
+        counted = fact_rows.documentation_totals(self._production(self.docs)).collect()
         return {r.kind: {"total": r.total, "present": r.present, "coverage": render.percent(r.present / r.total)} for r in sorted(counted)}
 
     def inspect(self, target: str, limit: int = 10) -> dict[str, Any]:

@@ -47,6 +47,11 @@ def metrics(files: DataFrame) -> DataFrame:
     return _mapped(files, lambda path, source: scan_python.metrics(source) if _python(path) else [], METRICS)
 
 
+def documentation_totals(docs: DataFrame) -> DataFrame:
+    """(kind, total, present): definitions of files that parse, and those with documentation."""
+    return docs.where("parse_error IS NULL").groupBy("kind").agg(F.count("*").alias("total"), F.count("docstring").alias("present"))
+
+
 def profiles(fact_rows: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
     """One row a file: what it defines, imports, exports, extends, decorates; at most five sample names.
 

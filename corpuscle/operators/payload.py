@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 
 def number(value: Column) -> Column:
@@ -70,3 +72,18 @@ def count_items(value: Any) -> int:
     if isinstance(value, dict):
         return sum(count_items(v) for v in value.values())
     return 0
+
+
+def item_count(value: Column) -> Column:
+    """``count_items`` of JSON texts, over batches; 0 of what is no JSON."""
+
+    def counts(texts: pd.Series) -> pd.Series:
+        def one(x: str | None) -> int:
+            try:
+                return count_items(json.loads(x or "null"))
+            except ValueError:
+                return 0
+
+        return texts.map(one).astype("int32")
+
+    return F.pandas_udf(counts, "int", PandasUDFType.SCALAR)(value)
