@@ -142,7 +142,14 @@ def main(argv: list[str] | None = None) -> int:
             print(readable_reason(str(error)), file=sys.stderr)
             return 1
     plain = json.loads(json.dumps(out, default=str))
-    lines = plain if args.command == "search" and plain and isinstance(plain[0], str) else render.document(plain, args.command)
+    if args.command == "search" and plain and isinstance(plain, list) and isinstance(plain[0], str):
+        lines = plain
+    elif args.command == "summary":
+        lines = render.sections(plain, "Summary", render.SUMMARY)
+    elif args.command == "inspect":
+        lines = render.sections(plain, str(plain["target"]), render.INSPECTION, args.limit)
+    else:
+        lines = render.document(plain, args.command)
     print(render.json_within(plain) if args.json else render.text_within("\n".join(lines)))
     return 0 if out else 1
 

@@ -12,6 +12,7 @@ from corpuscle.functions import paths, render, text
 from corpuscle.operators import facts as fact_rows
 from corpuscle.operators import definitions, graph, imports, inspect_entries, match, overview, search, stats
 from corpuscle.operators import profiles as profile_rows
+from corpuscle.operators import surfaces as surface_rows
 from corpuscle.sources import files as file_source
 
 SECTIONS = ("all", "top", "files", "functions", "variables", "usage", "lengths", "relationships", "docstrings", "stats")
@@ -256,6 +257,7 @@ class Engine:
                 "target": target,
                 "profile": profile_rows.directory_profile(profiles, target).first().asDict(),
                 "dense_files": [r.asDict() for r in profile_rows.dense_files(profiles, target, limit).select("file", "total", "samples").collect()],
+                "outline": render.outline([r.path for r in inside.select("path").orderBy("path").limit(OUTLINED).collect()]),
                 "specifiers": [r.specifier for r in profile_rows.import_specifiers(self.facts, target).orderBy("first", "specifier").limit(limit).collect()],
                 "files": [r.asDict() for r in inside.orderBy(F.desc("n_lines"), "path").limit(limit).collect()],
                 "definitions": [r.asDict() for r in held.where("line_start IS NOT NULL").select("type", "name", "file_path", "line_start", "line_end").orderBy("file_path", "line_start").limit(limit).collect()],
@@ -293,7 +295,7 @@ class Engine:
         packages = file_source.packages(self.files)
         roots = packages.select(F.col("root").alias("boundary"))
         if roots.count() <= 1:
-            roots = inventory.where("category = 'code'").select(F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)).otherwise("").alias("boundary")).distinct()
+            roots = surface_rows.child_boundaries(inventory.where("category = 'code'").select("path"))
         owned = graph.owning_boundary(inventory.where("category = 'code'"), roots, paths.ancestors(F.col("path"))).select(F.col("path").alias("node"), "boundary").where("boundary IS NOT NULL")
         between = graph.boundary_edges(pairs, owned)
         entries = owned.join(inspect_entries.likely_entries(self.nodes, self.edges).select(F.col("file").alias("node")), "node").select(F.col("boundary").alias("node"))
@@ -365,4 +367,6 @@ def entries_of(packages: DataFrame) -> DataFrame:
     return packages.select("root", F.explode("entries").alias("entry")).select(path.alias("file"), F.lit(True).alias("declared")).distinct()
 
 
+#: Files of a directory that its outline lists.
+OUTLINED = 1000
 _SCRIPTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts")

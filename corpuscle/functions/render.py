@@ -7,6 +7,8 @@ import json
 from decimal import ROUND_HALF_UP, Decimal
 from typing import Any
 
+from corpuscle.operators import payload
+
 MOST_BYTES = 30_000
 
 
@@ -158,6 +160,27 @@ def document(value: Any, title: str = "", level: int = 1) -> list[str]:
     return lines
 
 
+#: Sections of a summary and of an inspection, in the order that they are shown.
+SUMMARY = ("languages", "readme", "packages", "roles", "boundaries", "references", "surfaces", "most_called", "clusters", "unscanned", "unparsed")
+INSPECTION = ("candidates", "profile", "variables", "dense_files", "files", "outline", "definitions", "entries", "boundary", "specifiers", "related", "trace", "docstring", "documentation", "snippet")
+
+
+def sections(answer: dict, title: str, order: tuple[str, ...], limit: int = 20) -> list[str]:
+    """An answer's parts in a fixed order, empty ones left out; lists end in ``- ...`` beyond the limit."""
+    lines = [f"# {title}"]
+    for name in order:
+        value, heading = answer.get(name), name.replace("_", " ").capitalize()
+        if name == "surfaces" and value:
+            lines += ["", f"{heading}:", *(f"  {x}" for x in tree([r["file"] for r in value]))]
+        elif isinstance(value, list):
+            lines += section(heading, [row_text(v) for v in value], limit)
+        elif isinstance(value, dict):
+            lines += section(heading, [row_text(value)], limit)
+        elif value:
+            lines += ["", f"{heading}:", *str(value).split("\n")]
+    return lines
+
+
 #: Headings of the lanes of a search, and what a lane's answer rests on.
 LANES = {
     "path": ("Path Matches", ""), "definition": ("Definitions", ""), "member": ("Definitions", "members of the named class"), "coverage": ("Term Coverage", "files that hold the most terms, closest together"),
@@ -184,5 +207,5 @@ def row_text(row: Any) -> str:
     line = row.get("line") or row.get("line_start")
     head = f"{place}:{line}" if place and line else str(place)
     rest = {k: v for k, v in row.items() if k not in ("path", "file", "file_path", "id", "line", "line_start") and v not in (None, "", [])}
-    tail = ", ".join(f"{k}={score(v) if isinstance(v, float) else ' | '.join(map(str, v)) if isinstance(v, list) else v}" for k, v in rest.items())
+    tail = ", ".join(f"{k}={score(v) if isinstance(v, float) else payload.cell(v)}" for k, v in rest.items())
     return f"{head} {tail}".strip()

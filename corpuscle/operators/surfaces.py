@@ -60,6 +60,15 @@ def primary_root(files: DataFrame) -> str | None:
     return best.prefix if best else None
 
 
+def child_boundaries(files: DataFrame) -> DataFrame:
+    """(boundary): first-level directories below the primary root of files (path), and the root itself if it owns files."""
+    top = primary_root(files) or ""
+    inner = F.expr(f"substring(path, {len(top) + 2})") if top else F.col("path")
+    inside = files.where(F.startswith("path", F.lit(top + "/"))) if top else files
+    child = F.concat(F.lit(top + "/" if top else ""), F.substring_index(inner, "/", 1))
+    return inside.select(F.when(F.contains(inner, F.lit("/")), child).otherwise(F.lit(top)).alias("boundary")).distinct()
+
+
 def unique_symbols(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
     """(name, path) of wanted (name, qualified) that mean one symbol: the only one of its name, or the only one whose path the qualified name holds."""
     rows = wanted.join(symbols.select("name", "path"), "name").withColumn("_in", F.contains("qualified", F.regexp_replace(F.regexp_replace("path", r"\.[^./]+$", ""), "/", ".")))

@@ -134,3 +134,11 @@ def json_items(spark, sf_dir):
     """Items of the arrays of a JSON text; arrays inside rows are part of them."""
     made = F.expr("""CASE event_id % 3 WHEN 0 THEN '{"a": [1, [2, 3], {"b": [4]}], "c": {"d": [5]}}' WHEN 1 THEN '[{"x": [1, 2]}]' ELSE '{"a": 1}' END""")
     return table(spark, sf_dir, "events").select("event_id", payload.item_count(made).alias("items"))
+
+
+@query("child_boundaries", """SELECT DISTINCT 'top/n' || c_nationkey AS boundary FROM customer UNION SELECT 'top'""")
+def child_boundaries(spark, sf_dir):
+    """First-level directories of the root that holds most files."""
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("top/n"), "c_nationkey", F.lit("/c"), "c_custkey", F.lit(".ts")).alias("path"))
+    few = table(spark, sf_dir, "nation").select(F.concat(F.lit("other/x"), "n_nationkey", F.lit(".ts")).alias("path"))
+    return surfaces.child_boundaries(rows.unionByName(few).unionByName(spark.createDataFrame([("top/main.ts",)], "path string")))

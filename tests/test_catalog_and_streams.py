@@ -54,6 +54,11 @@ def test_search_sinks():
     assert render.search_lines(rows[:1], "source", 2)[-1].startswith("- 1.py:1") and render.search_lines([], "source", 2) == []
 
 
+def test_sections_keep_their_order():
+    lines = render.sections({"clusters": [{"label": "a"}], "languages": [{"language": "python", "share": 0.5}] * 3, "surfaces": [{"file": "a/b/index.ts"}], "roles": []}, "Summary", render.SUMMARY, 2)
+    assert [x for x in lines if x.endswith(":")] == ["Languages:", "Surfaces:", "Clusters:"] and "  - ..." in lines and "    b" in lines
+
+
 def test_backend_commands(tmp_path, capsys):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_text("def f():\n    return f()\n")
@@ -64,3 +69,5 @@ def test_backend_commands(tmp_path, capsys):
     assert cli.main([*root, "backend", "changes"]) == 2
     assert cli.main([*root, "backend", "status"]) == 0 and "milliseconds" in capsys.readouterr().out
     assert cli.main([*root, "search", "f"]) == 0 and "# Definitions" in capsys.readouterr().out
+    assert cli.main([*root, "summary"]) == 0 and capsys.readouterr().out.startswith("# Summary")
+    assert cli.main([*root, "inspect", "a.py"]) == 0 and "Profile:" in capsys.readouterr().out
