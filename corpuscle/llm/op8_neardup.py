@@ -100,7 +100,7 @@ def full_sets(documents: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 def inverted_lists(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(value, node): the lists that sketches enter, of values that two of them or more retain."""
     entries = classes.select("node", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
-    common = scratch.table(entries.groupBy("value").agg(F.count("*").alias("sketches")).where("sketches > 1"))
+    common = scratch.keep(entries.groupBy("value").agg(F.count("*").alias("sketches")).where("sketches > 1"))
     met = entries.join(within(common), "value").groupBy("node").agg(F.max("s").alias("s"), F.array_sort(F.collect_list(F.struct("sketches", "value"))).alias("met"))
     shared = F.greatest(F.lit(1), F.floor(F.lit(least_shared(percent)) * F.col("s") / RETAINED))
     own = F.col("s") - F.size("met")  # values that no other sketch retains are the rarest
@@ -130,20 +130,20 @@ def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def linked(documents: DataFrame, classes: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame | None:
     """(node, component) of the classes, as ``components`` gives them; None where no list has two members."""
-    lists = scratch.table(inverted_lists(classes, percent, scratch))
-    heads = scratch.table(lists.groupBy("value").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members"))
-    members = scratch.table(lists.join(within(heads), "value").select(F.col("value").alias("key"), "node", "head"))
+    lists = scratch.keep(inverted_lists(classes, percent, scratch))
+    heads = scratch.keep(lists.groupBy("value").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members"))
+    members = scratch.keep(lists.join(within(heads), "value").select(F.col("value").alias("key"), "node", "head"))
     if members.isEmpty():
         return None
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        near = scratch.table(likely(pairs, classes, percent))
-        ids = scratch.table(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        near = scratch.keep(likely(pairs, classes, percent))
+        ids = scratch.keep(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sets = scratch.table(full_sets(documents, within(ids), words))
         return cut(exact(near, sets, percent))
 
     links = confirmed(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
-    sets = lambda nodes: full_sets(documents, within(scratch.table(nodes)), words)
+    sets = lambda nodes: full_sets(documents, within(scratch.keep(nodes)), words)
     return components(close_buckets(members.select("key", "node"), links, percent, FEW, confirmed, sets, scratch))
 
 

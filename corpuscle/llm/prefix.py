@@ -24,16 +24,16 @@ def close_buckets(members: DataFrame, links: DataFrame, percent: int, few: int,
     """
 
     def state() -> tuple[DataFrame, DataFrame]:
-        named = scratch.table(labelled(members, components(links)))
+        named = scratch.keep(labelled(members, components(links)))
         sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
         keys = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
-        return named, scratch.table(keys.where("parts > 1").select("key", (F.col("pairs") > few * F.col("members")).alias("wide")))
+        return named, scratch.keep(keys.where("parts > 1").select("key", (F.col("pairs") > few * F.col("members")).alias("wide")))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
     named, keys = state()
-    wide = scratch.table(named.join(keys.where("wide"), "key").select("key", "node"))
+    wide = scratch.keep(named.join(keys.where("wide"), "key").select("key", "node"))
     if not wide.isEmpty():
         held = wide.groupBy("node").agg(F.count("*").alias("keys"))
         typical = wide.join(held, "node").groupBy("key").agg(F.max(F.struct("keys", "node"))["node"].alias("b"))
@@ -42,10 +42,10 @@ def close_buckets(members: DataFrame, links: DataFrame, percent: int, few: int,
     one = named.join(keys.where("NOT wide"), "key").select("key", "node", "component")
     two = one.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
     links = links.unionByName(confirmed(ordered(one.join(two, "key").where("node > b AND component <> other"))))
-    wide = scratch.table(named.join(keys.where("wide"), "key").select("key", "node"))
+    wide = scratch.keep(named.join(keys.where("wide"), "key").select("key", "node"))
     if wide.isEmpty():
         return links
-    return links.unionByName(links_by_prefix(wide, scratch.table(sets_of(wide.select("node").distinct())), links, percent, confirmed, scratch))
+    return links.unionByName(links_by_prefix(wide, scratch.keep(sets_of(wide.select("node").distinct())), links, percent, confirmed, scratch))
 
 
 def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
@@ -68,15 +68,15 @@ def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, perce
     ordered = grams.join(common, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("grams"), F.count("*").alias("n"), F.avg("sets").alias("typical"))
     n, p = F.col("n"), F.lit(percent)
     first = F.slice("grams", F.lit(1), (n - F.ceil(n * p / 100) + 1).cast("int"))
-    ordered = scratch.table(ordered.select("node", "n", "typical", F.filter(F.transform(first, lambda x, i: F.struct(i.alias("at"), x["gram"].alias("gram"), x["sets"].alias("sets"))), lambda x: x["sets"] > 1).alias("first")))
+    ordered = scratch.keep(ordered.select("node", "n", "typical", F.filter(F.transform(first, lambda x, i: F.struct(i.alias("at"), x["gram"].alias("gram"), x["sets"].alias("sets"))), lambda x: x["sets"] > 1).alias("first")))
     typical = buckets.join(ordered.select("node", "typical"), "node").groupBy("key").agg(F.max(F.struct("typical", "node"))["node"].alias("b"))
     stars = buckets.join(typical, "key").where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     found = confirmed(stars)
     labels = components(links.unionByName(found))
     mixed = labelled(buckets, labels).groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    still = scratch.table(buckets.join(mixed.select("key"), "key", "left_semi").select("node").distinct())
+    still = scratch.keep(buckets.join(mixed.select("key"), "key", "left_semi").select("node").distinct())
     placed = labelled(ordered.join(within(still), "node", "left_semi"), labels)
-    placed = scratch.table(placed.select("node", "n", "component", F.explode("first").alias("x")).select("node", "n", "component", "x.at", "x.gram"))
+    placed = scratch.keep(placed.select("node", "n", "component", F.explode("first").alias("x")).select("node", "n", "component", "x.at", "x.gram"))
     larger = placed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"), F.col("component").alias("other"))
     smaller = placed.where(f"{100 + percent} * at <= {100 - percent} * n")
     left = f"{100 + percent} * LEAST(n - at, nb - atb) >= {percent} * (n + nb)"
