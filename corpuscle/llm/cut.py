@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +44,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, 0
-        self.kept: list[DataFrame] = []
         self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame) -> DataFrame:
@@ -55,14 +53,6 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """``df``, kept by executors until the work is done; what a lost one held is computed again.
-
-        For small intermediates that are read more than once: as files each would be many.
-        """
-        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return self.kept[-1]
-
     def drop(self, below: str = "") -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder + below)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -71,8 +61,6 @@ class Scratch:
         return self
 
     def __exit__(self, *error) -> None:
-        for df in self.kept:
-            df.unpersist()
         self.drop()
 
 
