@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,11 +28,28 @@ class Engine:
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, **options) -> Engine:
-        return cls(file_source.read_files(spark, root), **options)
+        files = file_source.read_files(spark, root).persist()  # discovery and ignore rules run once
+        engine = cls(files, **options)
+        engine._kept["read"] = files
+        return engine
 
-    def _keep(self, name: str, make) -> DataFrame:
+    def _keep(self, name: str, make, cut: bool = False) -> DataFrame:
+        """What ``make`` gives, kept by its name; ``cut`` also ends its plan, where many others build on it."""
         if name not in self._kept:
-            self._kept[name] = make().persist()
+            self._kept[name] = self._materialised(make()) if cut else make().persist()
+        return self._kept[name]
+
+    def _materialised(self, df: DataFrame) -> DataFrame:
+        """``df``, computed and cut from its plan where the session has a checkpoint folder, else kept."""
+        sc = self.spark.sparkContext
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            folder = self.spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp() if sc.master.startswith("local") and "cluster" not in sc.master else None)
+            if folder:
+                sc.setCheckpointDir(folder)
+        if sc._jsc.sc().getCheckpointDir().isDefined():
+            return df.checkpoint()
+        name = f"round {len(self._kept)}"
+        self._keep(name, lambda: df).count()
         return self._kept[name]
 
     def refresh(self) -> None:
@@ -65,7 +83,7 @@ class Engine:
             both = imports.python_imports(self.facts, self.inventory).unionByName(imports.script_imports(self.facts, self.inventory, some))
             return both
 
-        return self._keep("resolved", make)
+        return self._keep("resolved", make, cut=True)
 
     @property
     def _graph(self) -> tuple[DataFrame, DataFrame]:
@@ -74,11 +92,11 @@ class Engine:
 
     @property
     def nodes(self) -> DataFrame:
-        return self._keep("nodes", lambda: self._graph[0])
+        return self._keep("nodes", lambda: self._graph[0], cut=True)
 
     @property
     def edges(self) -> DataFrame:
-        return self._keep("edges", lambda: self._graph[1])
+        return self._keep("edges", lambda: self._graph[1], cut=True)
 
     def _production(self, rows: DataFrame, path: str = "path") -> DataFrame:
         """Rows of files that aren't generated, nor tests unless these are asked for."""
@@ -291,18 +309,20 @@ class Engine:
     def summary(self) -> dict[str, Any]:
         """Structure of the corpus: languages, packages, roots, roles, surfaces, most called, clusters, README."""
         inventory = self._production(self.inventory)
-        pairs = self.resolved.select("source", "target").distinct().withColumn("weight", F.lit(1).cast("long"))
-        packages = file_source.packages(self.files)
-        roots = packages.select(F.col("root").alias("boundary"))
-        if roots.count() <= 1:
-            roots = surface_rows.child_boundaries(inventory.where("category = 'code'").select("path"))
-        owned = graph.owning_boundary(inventory.where("category = 'code'"), roots, paths.ancestors(F.col("path"))).select(F.col("path").alias("node"), "boundary").where("boundary IS NOT NULL")
-        between = graph.boundary_edges(pairs, owned)
-        entries = owned.join(inspect_entries.likely_entries(self.nodes, self.edges).select(F.col("file").alias("node")), "node").select(F.col("boundary").alias("node"))
+        pairs = self._keep("pairs", lambda: self.resolved.select("source", "target").distinct().withColumn("weight", F.lit(1).cast("long")))
+        packages = self._keep("packages", lambda: file_source.packages(self.files))
+        roots_rows = packages.select(F.col("root").alias("boundary"))
+        if roots_rows.count() <= 1:
+            roots_rows = surface_rows.child_boundaries(inventory.where("category = 'code'").select("path"))
+        roots = self._keep("roots", lambda: roots_rows, cut=True)
+        owned_rows = graph.owning_boundary(inventory.where("category = 'code'"), roots, paths.ancestors(F.col("path"))).select(F.col("path").alias("node"), "boundary").where("boundary IS NOT NULL")
+        owned = self._keep("owned", lambda: owned_rows, cut=True)
+        between = self._keep("between", lambda: overview.added_weights(graph.boundary_edges(pairs, owned), overview.package_edges(packages, packages.select("root", F.explode("dependencies").alias("dependency")))), cut=True)
+        entries = self._keep("entries", lambda: owned.join(inspect_entries.likely_entries(self.nodes, self.edges).select(F.col("file").alias("node")), "node").select(F.col("boundary").alias("node")), cut=True)
         calls = self.edges.where("type = 'calls'")
         readme = self.files.where(F.lower("path").isin("readme.md", "readme.rst", "readme.txt", "readme")).first()
-        labels = graph.clusters(pairs)
-        sizes = graph.cluster_summary(pairs, labels)
+        labels = self._keep("labels", lambda: graph.clusters(pairs, keep=self._materialised))
+        sizes = self._keep("sizes", lambda: graph.cluster_summary(pairs, labels))
         owners = labels.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_set("node")), 1, 100).alias("files"))
         named = sizes.join(owners, "cluster").select("cluster", "members", F.lit(None).cast("string").alias("label"), F.transform("files", lambda f: paths.basename(f)).alias("names"), "files")
         clusters = sizes.join(overview.cluster_labels(named), "cluster")
@@ -311,8 +331,7 @@ class Engine:
         importers = graph.fan_in(pairs).select(F.col("node").alias("file"), F.col("importers").alias("fan_in"))
         candidates = shown.join(reached, "file", "left").join(importers, "file", "left").join(entries_of(packages), "file", "left").na.fill(0, ["origins", "fan_in"]).withColumn("declared", F.coalesce("declared", F.lit(False)))
         focus = roots.select("boundary").distinct().withColumn("ord", F.dense_rank().over(Window.orderBy("boundary"))).select("ord", F.col("boundary").alias("focus"))
-        surfaces = overview.surface_winners(candidates, focus).join(shown, "file")
-        between = overview.added_weights(between, overview.package_edges(packages, packages.select("root", F.explode("dependencies").alias("dependency"))))
+        surfaces = overview.surface_winners(candidates.persist(), focus).join(shown, "file")
         return {
             "languages": [r.asDict() for r in stats.shares(inventory, "language", F.col("n_bytes")).orderBy(F.desc("weight"), "language").collect()],
             "packages": [r.asDict() for r in packages.orderBy("root").collect()],
@@ -329,10 +348,11 @@ class Engine:
 
     def _described(self, row) -> dict[str, Any]:
         """A most called symbol with the file and description of the one definition that it means."""
-        found = profile_rows.symbols_by_name(self.facts).where(F.col("name") == row.target).select("path", "name", "line").distinct()
-        if found.count() != 1:
+        found = profile_rows.symbols_by_name(self.facts).where(F.col("name") == row.target).select("path", "name", "line").distinct().limit(2).collect()
+        if len(found) != 1:
             return row.asDict()
-        about = profile_rows.descriptions(self.docs, found).first()
+        own = self.docs.where(F.col("path") == found[0].path)
+        about = profile_rows.descriptions(own, self.spark.createDataFrame(found)).first()
         return row.asDict() | {"file": about.path, "description": about.description}
 
     def schema(self) -> dict[str, Any]:

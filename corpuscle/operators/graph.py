@@ -163,13 +163,17 @@ def cosine(vectors: DataFrame, query: list[float]) -> DataFrame:
     return vectors.where(F.size("vector") == len(query)).select("id", F.try_divide(dot, norm * F.lit(length)).alias("score")).where("score IS NOT NULL")
 
 
-def clusters(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, cluster) by label propagation: each round takes the neighbours' weightiest label, the smaller of equals."""
+def clusters(edges: DataFrame, rounds: int = 5, keep=lambda df: df) -> DataFrame:
+    """(node, cluster) by label propagation: each round takes the neighbours' weightiest label, the smaller of equals.
+
+    ``keep`` materialises a round, so that plans stay short.
+    """
     both = edges.select("source", "target", "weight").union(edges.select(F.col("target"), F.col("source"), F.col("weight"))).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
+    both = keep(both)
     labels = both.select(F.col("source").alias("node")).distinct().withColumn("cluster", F.col("node"))
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("target"), "cluster"), "target").groupBy("source", "cluster").agg(F.sum("weight").alias("v"))
-        labels = votes.groupBy(F.col("source").alias("node")).agg(F.min_by("cluster", F.struct(-F.col("v"), F.col("cluster"))).alias("cluster"))
+        labels = keep(votes.groupBy(F.col("source").alias("node")).agg(F.min_by("cluster", F.struct(-F.col("v"), F.col("cluster"))).alias("cluster")))
     return labels
 
 
