@@ -42,7 +42,7 @@ from corpuscle.llm.rows import row_hash
 
 RETAINED, MISSED = 32, 1e-6
 #: Ordered pairs of different components a member up to which a list's are compared one by one.
-FEW = 16
+FEW = 64
 _TOP = np.uint64(1 << 63)
 
 
