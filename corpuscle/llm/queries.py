@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuscle.llm import op1_chat, op2_toxicity, op3_repeats, op4_packing, op5_quality, op6_html, op7_topk, op8_neardup, op9_lines, op10_decontaminate
+from corpuscle.llm import (
+    op1_chat, op2_toxicity, op3_repeats, op4_packing, op5_quality, op6_html, op7_topk, op8_neardup, op9_lines, op10_decontaminate,
+    op11_whitening, op12_resampling, op13_mixing,
+)
 from corpuscle.llm.cut import read
 
 
@@ -68,10 +71,27 @@ def op10_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first four whitened components."""
+    return op11_whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score against the benchmark's texts, and the drawn ones' ranks."""
+    return op12_resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row")
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in the mix of all sources, drawn by labelled quality."""
+    mixture = op13_mixing.mix(read(spark, sf_dir, "documents"), op13_mixing.label_weights(read(spark, sf_dir, "labels")))
+    return mixture.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_chat_format, op2_toxicity_score, op3_repeated_strings, op4_best_fit_packing, op5_quality_rules,
         op6_html_text, op7_top_k, op8_near_duplicates, op9_line_dedup, op10_decontaminate_benchmark,
+        op11_whitened_embeddings, op12_target_resampling, op13_source_mixing,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
@@ -111,5 +131,46 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+#: crc32 by its table of 256 entries, made by the rule; bytes come from the hexadecimal form.
+_OP12 = r"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i::UBIGINT, list_transform(range(8), lambda k: k::UBIGINT)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+df AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM docs),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM items),
+known AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+hashed AS (SELECT f, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::UBIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) % 256)::INT + 1])), 4294967295::UBIGINT) % 10000 AS bucket FROM known, crc),
+s AS (SELECT bucket, count(*) AS n FROM df JOIN hashed USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bf JOIN hashed USING (f) GROUP BY bucket),
+gain AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+  / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS g FROM s LEFT JOIN t USING (bucket)),
+weighed AS (SELECT doc_id, sum(g)::BIGINT AS g, count(*) AS n FROM df JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(g::DOUBLE / n), 0)::BIGINT AS weight, len(w) AS n_words,
+  floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id::VARCHAR), 1, 8))::UBIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM docs LEFT JOIN weighed USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS total FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= total * 25 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+_OP13 = r"""
+WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+weighed AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::DOUBLE AS weight FROM sources),
+levels AS (SELECT *, 2 * source_size AS stop,
+  ((SELECT 150 * sum(source_size) FROM sources)::DOUBLE / 100 - coalesce(sum(2 * source_size) OVER before, 0)::DOUBLE) / sum(weight) OVER after AS level
+  FROM weighed WINDOW before AS (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  after AS (ORDER BY source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+plan AS (SELECT source, source_size, least(stop::DOUBLE, (SELECT max(level) FROM levels) * weight) AS target FROM levels),
+good AS (SELECT doc_id, max(quality) AS good FROM labels GROUP BY doc_id),
+keyed AS (SELECT d.doc_id, size, source_size, target, floor(target)::BIGINT AS whole, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs, d.source,
+  -ln((('0x' || substr(sha256('mix:' || d.doc_id::VARCHAR), 1, 12))::UBIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE) / CASE WHEN good > 0 THEN 4.0 WHEN good <= 0 THEN 1.0 ELSE 2.0 END::DOUBLE AS key
+  FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN good g ON d.doc_id = g.doc_id),
+summed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keyed)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, whole - epochs * source_size - before)))::BIGINT AS taken FROM summed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _OP1, "op7_top_k": _OP7}
+    return {"op1_chat_format": _OP1, "op7_top_k": _OP7, "op12_target_resampling": _OP12, "op13_source_mixing": _OP13}
