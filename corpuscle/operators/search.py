@@ -19,6 +19,13 @@ WINDOW_LINES = 50
 ANCHORS = 2
 #: Phrases that one expression looks for.
 DIRECT = 200
+#: Rows up to which a side of a join is broadcast.
+FEW = 100_000
+
+
+def small(table: DataFrame, most: int = FEW) -> DataFrame:
+    """``table``, to be broadcast if its counted rows are at most ``most``."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
 def lines(files: DataFrame, *keep: str) -> DataFrame:
@@ -172,24 +179,33 @@ def match_rank(path: Column, content: Column, query: str, definition: Column) ->
     return paths.relevance(path, text.search_terms(query)) + F.when(content.rlike(r"(?i)\bdeprecated\b"), 4).otherwise(0) - definition.cast("int")
 
 
+def word_runs(value: Column, n: int) -> Column:
+    """Hashes of the distinct runs of ``n`` words of a text, parted by single spaces."""
+
+    def runs(words: Column) -> Column:
+        last = F.size(words) - n
+        return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))))
+
+    return F.transform(F.array(F.split(value, " ")), runs)[0]  # bound by a lambda, so that a text is split once
+
+
 def phrase_matches(documents: DataFrame, phrases: DataFrame) -> DataFrame:
     """(doc_id, item_id) of documents (doc_id, text) that hold a phrase (item_id, phrase) as it is.
 
     A phrase of five words or more meets the documents that have its second to fourth word in a
-    row, by equality; the whole phrase is then looked for. Shorter ones are looked for directly,
-    in one expression for each ``DIRECT`` of them.
+    row, by the hash of these; a document's phrases are then looked for in one pass. Shorter
+    ones are looked for directly, in one expression for each ``DIRECT`` of them.
     """
     cut = phrases.where("phrase <> ''").withColumn("_w", F.split("phrase", " "))
-    key = F.concat_ws(" ", F.slice("_w", 2, 3))
-    long = cut.where(F.size("_w") >= 5).select("item_id", "phrase", key.alias("_key"))
-    words = F.split("text", " ")
-    runs = F.when(F.size(words) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.concat_ws(" ", F.slice(words, i, F.lit(3))))))
-    rows = documents.select("doc_id", "text", runs.alias("_runs"))
-    pairs = rows.select("doc_id", F.explode("_runs").alias("_key")).join(long, "_key").select("doc_id", "item_id", "phrase").distinct()
-    found = documents.join(pairs, "doc_id").where(F.contains("text", F.col("phrase"))).select("doc_id", "item_id")
+    long = cut.where(F.size("_w") >= 5).select("item_id", "phrase", F.xxhash64(*(F.col("_w")[k] for k in (1, 2, 3))).alias("_key"))
+    met = documents.select("doc_id", F.explode(word_runs(F.col("text"), 3)).alias("_key")).join(small(long), "_key")
+    wanted = met.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "phrase")).alias("_p"))
+    held = F.filter("_p", lambda p: F.contains("text", p["phrase"]))
+    found = documents.join(wanted, "doc_id").select("doc_id", F.explode(F.transform(held, lambda p: p["item_id"])).alias("item_id"))
     short = cut.where(F.size("_w") < 5).select("item_id", "phrase")
-    for part in range(max(1, -(-short.count() // DIRECT))):
-        some = short.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-short.count() // DIRECT)))) == part).collect()  # about DIRECT rows
+    parts = max(1, -(-short.count() // DIRECT))
+    for part in range(parts):
+        some = short.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()  # about DIRECT rows
         if some:
             flags = F.array_compact(F.array(*(F.when(F.contains("text", F.lit(r.phrase)), F.lit(r.item_id)) for r in some)))
             found = found.unionByName(documents.select("doc_id", F.explode(flags).alias("item_id")))
