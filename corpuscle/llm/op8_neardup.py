@@ -156,8 +156,8 @@ def near_duplicates(documents: DataFrame, words: int = 3, percent: int = 85) ->
         classes = scratch.table(filled.groupBy("n", "d1", "d2").agg(first, F.first("sketch").alias("sketch")))
         labels = linked(documents, classes, words, percent, scratch)
         named = classes.withColumn("component", F.col("node")) if labels is None else labelled(classes, labels)
-        found = named.select("n", "d1", "d2", F.col("component.doc_id").alias("component"))
-        joined = facts.join(found, ["n", "d1", "d2"], "left")
-        component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-        out = joined.select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"))
+        found = scratch.table(named.select("n", "d1", "d2", F.col("component.doc_id").alias("component_id")))
+        linked_rows = filled.join(within(found), ["n", "d1", "d2"]).select("doc_id", "row", "n", "component_id")
+        others = facts.where("n = 0 OR doc_id IS NULL").select("doc_id", "row", "n", F.col("doc_id").alias("component_id"))  # empty sets are no key
+        out = linked_rows.unionByName(others).withColumnRenamed("n", "n_shingles")
         return cut(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))

@@ -1,4 +1,9 @@
-"""Links within buckets of candidates: every similar pair, and never all pairs of a large bucket."""
+"""Links within buckets of candidates: every similar pair, and no pairs within one component.
+
+Rows that meet in a bucket (or by a value) are parted by component: those outside its largest
+component meet all others, so that a join makes at most as many rows as there are ordered pairs
+of different components, however large one component is.
+"""
 
 from __future__ import annotations
 
@@ -26,8 +31,9 @@ def close_buckets(members: DataFrame, links: DataFrame, percent: int, few: int,
     def state() -> tuple[DataFrame, DataFrame]:
         named = scratch.table(labelled(members, components(links)))
         sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-        keys = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
-        return named, scratch.table(keys.where("parts > 1").select("key", (F.col("pairs") > few * F.col("members")).alias("wide")))
+        squares = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs")
+        keys = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), squares, F.max_by("component", F.struct("n", "component")).alias("largest"))
+        return named, scratch.table(keys.where("parts > 1").select("key", (F.col("pairs") > few * F.col("members")).alias("wide"), "largest"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
@@ -39,9 +45,9 @@ def close_buckets(members: DataFrame, links: DataFrame, percent: int, few: int,
         typical = wide.join(held, "node").groupBy("key").agg(F.max(F.struct("keys", "node"))["node"].alias("b"))
         links = links.unionByName(confirmed(ordered(wide.join(typical, "key").where("node <> b"))))
         named, keys = state()
-    one = named.join(keys.where("NOT wide"), "key").select("key", "node", "component")
-    two = one.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-    links = links.unionByName(confirmed(ordered(one.join(two, "key").where("node > b AND component <> other"))))
+    both = named.join(keys.where("NOT wide"), "key").select("key", "node", "component", (F.col("component") == F.col("largest")).alias("main"))
+    others = both.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("main").alias("_main"))
+    links = links.unionByName(confirmed(ordered(both.where("NOT main").join(others, "key").where("component <> other AND (_main OR node > b)"))))
     wide = scratch.table(named.join(keys.where("wide"), "key").select("key", "node"))
     if wide.isEmpty():
         return links
@@ -59,9 +65,9 @@ def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, perce
     sets, the smaller one's first 1 - 2p/(1+p) and the larger one's first 1 - p have a value
     in common, and the first such value leaves enough places after it on both sides. A
     part that a third of the sets share comes last, so sets with enough of their own never
-    meet by it; values that no other set has are not listed. First, each bucket's sets meet its most typical one (of the most common
-    values), which joins the copies with few changes; sets of one component never meet, and
-    sets whose buckets are one component by then take no further part.
+    meet by it; values that no other set has, or only sets of one component, are not listed.
+    First, each bucket's sets meet its most typical one (of the most common values), which joins
+    the copies with few changes; sets whose buckets are one component by then take no further part.
     """
     grams = sets.select("node", F.explode("grams").alias("gram"))
     common = grams.groupBy("gram").agg(F.count("*").alias("sets"))
@@ -77,8 +83,12 @@ def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, perce
     still = scratch.table(buckets.join(mixed.select("key"), "key", "left_semi").select("node").distinct())
     placed = labelled(ordered.join(within(still), "node", "left_semi"), labels)
     placed = scratch.table(placed.select("node", "n", "component", F.explode("first").alias("x")).select("node", "n", "component", "x.at", "x.gram"))
-    larger = placed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"), F.col("component").alias("other"))
+    parts = placed.groupBy("gram", "component").agg(F.count("*").alias("sets")).groupBy("gram")
+    tops = scratch.table(parts.agg(F.max_by("component", F.struct("sets", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
+    placed = scratch.table(placed.join(tops, "gram").withColumn("main", F.col("component") == F.col("largest")).drop("largest"))
+    larger = placed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"), F.col("component").alias("other"), F.col("main").alias("_main"))
     smaller = placed.where(f"{100 + percent} * at <= {100 - percent} * n")
     left = f"{100 + percent} * LEAST(n - at, nb - atb) >= {percent} * (n + nb)"
-    met = smaller.join(larger, "gram").where(f"component <> other AND (n < nb OR n = nb AND node < b) AND 100 * n >= {percent} * nb AND {left}")
+    open_ = f"component <> other AND (n < nb OR n = nb AND node < b) AND 100 * n >= {percent} * nb AND {left}"
+    met = smaller.where("NOT main").join(larger, "gram").where(open_).unionByName(smaller.where("main").join(larger.where("NOT _main"), "gram").where(open_))
     return found.unionByName(confirmed(met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()))

@@ -1,8 +1,11 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from corpuscle.llm import cut, op8_neardup
 from corpuscle.llm.components import components
+from corpuscle.llm.prefix import close_buckets, links_by_prefix
 
 
 def expected(docs, n, percent):
@@ -82,3 +85,35 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(x, find(x)) for x in parent if find(x) != x}
+
+
+def test_one_large_component_and_outliers(spark):
+    """Joins grow with the open pairs, not with a component's square."""
+    n, asked = 300_000, []
+    members = spark.range(n + 2).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("node"))
+    links = spark.range(1, n).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+
+    def confirmed(pairs):
+        asked.append(pairs.count())
+        return pairs.limit(0)
+
+    sets = lambda nodes: nodes.select("node", F.array(F.lit(1).cast("long"), -F.col("node") - 2, -F.col("node") - 10**9).alias("grams"))
+    with cut.Scratch(spark) as scratch:
+        assert close_buckets(members, cut.cut(links), 80, 4, confirmed, sets, scratch).count() == n - 1
+    assert sum(asked) == 2 * n + 1  # either outlier and all others
+
+
+def test_prefix_lists_of_one_family(spark):
+    """A value that all sets of one component share meets only the others."""
+    n, asked = 40_000, []
+    nodes = spark.range(n + 1).select(F.col("id").alias("node"))
+    links = spark.range(1, n).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+
+    def confirmed(pairs):
+        asked.append(pairs.count())
+        return pairs.limit(0)
+
+    sets = nodes.select("node", F.array(F.lit(1).cast("long"), F.lit(2).cast("long")).alias("grams"))
+    with cut.Scratch(spark) as scratch:
+        links_by_prefix(nodes.withColumn("key", F.lit(1)), scratch.table(sets), cut.cut(links), 80, confirmed, scratch)
+    assert asked[-1] == n
