@@ -15,7 +15,8 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int)
     """(doc_id, text, y, n_class): at most ``per_class`` labelled rows of each class, none held out.
 
     Rows are taken in the order of a hash of the id, so the sample is the same at every
-    run. An id with several labels takes the largest; null ids and labels are left out.
+    run. An id with several labels takes the largest, one with several texts the text of the smallest
+    hash; null ids and labels are left out.
     ``n_class`` counts all rows of the class that may be learned from.
     """
     known = (
@@ -30,4 +31,6 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int)
         taken = part if taken is None else taken.unionByName(part)
     taken = taken.join(F.broadcast(counts), "y")
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "y", "n_class")  # at most 2 * per_class rows are broadcast
+    found = texts.join(F.broadcast(taken), "doc_id")  # at most 2 * per_class rows are broadcast
+    first = F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")
+    return found.groupBy("doc_id", "y", "n_class").agg(first).select("doc_id", "text", "y", "n_class")

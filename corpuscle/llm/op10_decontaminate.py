@@ -36,6 +36,8 @@ from corpuscle.llm.rows import row_hash
 MASKS = ("11101111", "1101100111", "110010110111", "1110110101")
 LEAST, WRONG = 13, 0.2
 BROADCAST_SEEDS = 2_000_000
+#: Hits of seeds that are made at once, if no single seed has more.
+HITS = 1 << 20
 _WEIGHTS = np.random.default_rng(10).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -52,6 +54,18 @@ def seeds(text: np.ndarray, hashes: np.ndarray, mask: str, number: int) -> tuple
     return same, grams.mix(out[same])
 
 
+#: What stands for the seed before the first place of an item, and of a text: never the same.
+NO_ITEM, NO_TEXT = np.uint64(1), np.uint64(2)
+
+
+def previous(place: np.ndarray, seed: np.ndarray, none: np.uint64) -> np.ndarray:
+    """The seed one word before each place; its own with a bit turned where there is none."""
+    out = seed ^ none
+    after = np.flatnonzero(place[1:] == place[:-1] + 1)
+    out[after + 1] = seed[after]
+    return out
+
+
 class Index:
     """Items as word hashes, and their seeds in order."""
 
@@ -70,15 +84,15 @@ class Index:
             text = np.zeros(len(h), dtype=np.int64)
             if 0 < len(h) < widest:  # a mask of its own: all words
                 _, s = seeds(text, h, "1" * len(h), len(MASKS) + len(h))
-                rows.append((s, np.full(1, item), np.zeros(1, dtype=np.int64)))
+                rows.append((s, np.full(1, item), np.zeros(1, dtype=np.int64), s ^ NO_ITEM))
             for number, mask in enumerate(MASKS):
                 at, s = seeds(text, h, mask, number)
-                rows.append((s, np.full(len(at), item), at))
+                rows.append((s, np.full(len(at), item), at, previous(at, s, NO_ITEM)))
         self.short = sorted({len(h) for h in words if 0 < len(h) < widest})
         none = np.empty(0, dtype=np.int64)
-        seed, item, at = (np.concatenate([r[k] for r in rows]) if rows else none for k in range(3))
+        seed, item, at, before = (np.concatenate([r[k] for r in rows]) if rows else none for k in range(4))
         order = np.argsort(seed.astype(np.uint64), kind="stable")
-        self.seed, self.item, self.at = seed.astype(np.uint64)[order], item[order], at[order]
+        self.seed, self.item, self.at, self.before = seed.astype(np.uint64)[order], item[order], at[order], before.astype(np.uint64)[order]
         self.some = np.zeros(1 << 22, dtype=bool)  # leading bits of seeds, to pass over most places
         self.some[self.seed >> np.uint64(42)] = True
 
@@ -131,15 +145,26 @@ class Finder:
             hits: dict[int, list[tuple[int, int, int]]] = {}
             for mask, number in index.masks() if len(index.seed) else ():
                 place, seed = seeds(text, hashes, mask, number)
+                before = previous(np.where(np.diff(text[place], prepend=-1) != 0, -2 - place, place), seed, NO_TEXT) if len(place) else seed
                 likely = index.some[seed >> np.uint64(42)]
-                place, seed = place[likely], seed[likely]
+                place, seed, before = place[likely], seed[likely], before[likely]
                 low, high = np.searchsorted(index.seed, seed), np.searchsorted(index.seed, seed, side="right")
-                i = np.repeat(np.arange(len(seed)), high - low)
-                j = np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[i]
-                owner = text[place[i]]
-                at_word = place[i] - cuts[owner]
-                for row, *hit in zip(owner.tolist(), index.item[j].tolist(), (at_word - index.at[j]).tolist(), at_word.tolist(), strict=True):
-                    hits.setdefault(row, []).append(tuple(hit))
+                ends = np.cumsum(high - low)
+                first_seed = 0
+                while first_seed < len(seed):
+                    done = ends[first_seed - 1] if first_seed else 0
+                    last_seed = max(first_seed + 1, int(np.searchsorted(ends, done + HITS, side="right")))
+                    part = slice(first_seed, last_seed)
+                    n = high[part] - low[part]
+                    i = np.repeat(np.arange(first_seed, last_seed), n)
+                    j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + low[i]
+                    new = index.before[j] != before[i]  # else the place before is a hit of the same stretch
+                    i, j = i[new], j[new]
+                    owner = text[place[i]]
+                    at_word = place[i] - cuts[owner]
+                    for row, *hit in zip(owner.tolist(), index.item[j].tolist(), (at_word - index.at[j]).tolist(), at_word.tolist(), strict=True):
+                        hits.setdefault(row, []).append(tuple(hit))
+                    first_seed = last_seed
             for i in range(end - first):
                 yield self._verified(hashes[cuts[i] : cuts[i + 1]], hits.get(i, []))
 

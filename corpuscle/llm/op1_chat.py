@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 CODES = ((TURN, "\\t"), (TEXT, "\\x"), (NEXT, "\\n"), (END, "\\e"))
 
+#: The byte order mark that a decoder takes away, so that one which begins a text stays.
+MARK = "0000FEFF"
 #: Lengths that are summed in one group.
 GROUP = 256
 
@@ -101,7 +103,7 @@ def loss_texts(formatted: DataFrame) -> DataFrame:
     runs = F.filter(F.zip_with("loss_runs", "_starts", lambda r, s: F.struct(r["loss"].alias("loss"), r["n_chars"].alias("n"), s.alias("at"))), lambda r: r["loss"])
 
     def cut(code: Column) -> Column:  # four bytes a code point, so that a run is found without a search from the start
-        return F.transform(runs, lambda r: unescape(F.decode(F.substring(code, (r["at"] * 4 + 1).cast("int"), r["n"] * 4), "UTF-32")))
+        return F.transform(runs, lambda r: unescape(F.decode(F.concat(F.unhex(F.lit(MARK)), F.substring(code, (r["at"] * 4 + 1).cast("int"), r["n"] * 4)), "UTF-32")))
 
     return placed.withColumn("loss", F.transform(F.array(F.encode("formatted", "UTF-32")), cut)[0]).drop("_starts")
 

@@ -137,8 +137,10 @@ def pack(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: in
     rows = cut(rows)
     lengths = rows.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n")).collect()  # at most max(capacities) rows
     shards = spark.createDataFrame([(r.n_tokens, -(-r.n // SHARD)) for r in lengths], "n_tokens int, shards long")
-    rows = rows.join(F.broadcast(shards), "n_tokens", "left").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("shards", F.lit(1))).cast("int"))
-    sizes = rows.where("n_tokens > 0").groupBy("n_tokens", "shard").agg(F.count("*").alias("n")).collect()  # one row for SHARD pieces, and one for each length
+    empty = rows.where("n_tokens <= 0").withColumn("rank", F.lit(None).cast("long"))  # in no bin, so without a rank
+    number = F.coalesce(F.col("shards"), F.lit(1))
+    rows = rows.where("n_tokens > 0").withColumn("_at", F.monotonically_increasing_id()).join(F.broadcast(shards), "n_tokens", "left").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "_at"), number).cast("int"))
+    sizes = rows.groupBy("n_tokens", "shard").agg(F.count("*").alias("n")).collect()  # one row for SHARD pieces, and one for each length
     counts: dict[int, int] = defaultdict(int)
     before = []
     for r in sorted(sizes):
@@ -149,7 +151,8 @@ def pack(rows: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: in
     plan = Plan(dict(counts), capacities, overhead)
     offsets = spark.createDataFrame(before, "n_tokens int, shard int, before long")
     order = Window.partitionBy("n_tokens", "shard").orderBy("doc_id", "piece")
-    ranked = rows.join(F.broadcast(offsets), ["n_tokens", "shard"], "left").withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
+    ranked = rows.join(F.broadcast(offsets), ["n_tokens", "shard"]).withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
+    ranked = ranked.select("doc_id", "piece", "n_tokens", "rank").unionByName(empty.select("doc_id", "piece", "n_tokens", "rank"))
     shared = spark.sparkContext.broadcast(plan.arrays())
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -42,6 +42,7 @@ NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article content main post entry story body".split())
 SPACE = re.compile(r"\s+")
+UNCLOSED = re.compile(r"<[!?/A-Za-z]")
 LAYOUT = re.compile(r"\b(?:has|no|with|without|show|hide|js)[-_][\w-]+")  # words that say what a page holds, not what a part is
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
@@ -65,6 +66,7 @@ class Events(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.mains = 0
+        self.places: dict[str, list[int]] = {}  # where in ``open`` each tag is
 
     def end_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
@@ -100,27 +102,32 @@ class Events(HTMLParser):
         if tag in CONTAINERS:
             self.parents.append(container)
             container = len(self.parents) - 1
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, boilerplate or bad, hidden, main, container))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def close_within(self, tag: str, fences: tuple[str, ...]) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-            if self.open[k][0] in fences or self.open[k][0] in MAIN:
-                return
+        if any(self.last(f) > self.last(tag) for f in (*fences, *MAIN)):
+            return
+        self.close_from(self.last(tag))
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag, or -1."""
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def close_from(self, place: int) -> None:
+        """Closes the element at ``place`` and all within it; nothing for -1."""
+        while 0 <= place < len(self.open):
+            self.places[self.open.pop()[0]].pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        self.close_from(self.last(tag))
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][2]):
@@ -131,6 +138,8 @@ class Events(HTMLParser):
         return self.parse_bogus_comment(i, report)
 
     def close(self) -> None:
+        if UNCLOSED.match(self.rawdata):  # markup that the page's end cuts off is none of its text
+            self.rawdata = ""
         super().close()
         self.end_line()
 

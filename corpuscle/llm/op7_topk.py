@@ -19,8 +19,8 @@ Defined cases: vectors that are null, empty or hold a null or non-finite compone
 take no part, as query or candidate, nor do null ids; vectors whose length differs
 from the query's are no candidates of it; of repeated ids each row counts, but a
 query's own id never; query rows of one id with different vectors are queries of their
-own, equal ones are one; ties go to the smaller id; components of 2**40 or more count as
-non-finite, and a product beyond 64 bits as the last number of 64 bits; fewer than k candidates give them
+own, equal ones are one; ties go to the smaller id; integers and scores beyond 64 bits count as
+the nearest number of 64 bits (components of 2**53 or more, that is); fewer than k candidates give them
 all; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -43,13 +43,14 @@ TILE = 512
 FIRST = 4
 _CELLS = "d int, n int, ids binary, hashes binary, low binary, width binary, cells binary"
 _WIDE = "decimal(38,0)"
+_MOST = 2**63 - 1
 _BOUNDS = "q int, vec_id bigint, hash bigint, lower double, upper double"
 
 
 def to_integers(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, v): floor(scale * x) of each component x, only of whole finite vectors."""
-    good = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float(2**40))))
-    return embeddings.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    good = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    return embeddings.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.greatest(F.lit(-_MOST), F.floor(x.cast("double") * scale).cast("long"))).alias("v"))
 
 
 def smallest_of_equals(ids: np.ndarray, hashes: np.ndarray, k: int) -> np.ndarray:
@@ -74,8 +75,9 @@ class Cells:
     @staticmethod
     def of(x: np.ndarray, bits: int = BITS) -> Cells:
         low = x.min(axis=0)
-        width = np.maximum(1, -(-(x.max(axis=0) - low + 1) // 2**bits))
-        return Cells(low, width, ((x - low) // width).astype(np.uint8))
+        above = x.view(np.uint64) - low.view(np.uint64)  # distances of up to 2**64, without a sign
+        width = above.max(axis=0) // np.uint64(2**bits) + np.uint64(1)
+        return Cells(low, width.astype(np.int64), (above // width).astype(np.uint8))
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds, (queries, rows)."""
@@ -84,7 +86,7 @@ class Cells:
         centre = q.astype(float) @ middle.T
         reach = (np.abs(q) * half).sum(axis=1)[:, None]
         slack = 1e-9 * (np.abs(q).astype(float) @ np.abs(middle).T + reach) + 1e-3  # what rounding can add
-        return centre - reach - slack, centre + reach + slack
+        return tuple(np.clip(b, -(2.0**63), 2.0**63) for b in (centre - reach - slack, centre + reach + slack))  # as scores are
 
 
 def cell_file(vectors: DataFrame, k: int) -> DataFrame:
@@ -160,13 +162,30 @@ def scan(cells: DataFrame, shared, k: int) -> DataFrame:
     return cells.mapInArrow(run, _BOUNDS)
 
 
+def product(one: str, two: str) -> Column:
+    """Exact inner product of two arrays of longs; beyond 64 bits the nearest number of 64 bits."""
+    largest = lambda v: F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    low = lambda x: x.bitwiseAND(F.lit(2**32 - 1)).cast(_WIDE)
+    high = lambda x: F.shiftright(x, 32).cast(_WIDE)
+
+    def total(f) -> Column:
+        return F.aggregate(F.zip_with(one, two, f), F.lit(0).cast(_WIDE), lambda a, x: (a + x).cast(_WIDE))
+
+    # halves of 32 bits, so that no sum leaves 38 digits
+    top, middle, rest = total(lambda x, y: high(x) * high(y)), total(lambda x, y: high(x) * low(y) + low(x) * high(y)), total(lambda x, y: low(x) * low(y))
+    about = top.cast("double") * 2.0**64 + middle.cast("double") * 2.0**32 + rest.cast("double")
+    exact = (top * F.lit(str(2**64)).cast(_WIDE)).cast(_WIDE) + (middle * F.lit(2**32).cast(_WIDE)).cast(_WIDE) + rest
+    held = F.greatest(F.lit(-(2**63)).cast(_WIDE), F.least(F.lit(_MOST).cast(_WIDE), exact)).cast("long")
+    wide = F.when(about > 2.0**64, F.lit(_MOST)).when(about < -(2.0**64), F.lit(-(2**63))).otherwise(held)
+    short = F.aggregate(F.zip_with(one, two, lambda x, y: x * y), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(largest(one) * largest(two) * F.size(one) < 2.0**62, short).otherwise(wide)
+
+
 def scored(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, scratch: Scratch) -> DataFrame:
     """``candidates`` (q, vec_id, hash, copy) with their exact scores; only their vectors are read."""
     wanted = scratch.table(candidates.select("vec_id", "hash").distinct())
     read = vectors.join(within(wanted), ["vec_id", "hash"], "left_semi").dropDuplicates(["vec_id", "hash"])
-    exact = F.aggregate(F.zip_with("v", "qv", lambda x, y: x.cast(_WIDE) * y.cast(_WIDE)), F.lit(0).cast(_WIDE), lambda a, x: (a + x).cast(_WIDE))
-    score = F.greatest(F.lit(-(2**63)).cast(_WIDE), F.least(F.lit(2**63 - 1).cast(_WIDE), exact)).cast("long")
-    return candidates.join(read, ["vec_id", "hash"]).join(queries.select("q", "qv"), "q").select("q", "vec_id", score.alias("score"))
+    return candidates.join(read, ["vec_id", "hash"]).join(queries.select("q", "qv"), "q").select("q", "vec_id", product("v", "qv").alias("score"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:

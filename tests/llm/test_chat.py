@@ -59,3 +59,11 @@ def test_long_conversations_and_texts(spark):
     loss = "".join(t for c, _, r, t in rows if c == 1 and r == "assistant")
     assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (5000, len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert got[2].loss_chars == 7 * 300_000
+
+
+def test_byte_order_marks_stay(spark):
+    texts = ["﻿answer", "﻿", "﻿﻿x", "a﻿", "", "﻿<|end|>﻿"]
+    df = spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(texts)] + [(2, 0, "assistant", "﻿")], SCHEMA)
+    got = {r.conv_id: r for r in chat.digests(chat.parse_chats(chat.format_chats(df))).collect()}
+    for conv, loss in ((1, "".join(texts)), (2, "﻿")):
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())

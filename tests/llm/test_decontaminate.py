@@ -95,3 +95,14 @@ def test_repeated_words(spark):
     bench = spark.createDataFrame([(1, "the " * 60), (2, "a b " * 30)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "the " * 3000), (2, "one the two " * 500), (3, "b a " * 400)], "doc_id long, text string")
     assert {(r.doc_id, r.contaminated) for r in deco.judge(docs, bench).collect()} == {(1, True), (2, False), (3, True)}
+
+
+def test_one_word_repeated_in_item_and_text(spark, monkeypatch):
+    """Places of one diagonal are one hit, and the answer is what alignment of all of them gives."""
+    index = deco.Index([(1, "x " * 400), (2, "x y " * 30), (3, " ".join(prose(40)))])
+    text = pa.array(["x " * 3000, "y x " * 500 + "x " * 50, "x " * 12 + "y " * 12, " ".join(prose(50))])
+    found = list(deco.Finder(index).find(text))
+    assert {h[0] for h in found[0]} == {1} and (1, 0, 400, 400) in found[0] and (1, 2600, 3000, 400) in found[0]
+    assert 2 in {h[0] for h in found[1]} and found[2] == [] and {h[0] for h in found[3]} <= {3}
+    monkeypatch.setattr(deco, "HITS", 7)
+    assert list(deco.Finder(index).find(text.slice(1))) == found[1:]

@@ -59,3 +59,18 @@ def test_only_white_space_is_white_space():
 def test_ties():
     """Lines of one ratio make no clusters: all are content."""
     assert html.extract("<div><p>same</p><p>size</p><p>text</p></div>") == "same\nsize\ntext"
+
+
+def test_markup_that_the_end_cuts_off():
+    for tail in ("<!x", "<!-- x", "<a href='x", "<?php x", "</p", "<![CDATA[ x"):
+        assert html.extract(f"<p>one</p><p>two{tail}") == "one\ntwo", tail
+    assert html.extract("<p>one</p>a < b") == "one\na < b"
+
+
+def test_deep_pages_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert html.extract("<div>" * 100_000 + "deep" + "</div></i>" * 100_000) == "deep"
+    assert html.extract("<ul><li>" + "<div>" * 20_000 + "<p>x<dt>" * 2_000 + "</b>" * 20_000).count("x") == 2_000
+    assert time.perf_counter() - began < 20

@@ -86,3 +86,13 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "w " * 1_000_000), (2, "x" * 3_000_000)], "doc_id long, text string")
     rows = packing.pack_documents(df).collect()
     assert sum(r.n_tokens for r in rows) == 1_000_001 and len({r.bin for r in rows}) == 245
+
+
+def test_many_empty_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 1000)
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, NULL, '') AS text").unionByName(spark.range(20_000).selectExpr("7L AS doc_id", "'a b c' AS text"))
+    out = packing.pack_documents(docs)
+    assert out.where("n_tokens = 0 AND bin IS NULL AND slot IS NULL AND capacity IS NULL").count() == 100_000
+    bins = out.where("n_tokens > 0").groupBy("bin", "capacity").agg({"n_tokens": "sum", "slot": "count"}).collect()
+    assert sum(r["sum(n_tokens)"] for r in bins) == 60_000 and all(r["sum(n_tokens)"] <= r.capacity for r in bins)
+    assert out.where("n_tokens > 0").select("bin", "slot").distinct().count() == 20_000

@@ -107,3 +107,12 @@ def test_weights_keep_the_base_rate(spark):
     labels = spark.createDataFrame([(i, int(y)) for i, y, _ in rows], "doc_id long, quality int")
     mean = lambda model: model.score(docs).agg({"score": "avg"}).first()[0]
     assert abs(mean(op5_quality.fit(docs, labels)) - 0.9) < 0.03 and abs(mean(op5_quality.fit(docs, labels, per_class=100)) - 0.9) < 0.06
+
+
+def test_sample_takes_one_row_an_id(spark):
+    from corpuscle.llm.labelled import sample
+
+    docs = spark.range(50_000).selectExpr("1L AS doc_id", "concat('text ', id % 7) AS text").unionByName(spark.createDataFrame([(2, "other"), (6, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (6, 0), (None, 1)], "doc_id long, toxic int")
+    rows = sample(docs, labels, "toxic", 10).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) and {r.doc_id for r in rows} <= {1, 2, 6}

@@ -41,3 +41,20 @@ def test_many_equal_vectors_and_large_components(spark):
     far = -2 * 10**11 * 1024 * 1024 + 10**9 * 1024 * 1024 + 9 * 1024 * 1024
     want |= {(5001, 1, 5000, 2**63 - 1), (5001, 2, 5002, 2**63 - 1)} | {(5001, r, r - 3, far) for r in (3, 4)}
     assert got == want
+
+
+def test_components_of_any_size(spark):
+    """Finite components take part, whatever their size; integers and scores are held within 64 bits."""
+    rows = [(100, [1.0, 2.0]), (1, [3e12, 0.0]), (2, [5.0, 5.0]), (3, [-(2.0**52), 2.0**51]), (4, [2.0**52, -(2.0**51)]), (5, [1e300, -1e300]), (6, [-1e300, 1.0]), (200, [-(2.0**30), 2.0**31 + 0.5])]
+    rng = random.Random(9)
+    rows += [(i, [rng.choice([-1, 1]) * 2.0 ** rng.uniform(0, 60), rng.gauss(0, 1)]) for i in range(301, 380)]
+    held = lambda x: max(-(2**63), min(2**63 - 1, x))
+    ints = [(i, [max(-(2**63 - 1), held(int(x) * 1024 if abs(x) >= 2**53 else int(1024 * x // 1))) for x in v]) for i, v in rows]
+    vectors = topk.to_integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {(r.vec_id, tuple(r.v)) for r in vectors.collect()} == {(i, tuple(v)) for i, v in ints}
+    want = set()
+    for q, v in ints:
+        if q % 100 == 0:
+            near = sorted((-held(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in ints if i != q)
+            want |= {(q, r, i, -s) for r, (s, i) in enumerate(near[:10], 1)}
+    assert {tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 100 == 0).collect()} == want
