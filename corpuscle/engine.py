@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import paths, render, text
 from corpuscle.operators import facts as fact_rows
-from corpuscle.operators import definitions, graph, imports, inspect_entries, match, overview, search, stats
+from corpuscle.operators import definitions, graph, imports, inspect_entries, match, overview, search, stats, trees
 from corpuscle.operators import profiles as profile_rows
 from corpuscle.operators import surfaces as surface_rows
 from corpuscle.sources import files as file_source
@@ -188,11 +188,11 @@ class Engine:
         return [r.asDict() for r in rows.orderBy("path", "line", "col").limit(limit).collect()]
 
     def rule(self, rule_text: str, limit: int = 1000) -> list[dict]:
-        """Matches of a rule file: ``pattern``, ``kind``, ``any``, ``all``, ``not``, ``has``, ``inside``, ``regex``."""
+        """Matches of a rule file; ``trees`` has the keys of rules. ``utils`` are rules by name, ``constraints`` bind metavariables."""
         rule = file_source.rule_file(rule_text)
-        if rule["rule"].keys() == {"pattern"}:
+        if rule["rule"].keys() == {"pattern"} and not rule.get("constraints"):
             return self.match(str(rule["rule"]["pattern"]), rule["language"], limit)
-        rows = match.rule_matches(self.files, rule["rule"], rule["language"])
+        rows = trees.rule_matches(self.files, rule["rule"], rule["language"], rule.get("utils"), rule.get("constraints"))
         return [r.asDict() for r in rows.orderBy("path", "line", "col").limit(limit).collect()]
 
     def profiles(self) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import re
 from collections.abc import Iterator
 
@@ -96,86 +95,6 @@ SCRIPT_KINDS = {
     "function_declaration": ("function $N($$$) { $$$ }", "function $N($$$): $T { $$$ }"), "import_statement": ("import $A from $B", "import { $$$ } from $B"), "return_statement": ("return $A",),
 }
 
-Span = tuple[int, int]
-
-
-def nodes_of_kind(source: str, kind: str, python: bool) -> list[Span]:
-    """Spans of the nodes of a kind; none in sources that don't parse, and an error for unknown kinds."""
-    if not python:
-        if kind not in SCRIPT_KINDS:
-            raise ValueError(f"unknown kind {kind}")
-        return [(a, b) for p in SCRIPT_KINDS[kind] for a, b, _ in find(source, parse(p), False)]
-    if kind not in PYTHON_KINDS:
-        raise ValueError(f"unknown kind {kind}")
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    starts, at = [0], 0
-    for line in source.splitlines(keepends=True):
-        at += len(line)
-        starts.append(at)
-    lines = source.splitlines()
-
-    def place(row: int, column: int) -> int:
-        return starts[row - 1] + len(lines[row - 1].encode()[:column].decode(errors="ignore"))
-
-    return [(place(n.lineno, n.col_offset), place(n.end_lineno, n.end_col_offset)) for n in ast.walk(tree) if type(n).__name__ in PYTHON_KINDS[kind]]
-
-
-def spans_of_rule(source: str, rule: dict, python: bool) -> list[Span]:
-    """Places where a rule holds, in order: ``pattern``, ``kind``, ``any`` and ``all`` give places; ``has``, ``inside``, ``not`` and ``regex`` narrow them."""
-    kept: set[Span] | None = None
-
-    def narrow(spans: list[Span]) -> None:
-        nonlocal kept
-        kept = set(spans) if kept is None else kept & set(spans)
-
-    if "pattern" in rule:
-        narrow([(a, b) for a, b, _ in find(source, parse(str(rule["pattern"]), python), python)])
-    if "kind" in rule:
-        narrow(nodes_of_kind(source, rule["kind"], python))
-    if "any" in rule:
-        narrow([s for r in rule["any"] for s in spans_of_rule(source, r, python)])
-    placed = [r for r in rule.get("all", ()) if {"pattern", "kind", "any", "all"} & r.keys()]
-    for r in placed:
-        narrow(spans_of_rule(source, r, python))
-    if kept is None:
-        raise ValueError("a rule needs a pattern, a kind, any or all")
-    out = sorted(kept)
-    for r in (rule, *(x for x in rule.get("all", ()) if x not in placed)):
-        if "has" in r:
-            inner = spans_of_rule(source, r["has"], python)
-            out = [(a, b) for a, b in out if any(a <= x and y <= b and (x, y) != (a, b) for x, y in inner)]
-        if "inside" in r:
-            outer = spans_of_rule(source, r["inside"], python)
-            out = [(a, b) for a, b in out if any(x <= a and b <= y and (x, y) != (a, b) for x, y in outer)]
-        if "regex" in r:
-            out = [(a, b) for a, b in out if re.search(str(r["regex"]), source[a:b])]
-        if "not" in r:
-            never = set(spans_of_rule(source, r["not"], python)) if {"pattern", "kind", "any", "all"} & r["not"].keys() else {s for s in out if re.search(str(r["not"].get("regex", "(?!)")), source[s[0] : s[1]])}
-            out = [s for s in out if s not in never]
-    return out
-
-
-def rule_matches(files: DataFrame, rule: dict, language: str) -> DataFrame:
-    """(path, line, col, end_line, text, bindings) of the places where a rule holds; ``bindings`` is empty."""
-    python = language.lower() in ("python", "py")
-    spans_of_rule("", rule, python)  # a broken rule is an error here, not in a task
-    known = [".py"] if python else [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, source in zip(frame["path"], frame["text"].fillna(""), strict=True):
-                for start, end in spans_of_rule(source, rule, python):
-                    line = source.count("\n", 0, start) + 1
-                    rows.append((path, line, start - source.rfind("\n", 0, start), line + source.count("\n", start, end), source[start:end], "{}"))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return files.where(F.lower(paths.suffix(F.col("path"))).isin(*known)).select("path", "text").mapInPandas(run, SCHEMA)
-
-
 def match_json(row: dict) -> dict:
     """A match as a JSON record: ranges count lines and columns from 0, text output from 1."""
     last = row["text"].rpartition("\n")[2]

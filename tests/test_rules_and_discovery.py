@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from corpuscle import cli
 from corpuscle.functions import text
-from corpuscle.operators import bounded, definitions, match, overview, profiles, stats
+from corpuscle.operators import bounded, definitions, match, overview, profiles, stats, trees
 from corpuscle.sources import files as sources
 
 PY = "def run(x):\n    return helper(x)\n\n\nclass A:\n    def go(self):\n        print(helper(1))\n\n\nhelper(2)\n"
@@ -13,18 +13,18 @@ def test_rules(spark):
     files = spark.createDataFrame([("a.py", PY), ("b.ts", "function f(a) { return g(a); }\ng(1);\n")], "path string, text string")
 
     def lines(rule, language="python"):
-        return [r.line for r in match.rule_matches(files, rule, language).orderBy("line", "col").collect()]
+        return [r.line for r in trees.rule_matches(files, rule, language).orderBy("line", "col").collect()]
 
     assert lines({"kind": "function_definition"}) == [1, 6]
-    assert lines({"pattern": "helper($A)", "inside": {"kind": "class_definition"}}) == [7]
-    assert lines({"kind": "function_definition", "has": {"pattern": "print($A)"}}) == [6]
+    assert lines({"pattern": "helper($A)", "inside": {"kind": "class_definition", "stopBy": "end"}}) == [7]
+    assert lines({"kind": "function_definition", "has": {"pattern": "print($A)", "stopBy": "end"}}) == [6]
     assert lines({"any": [{"pattern": "helper(2)"}, {"pattern": "print($A)"}]}) == [7, 10]
     assert lines({"all": [{"pattern": "helper($A)"}, {"regex": "[12]"}]}) == [7, 10]
     assert lines({"pattern": "helper($A)", "not": {"pattern": "helper(x)"}}) == [7, 10]
-    assert lines({"pattern": "g($A)", "inside": {"kind": "function_declaration"}}, "typescript") == [1]
+    assert lines({"pattern": "g($A)", "inside": {"kind": "function_declaration", "stopBy": "end"}}, "typescript") == [1]
     for broken in ({}, {"kind": "no_such_kind"}, {"has": {"pattern": "x"}}):
         with pytest.raises(ValueError):
-            match.rule_matches(files, broken, "python")
+            trees.rule_matches(files, broken, "python")
 
 
 def test_rule_files():
