@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.operators import bounded, definitions, overview, profiles
 from corpuscle.plans.registry import query
-from corpuscle.plans.syntax import tree
+from corpuscle.plans.syntax import written
 from corpuscle.sources.tables import table
 
 _SUFFIX = "CASE p_partkey % 7 WHEN 0 THEN '.go' WHEN 1 THEN '.rs' WHEN 2 THEN '.py' WHEN 3 THEN '.ts' WHEN 4 THEN '' WHEN 5 THEN '.rb' ELSE '.zig' END"
@@ -37,13 +37,15 @@ def definition_lanes(spark, sf_dir):
     return definitions.union_without(rows.where("l_returnflag = 'R'").select("path", "line"), rows.where("l_quantity >= 40").select("path", "line"), ["path", "line"])
 
 
-@query("symbol_definitions", """SELECT * FROM (VALUES ('pkg/util.py', 4, 5, 'helper', 'syntax'), ('web/area.ts', 2, 14, 'area', 'syntax'), ('main.py', 3, 22, 'Runner', 'none')) AS t(path, line, col, symbol, lane) WHERE lane <> 'none'""")
+@query(
+    "symbol_definitions",
+    """SELECT 'n' || n_nationkey || '/util.py' AS path, 4 AS line, 5 AS col, 'helper' AS symbol, 'syntax' AS lane FROM nation
+    UNION ALL SELECT 'web/s' || s_suppkey || '/area.ts', 2, 14, 'area', 'syntax' FROM supplier""",
+)
 def symbol_definitions(spark, sf_dir):
     """Where two names are defined, callables only."""
-    from corpuscle.operators import facts
-
-    files = tree(spark)
-    return definitions.symbol_definitions(files, facts.facts(files), ["helper", "area"], callable_only=True).select("path", "line", "col", "symbol", "lane")
+    rows = definitions.symbol_definitions(written(spark, sf_dir, "files"), written(spark, sf_dir, "facts"), ["helper", "area"], callable_only=True)
+    return rows.select("path", "line", "col", "symbol", "lane")
 
 
 @query("unscanned_languages", f"""WITH p AS (SELECT {_SUFFIX} AS s FROM part) SELECT DISTINCT CASE s WHEN '.go' THEN 'go' WHEN '.rs' THEN 'rust' WHEN '.rb' THEN 'ruby' WHEN '' THEN 'unsuffixed files' ELSE 'zig' END AS language FROM p WHERE s NOT IN ('.py', '.ts')""")
