@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import paths, render, text
 from corpuscle.operators import facts as fact_rows
-from corpuscle.operators import definitions, graph, imports, inspect_entries, match, overview, search, stats, trees
+from corpuscle.operators import definitions, graph, imports, inspect_entries, match, overview, search, semantic, stats, trees
 from corpuscle.operators import profiles as profile_rows
 from corpuscle.operators import surfaces as surface_rows
 from corpuscle.sources import files as file_source
@@ -25,6 +25,7 @@ class Engine:
     def __init__(self, files: DataFrame, include_tests: bool = False):
         self.spark, self.files, self.include_tests = files.sparkSession, files.select("path", "text"), include_tests
         self._kept: dict[str, DataFrame] = {}
+        self._indexes: dict[str, Any] = {}
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, **options) -> Engine:
@@ -57,6 +58,7 @@ class Engine:
         for df in self._kept.values():
             df.unpersist()
         self._kept.clear()
+        self._indexes.clear()
 
     def __enter__(self) -> Engine:
         return self
@@ -167,6 +169,17 @@ class Engine:
         return [r.asDict() for r in found.collect()]
 
     def search_semantic(self, query: str, limit: int = 15) -> list[dict]:
+        """Symbols whose names and documentation are close to the query's keywords: cosine of hashed term vectors, 0.5 or more."""
+        terms = text.search_terms(query)
+        if not terms:
+            return []
+        if "semantic" not in self._indexes:
+            rows = self.docs.where("kind <> 'file'").select(F.concat_ws(":", "path", "qualified_name").alias("id"), F.concat_ws(" ", "qualified_name", F.coalesce("docstring", F.lit(""))).alias("body"))
+            self._indexes["semantic"] = semantic.semantic_lists(rows, text.identifier_tokens(F.col("body")), self._materialised)
+        found = self._indexes["semantic"].search(terms).orderBy(F.desc("score"), "id").limit(limit)
+        return [r.asDict() for r in found.collect()]
+
+    def search_words(self, query: str, limit: int = 15) -> list[dict]:
         """Symbols ranked by BM25 over the parts of their names and documentation."""
         rows = self.docs.where("kind <> 'file'").select(F.concat_ws(":", "path", "qualified_name").alias("id"), F.concat_ws(" ", "qualified_name", F.coalesce("docstring", F.lit(""))).alias("body"))
         terms = text.search_terms(query)[:8]
