@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("corpus", "graph", "signals", "lookup", "syntax", "structure", "policies")
+_MODULES = ("corpus", "graph", "signals", "lookup", "syntax", "structure", "policies", "scale")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
