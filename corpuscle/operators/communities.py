@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 Keep = Callable[[DataFrame], DataFrame]
 
 #: Rounds of moves in a graph, graphs contracted one after the other, and the least gain that goes on.
-ROUNDS, LEVELS, GAIN = 8, 8, 1e-7
+ROUNDS, LEVELS, GAIN = 3, 6, 1e-4
 #: Parts of the nodes that move one after the other, so that two neighbours seldom move at once.
 TURNS = 2
 
