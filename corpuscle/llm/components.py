@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm.cut import cut
 
+#: Rows of links or labels in one part of what a round writes; small graphs are not dealt over as many files as there are shuffle partitions.
+PART = 100_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of each node that has a larger id than its component.
@@ -24,22 +27,35 @@ def components(links: DataFrame) -> DataFrame:
     def moved(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
         return df.join(to.select(F.col("node").alias(column), F.col("component").alias("_to")), column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
-    edges = cut(oriented(links))
-    labels = None
-    while not edges.isEmpty():
-        hooks = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")))
+    def written(df: DataFrame, rows: int) -> DataFrame:
+        return cut(df.coalesce(1 + rows // PART))
+
+    edges = written(oriented(links), links.count())
+    labels, named = None, 0
+    while n := edges.count():
+        hooks = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), n)
         while True:
             deeper = hooks.alias("x").join(hooks.alias("y"), F.col("x.component") == F.col("y.node")).select(F.col("x.node"), F.col("y.component"))
             if deeper.isEmpty():
                 break
-            hooks = cut(moved(hooks, "component", hooks))
-        labels = hooks if labels is None else cut(moved(labels, "component", hooks).unionByName(hooks))
-        edges = cut(oriented(moved(moved(edges, "a", hooks), "b", hooks)))
+            hooks = written(moved(hooks, "component", hooks), n)
+        named += n
+        labels = hooks if labels is None else written(moved(labels, "component", hooks).unionByName(hooks), named)
+        edges = written(oriented(moved(moved(edges, "a", hooks), "b", hooks)), n)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels.select("node", "component")
 
 
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels``, as ``components`` gives them, after more ``links``; only the links between components are worked on."""
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    named = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    more = components(cut(named.where("a <> b").coalesce(1 + links.count() // PART)))
+    moved = labels.join(more.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return cut(moved.unionByName(more).coalesce(1 + (labels.count() + links.count()) // PART))
+
+
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``rows`` (with a column node) and their component, which without a label is the node itself."""
     return rows.join(labels.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))

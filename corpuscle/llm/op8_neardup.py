@@ -140,7 +140,7 @@ def linked(documents: DataFrame, classes: DataFrame, words: int, percent: int, s
         near = scratch.table(likely(pairs, classes, percent))
         ids = scratch.table(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         sets = scratch.table(full_sets(documents, within(ids), words))
-        return cut(exact(near, sets, percent))
+        return scratch.table(exact(near, sets, percent))
 
     links = confirmed(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
     sets = lambda nodes: full_sets(documents, within(scratch.table(nodes)), words)

@@ -12,10 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.components import components, labelled
+from corpuscle.llm.components import components, extended, labelled
 from corpuscle.llm.cut import Scratch, within
 
 
+#: Times that the members of large buckets meet a typical one.
+STARS = 3
+
+
 def close_buckets(members: DataFrame, links: DataFrame, percent: int, few: int, confirmed: Callable[[DataFrame], DataFrame], sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(a, b): ``links`` and whatever else joins all similar sets of a bucket.
 
@@ -24,12 +28,14 @@ def close_buckets(members: DataFrame, links: DataFrame, percent: int, few: int,
 
     A bucket in one component is done. One with at most ``few`` ordered pairs of different
     components for each member has these pairs compared. In others, all members first meet the
-    most typical one (that lies in most such buckets), which joins copies with few changes; if
+    most typical one (that lies in most such buckets), then the most typical one of those outside the
+    largest component, ``STARS`` times in all; this joins copies with few changes. If
     still too many pairs are left, members meet by ``links_by_prefix``.
     """
+    labels = components(links)
 
     def state() -> tuple[DataFrame, DataFrame]:
-        named = scratch.table(labelled(members, components(links)))
+        named = scratch.table(labelled(members, labels))
         sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
         squares = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs")
         keys = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), squares, F.max_by("component", F.struct("n", "component")).alias("largest"))
@@ -39,11 +45,17 @@ def close_buckets(members: DataFrame, links: DataFrame, percent: int, few: int,
         return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
     named, keys = state()
-    wide = scratch.table(named.join(keys.where("wide"), "key").select("key", "node"))
-    if not wide.isEmpty():
+    for star in range(STARS):
+        wide = scratch.table(named.join(keys.where("wide"), "key").select("key", "node", "component", (F.col("component") == F.col("largest")).alias("main")))
+        if wide.isEmpty():
+            break
         held = wide.groupBy("node").agg(F.count("*").alias("keys"))
-        typical = wide.join(held, "node").groupBy("key").agg(F.max(F.struct("keys", "node"))["node"].alias("b"))
-        links = links.unionByName(confirmed(ordered(wide.join(typical, "key").where("node <> b"))))
+        able = wide.where("NOT main") if star else wide
+        typical = able.join(held, "node").groupBy("key").agg(F.max(F.struct("keys", "node"))["node"].alias("b"), F.max_by("component", F.struct("keys", "node")).alias("other"))
+        found = confirmed(ordered(wide.join(typical, "key").where("component <> other")))
+        if found.isEmpty():
+            break
+        links, labels = links.unionByName(found), extended(labels, found)
         named, keys = state()
     both = named.join(keys.where("NOT wide"), "key").select("key", "node", "component", (F.col("component") == F.col("largest")).alias("main"))
     others = both.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("main").alias("_main"))
