@@ -82,7 +82,8 @@ class Engine:
     def resolved(self) -> DataFrame:
         def make() -> DataFrame:
             some = self.files.where(F.col("path").rlike(r"(^|/)(ts|js)config[^/]*\.json$|(^|/)config/[^/]*\.json$"))
-            both = imports.python_imports(self.facts, self.inventory).unionByName(imports.script_imports(self.facts, self.inventory, some))
+            manifests = self.files.where(paths.basename(F.col("path")) == "package.json")
+            both = imports.python_imports(self.facts, self.inventory).unionByName(imports.script_imports(self.facts, self.inventory, some, manifests))
             return both
 
         return self._keep("resolved", make, cut=True)

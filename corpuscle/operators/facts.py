@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import fixed, paths
-from corpuscle.operators import scan_python, scan_script
+from corpuscle.operators import nesting, scan_python, scan_script
 
 FACTS = "path string, kind string, name string, identifier string, line int, span int, owner string, detail string"
 DOCS = "path string, kind string, name string, qualified_name string, parent string, line int, inputs string, outputs string, docstring string, parse_error string"
@@ -102,10 +102,8 @@ def members(defs: DataFrame, owner: str) -> DataFrame:
     """Definitions whose innermost class span is ``owner``; without a class, files named after it."""
     own = defs.where((F.col("kind") == "class") & (F.col("name") == owner) | (F.regexp_extract(paths.basename(F.col("path")), r"^([^.]+)", 1) == owner))
     defs = defs.join(own.select("path").distinct(), "path", "left_semi")  # only files that can hold a member
-    d = defs.where("kind = 'function'").select("path", "name", "line", F.struct("path", "line", "identifier").alias("_id"))
-    spans = defs.where("kind = 'class'").select("path", F.col("name").alias("_c"), F.col("line").alias("_s"), (F.col("line") + F.col("span")).alias("_e"))
-    held = (d.path == spans.path) & (F.col("_s") < F.col("line")) & (F.col("line") < F.col("_e"))
-    inside = d.join(spans, held, "left").select(d["*"], "_s", "_c")
-    inner = inside.groupBy("_id", "path", "name", "line").agg(F.max(F.when(F.col("_c").isNotNull(), F.struct("_s", "_c"))).alias("_o"))
+    d = defs.where("kind = 'function'").select("path", "name", "line", F.struct("line", "identifier").alias("_id")).distinct()
+    spans = defs.where("kind = 'class'").select("path", F.col("name").alias("class"), F.col("line").alias("first"), (F.col("line") + F.col("span") - 1).alias("last"))
+    inner = nesting.innermost(d, spans, ["path"], "line", "first", "last", ["class"])
     stem = F.regexp_extract(paths.basename(F.col("path")), r"^([^.]+)", 1)
-    return inner.where(F.coalesce(F.col("_o._c") == owner, stem == owner)).select("path", "name", "line")
+    return inner.where(F.coalesce(F.col("class") == owner, stem == owner)).select("path", "name", "line")

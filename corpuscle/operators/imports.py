@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import fixed, paths
+from corpuscle.operators import packages
 
 #: Suffixes that a script import without one may mean, in order; and those that a written one may stand for.
 GUESSES = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
@@ -99,15 +100,16 @@ def aliases(configs: DataFrame) -> DataFrame:
     return rows.select("directory", F.flatten("t.table").alias("table"))
 
 
-def script_imports(facts: DataFrame, files: DataFrame, configs: DataFrame | dict[str, str] | None = None) -> DataFrame:
+def script_imports(facts: DataFrame, files: DataFrame, configs: DataFrame | dict[str, str] | None = None, manifests: DataFrame | None = None) -> DataFrame:
     """(source, target, name): local files that script imports and re-exports mean.
 
-    Relative specifiers are normalised; others go through the nearest config's aliases. The
+    Relative specifiers are normalised; others go through the nearest config's aliases, then
+    to packages of the corpus by ``manifests`` (path, text of package.json files). The
     first candidate that exists wins: as written, with the suffixes it may stand for, with
     guessed suffixes, as a folder's index. ``configs``: path, text, or texts by path.
     """
 
-    def candidates(path: str, specifier: str, table: list) -> list[str]:
+    def candidates(path: str, specifier: str, table: list, package: list) -> list[str]:
         if specifier.startswith("."):
             bases = [posixpath.normpath(posixpath.join(posixpath.dirname(path), specifier))]
         else:
@@ -117,13 +119,14 @@ def script_imports(facts: DataFrame, files: DataFrame, configs: DataFrame | dict
                 if specifier == pattern if not star else specifier.startswith(head) and specifier.endswith(tail):
                     bases.append(target.replace("*", specifier[len(head) : len(specifier) - len(tail)]) if star else target)
         out = []
-        for base in bases:
+        for base in [*bases, *(package or ())]:
             stem, suffix = posixpath.splitext(base)
             out += [base, *(stem + s for s in ALIASES.get(suffix, ())), *(base + s for s in GUESSES), *(f"{base}/index{s}" for s in GUESSES)]
         return out
 
     rows = facts.where("kind IN ('import', 'reexport')").where(F.lower(paths.suffix(F.col("path"))).isin(*fixed.SCRIPT_SUFFIXES))
-    rows = rows.select("path", F.col("identifier").alias("specifier")).distinct()
+    required = rows.select("path", F.col("identifier").alias("specifier"), (F.col("detail") == "require").alias("required")).distinct()
+    rows = required.select("path", "specifier").distinct()
     if isinstance(configs, dict):
         configs = facts.sparkSession.createDataFrame(list(configs.items()), "path string, text string")
     if configs is None:
@@ -134,12 +137,18 @@ def script_imports(facts: DataFrame, files: DataFrame, configs: DataFrame | dict
         near = above.join(table.select("directory"), "directory").groupBy("path").agg(F.max_by("directory", F.length("directory")).alias("directory"))
         rows = rows.join(near, "path", "left").join(table, "directory", "left").drop("directory")
 
+    if manifests is None:
+        rows = rows.withColumn("package", F.lit(None).cast("array<string>"))
+    else:
+        led = packages.package_targets(required, manifests).groupBy("path", "specifier").agg(F.sort_array(F.collect_list("target")).alias("package"))
+        rows = rows.join(led, ["path", "specifier"], "left")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(p, s, rank, target) for p, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for rank, target in enumerate(candidates(p, s, [(x["pattern"], x["target"]) for x in t or ()]))]
+            found = [(p, s, rank, target) for p, s, t, k in zip(*(c.to_pylist() for c in batch.columns), strict=True) for rank, target in enumerate(candidates(p, s, [(x["pattern"], x["target"]) for x in t or ()], k))]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))], ["path", "specifier", "rank", "target"])
 
-    rows = rows.select("path", "specifier", "table").mapInArrow(run, "path string, specifier string, rank int, target string")
+    rows = rows.select("path", "specifier", "table", "package").mapInArrow(run, "path string, specifier string, rank int, target string")
     best = rows.join(files.select(F.col("path").alias("target")), "target").groupBy("path", "specifier").agg(F.min(F.struct("rank", "target")).alias("b"))
     return best.select(F.col("path").alias("source"), "b.target", F.col("specifier").alias("name")).where("source <> target").distinct()
 
