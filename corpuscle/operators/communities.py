@@ -70,16 +70,14 @@ def louvain(edges: DataFrame, keep: Keep) -> DataFrame:
         degrees = keep(links.groupBy(F.col("source").alias("node")).agg(F.sum("weight").alias("degree")))
         own = keep(degrees.select("node", F.col("node").alias("cluster")))
         start = best = modularity(links, own)
-        idle = 0
-        for round_ in range(ROUNDS * TURNS):
-            new = keep(moved(links, degrees, own, total, round_ % TURNS))
+        for _ in range(ROUNDS):
+            new = own
+            for turn in range(TURNS):
+                new = keep(moved(links, degrees, new, total, turn))
             value = modularity(links, new)
-            if value > best + GAIN:
-                own, best, idle = new, value, 0
-            else:
-                idle += 1
-                if idle == TURNS:
-                    break
+            if value <= best + GAIN:
+                break
+            own, best = new, value
         if best <= start + GAIN:
             break
         labels = keep(labels.join(own.select(F.col("node").alias("cluster"), F.col("cluster").alias("_to")), "cluster").select("node", F.col("_to").alias("cluster")))
