@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.engine import Engine
 from corpuscle.operators import graph, match, scan_python, scan_script, search
-from corpuscle.plans.syntax import SOURCES
+from sources import SOURCES
 
 
 def tree(spark, rows):
