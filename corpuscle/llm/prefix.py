@@ -81,12 +81,14 @@ def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, perce
     First, each bucket's sets meet its most typical one (of the most common values), which joins
     the copies with few changes; sets whose buckets are one component by then take no further part.
     """
-    grams = sets.select("node", F.explode("grams").alias("gram"))
-    common = grams.groupBy("gram").agg(F.count("*").alias("sets"))
-    ordered = grams.join(common, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("grams"), F.count("*").alias("n"), F.avg("sets").alias("typical"))
+    grams = sets.select("node", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
+    shared = grams.join(common, "gram").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("shared"), F.sum("sets").alias("held"))
     n, p = F.col("n"), F.lit(percent)
-    first = F.slice("grams", F.lit(1), (n - F.ceil(n * p / 100) + 1).cast("int"))
-    ordered = scratch.table(ordered.select("node", "n", "typical", F.filter(F.transform(first, lambda x, i: F.struct(i.alias("at"), x["gram"].alias("gram"), x["sets"].alias("sets"))), lambda x: x["sets"] > 1).alias("first")))
+    own = n - F.size("shared")  # a set's own values are the rarest: they come first, and nothing meets by them
+    first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * p / 100) + 1 - own).cast("int"))
+    placed_first = F.transform(first, lambda x, i: F.struct((own + i).alias("at"), x["gram"].alias("gram")))
+    ordered = scratch.table(shared.select("node", "n", ((F.col("held") + own) / n).alias("typical"), placed_first.alias("first")))
     typical = buckets.join(ordered.select("node", "typical"), "node").groupBy("key").agg(F.max(F.struct("typical", "node"))["node"].alias("b"))
     stars = buckets.join(typical, "key").where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     found = confirmed(stars)
