@@ -12,6 +12,7 @@ import weakref
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.functions import paths
 from corpuscle.operators import facts, graph, imports, inspect_entries, match, search, surfaces, trees
 from corpuscle.operators.kept import kept
 from corpuscle.plans.registry import query
@@ -147,6 +148,37 @@ def documentation(spark, sf_dir):
     return written(spark, sf_dir, "documentation").where("docstring IS NOT NULL").select("path", "kind", "qualified_name", "docstring")
 
 
+@query(
+    "signatures",
+    f"""WITH {_KEYS} SELECT 'n' || j || '/util.py' AS path, t.* FROM n, (VALUES ('helper', 'x', NULL), ('other', '', NULL)) t(qualified_name, inputs, outputs)
+    UNION ALL SELECT {_MODULE}, 'S' || k || i, inputs, outputs FROM good, (VALUES ('.run', 'self, value: int=1', 'int'), ('.run.inner', 'x', NULL), ('.stop', 'self', NULL)) t(i, inputs, outputs)""",
+)
+def signatures(spark, sf_dir):
+    """Parameters and results of Python functions and methods."""
+    rows = written(spark, sf_dir, "documentation").where("kind IN ('function', 'method') AND path LIKE '%.py'")
+    return rows.select("path", "qualified_name", "inputs", "outputs")
+
+
+_PROFILE = "file, lines, defines, imports_local, exports, extends, inherits, score, role"
+
+
+@query(
+    "file_profiles",
+    f"""WITH {_KEYS}, t AS (SELECT 'n' || j || f AS file, l AS lines, d AS defines, i AS imports_local, e AS exports, 0 AS extends, 0 AS inherits FROM n, (VALUES ('/__init__.py', 3, 0, 1, 1), ('/base.py', 5, 1, 1, 0), ('/util.py', 12, 2, 0, 0), ('/main.py', 6, 0, 2, 0), ('/README.md', 7, 0, 0, 0)) v(f, l, d, i, e)
+      UNION ALL SELECT {_MODULE}, 16, 1, 2, 0, 0, 1 FROM good UNION ALL SELECT {_MODULE}, 3, 1, 1, 0, 0, 0 FROM broken
+      UNION ALL SELECT 'web/s' || k || f, l, d, i, e, x, 0 FROM s, (VALUES ('/index.ts', 3, 0, 2, 2, 0), ('/shape.ts', 8, 2, 1, 2, 1), ('/area.ts', 5, 2, 0, 1, 0)) v(f, l, d, i, e, x))
+    SELECT file, lines, defines, imports_local, exports, extends, inherits, defines * 5 + imports_local * 6 + (extends + inherits) * 3 + exports AS score,
+      CASE WHEN file LIKE '%/main.py' OR file LIKE '%/index.ts' THEN 'likely entrypoint' ELSE 'likely module' END AS role FROM t""",
+)
+def file_profiles(spark, sf_dir):
+    """What each file defines, imports and exports, its structural score and likely role."""
+    lines = written(spark, sf_dir, "files").select("path", search.line_count(F.col("text")).alias("n_lines"))
+    rows = facts.profiles(written(spark, sf_dir, "facts"), written(spark, sf_dir, "imports").withColumn("type", F.lit("imports")), lines)
+    entry = F.array_contains(paths.tags(F.col("file"), F.lit("code"), F.lit("x")), "entry-candidate")
+    judged = rows.withColumn("reexports_local", F.lit(0)).withColumn("entry", entry).withColumn("role", facts.role()).withColumn("score", facts.score())
+    return judged.select(*_PROFILE.split(", "))
+
+
 @query("parse_errors", f"WITH {_KEYS} SELECT {_MODULE} AS path, 'invalid syntax' AS parse_error FROM broken")
 def parse_errors(spark, sf_dir):
     """Files that don't parse."""
