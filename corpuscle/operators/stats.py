@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.operators.kept import kept
+
 QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
 MOST_BINS = 10
 #: Ranges of values that a population is split into to order it.
@@ -26,12 +28,14 @@ def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFram
     Quantiles interpolate linearly. An empty population has zeros throughout. Values are
     counted first; their counts are summed up in order, in ``SLICES`` ranges of values that
     approximate quantiles cut, so that no task holds a population. The order statistics that
-    the quantiles lie between are then read from the sums.
+    the quantiles lie between are then read from the sums. The cuts depend on the order in which
+    parts of the data meet, so they are taken once and kept: values and sums are ranged alike.
     """
     keys = by or []
     rows = df.select(*keys, finite(F.col(value)).alias("_v")).where("_v IS NOT NULL")
     cuts = F.percentile_approx("_v", F.array(*(F.lit(i / SLICES) for i in range(1, SLICES))), F.lit(1000))
     figures = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.min("_v").alias("low"), F.max("_v").alias("high"), cuts.alias("_cuts"))
+    figures = kept(figures)  # one row for each group
     marks = figures.select(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(keys)), F.col("n").alias("_all"), "_cuts")
     same = [F.col(k).eqNullSafe(F.col(f"_by{i}")) for i, k in enumerate(keys)]
     counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))

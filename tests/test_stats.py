@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpuscle.functions import render
 from corpuscle.operators import stats
@@ -10,6 +11,19 @@ def rows(spark, values):
     return spark.createDataFrame([(float(v),) for v in values], "v double")
 
 
+def test_describe_takes_its_cuts_once(spark, monkeypatch):
+    """Approximate quantiles that come out otherwise each time they are taken leave the figures exact."""
+    import random
+
+    def cuts(values, *_):
+        return F.udf(lambda top: sorted(random.uniform(0, top) for _ in range(63)), "array<double>").asNondeterministic()(F.max(values))
+
+    monkeypatch.setattr(stats.F, "percentile_approx", cuts)
+    df = spark.range(1001).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"))
+    r = {x.k: x for x in stats.describe(df, "v", ["k"]).collect()}
+    assert [(x.n, x.p25, x.p50, x.p75, render.fixed(x.p90)) for x in (r[0], r[1])] == [(501, 250, 500, 750, 900), (500, 250.5, 500, 749.5, 899.2)]
+
+
 def test_describe(spark):
     r = stats.describe(rows(spark, [4, 1, 3, 2]), "v").first()
     assert (r.n, r.mean, render.fixed(r.std), r.low, r.p25, r.p50, r.p75, render.fixed(r.p90), r.high) == (4, 2.5, 1.29, 1, 1.75, 2.5, 3.25, 3.7, 4)
