@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets of terms; documents frequencies of them, at most so many rows, are broadcast.
@@ -65,6 +65,6 @@ def semantic_lists(documents: DataFrame, tokens: Column, keep: Callable[[DataFra
     frequencies = counts.groupBy("bucket").agg(F.count("*").alias("df"))
     weights = keep(frequencies.select("bucket", idf(F.lit(n), F.col("df")).alias("idf")))
     raw = counts.join(F.broadcast(weights), "bucket").select("id", "bucket", ((1 + F.log("tf")) * F.col("idf")).alias("w"))  # at most dim rows are broadcast
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = raw.join(norms, "id").select("bucket", "id", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))  # a document's rows meet once, not twice for a join
+    unit = raw.select("bucket", "id", (F.col("w") / norm).alias("weight"))
     return SemanticLists(keep(unit.repartition("bucket").sortWithinPartitions("bucket")), weights, n, dim)
