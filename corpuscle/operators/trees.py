@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import paths
 from corpuscle.operators import match
-from corpuscle.operators.kept import kept
+from corpuscle.operators.kept import stored
 from corpuscle.operators.scan_script import _matches, tokens
 
 SCHEMA = "path string, pre int, last int, parent int, nth int, kind string, line int, col int, end_line int, text string, atoms array<int>"
@@ -221,10 +221,11 @@ def loose(rule: dict, utils: dict[str, dict]) -> bool:
     return any(not positive(rule[r], utils) or loose(rule[r], utils) for r in RELATIONS if r in rule) or any(loose(r, utils) for r in parts)
 
 
-def syntax_nodes(files: DataFrame, language: str, atoms: list[Atom], every: bool = True, constraints: dict[str, dict] | None = None) -> DataFrame:
+def syntax_nodes(files: DataFrame, language: str, atoms: list[Atom], every: bool = True, constraints: dict[str, dict] | None = None, texts: bool = True) -> DataFrame:
     """Rows of nodes of each file of a language; without ``every`` only those where one of ``atoms`` holds, which alone have ``text``.
 
     ``constraints``: for metavariables of patterns a ``regex`` that their text has to hold.
+    Without ``texts`` no node has ``text``: texts of nested nodes repeat those within them.
     """
     bounds = {}
     for name, test in (constraints or {}).items():
@@ -266,7 +267,7 @@ def syntax_nodes(files: DataFrame, language: str, atoms: list[Atom], every: bool
             elif not holds:
                 continue
             line = bisect_left(lines, a)
-            out.append((path, *place, kind, line, a - lines[line - 1], bisect_left(lines, b), source[a:b] if holds else None, sorted(holds)))
+            out.append((path, *place, kind, line, a - lines[line - 1], bisect_left(lines, b), source[a:b] if holds and texts else None, sorted(holds)))
         return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,17 +347,17 @@ def fitting(nodes: DataFrame, rules: list[dict], atoms: list[Atom], utils: dict[
     return nodes.select("*", *(c.alias(f"r{i}") for i, c in enumerate(columns)))
 
 
-def rules_matches(files: DataFrame, rules: list[tuple[str, dict]], language: str, utils: dict[str, dict] | None = None, constraints: dict[str, dict] | None = None) -> DataFrame:
+def rules_matches(files: DataFrame, rules: list[tuple[str, dict]], language: str, utils: dict[str, dict] | None = None, constraints: dict[str, dict] | None = None, texts: bool = True) -> DataFrame:
     """(rule, path, line, col, end_line, text): where each of several named rules holds; files are read once for all.
 
-    A rule needs a kind, a pattern, or such rules in ``any`` or ``all``; else it is an error.
+    Without ``texts`` the column text is null, and no text is written between relations. A rule needs a kind, a pattern, or such rules in ``any`` or ``all``; else it is an error.
     """
     utils = utils or {}
     atoms = list(dict.fromkeys(a for _, r in rules for a in atoms_of(r, utils)))
     if not all(positive(r, utils) for _, r in rules):
         raise ValueError("a rule needs a pattern, a kind, any or all")
-    nodes = kept(syntax_nodes(files, language, atoms, any(loose(r, utils) for _, r in rules), constraints))
-    found = fitting(nodes, [r for _, r in rules], atoms, utils, kept)
+    nodes = stored(syntax_nodes(files, language, atoms, any(loose(r, utils) for _, r in rules), constraints, texts))
+    found = fitting(nodes, [r for _, r in rules], atoms, utils, stored)
     names = F.array_compact(F.array(*(F.when(F.col(f"r{i}"), F.lit(name)) for i, (name, _) in enumerate(rules))))
     return found.select(F.explode(names).alias("rule"), "path", "line", "col", "end_line", "text")
 

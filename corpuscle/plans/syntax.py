@@ -322,7 +322,7 @@ def rule_not(spark, sf_dir):
 def rules_of_pages(spark, sf_dir):
     """Several rules over the elements of all pages, read once: paragraphs, lists and links by where they stand."""
     files = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
-    return trees.rules_matches(files, PAGE_RULES, "html").groupBy("rule", "path").agg(F.count("*").alias("n"))
+    return trees.rules_matches(files, PAGE_RULES, "html", texts=False).groupBy("rule", "path").agg(F.count("*").alias("n"))
 
 
 PAGE_RULES = [

@@ -155,3 +155,13 @@ def test_constraints_and_broken_rules(spark):
     for rule, utils, bounds in (({}, {}, {}), ({"kind": "no_such"}, {}, {}), ({"has": {"kind": "call"}}, {}, {}), ({"kind": "call", "field": "x"}, {}, {}), ({"matches": "a"}, {"a": {"matches": "a"}}, {}), ({"kind": "call"}, {}, {"A": {"kind": "call"}}), ({"kind": "call", "inside": {"kind": "call", "stopBy": "far"}}, {}, {})):
         with pytest.raises(ValueError):
             trees.rule_matches(files, rule, "python", utils, bounds)
+
+
+def test_rules_without_texts(spark):
+    """Without texts the same places are found, and no text is written or returned."""
+    page = "<article><p>One</p><div><p>Two</p></div></article>"
+    files = spark.createDataFrame([("a.html", page)], "path string, text string")
+    rules = [("inner", {"kind": "p", "inside": {"kind": "article", "stopBy": "end"}}), ("boxes", {"kind": "div", "has": {"kind": "p"}})]
+    places = lambda texts: sorted((r.rule, r.line, r.col, r.text) for r in trees.rules_matches(files, rules, "html", texts=texts).collect())
+    assert places(True) == [("boxes", 1, 20, "<div><p>Two</p></div>"), ("inner", 1, 10, "<p>One</p>"), ("inner", 1, 25, "<p>Two</p>")]
+    assert places(False) == [(rule, line, col, None) for rule, line, col, _ in places(True)]
