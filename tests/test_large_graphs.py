@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpuscle.operators import communities, graph, reach, semantic
+from corpuscle.operators import blocks, communities, graph, reach, semantic
 from corpuscle.operators.kept import kept
 
 
@@ -58,6 +58,38 @@ def test_sketched_reach_within_its_bound(spark):
     assert all(abs(about[n] - exact[n]) <= max(1, reach.error_bound() * exact[n]) for n in exact)
 
 
+def test_reach_in_blocks_is_whole(spark, monkeypatch):
+    """Parted in many blocks, chunks and slices, with a hub, copies of edges and loops."""
+    for name, most in (("BLOCK", 300), ("CHUNK", 500), ("PAIRS", 64), ("MARKS", 512), ("SLOTS", 4096)):
+        monkeypatch.setattr(blocks, name, most)
+    rng = random.Random(9)
+    rows = [(f"n{rng.randrange(400)}", f"n{rng.randrange(400)}", 1) for _ in range(1200)] + [("hub", f"n{k}", 1) for k in range(0, 400, 2)] + [("n1", "hub", 1), ("n1", "hub", 2), ("s", "s", 1), ("a", "b", 1)]
+    edges = edges_of(spark, rows)
+    ahead = {}
+    for a, b, _ in rows:
+        ahead.setdefault(a, set()).add(b)
+
+    def within(n, hops):
+        return set() if not hops else ahead.get(n, set()) | {x for m in ahead.get(n, ()) for x in within(m, hops - 1)}
+
+    got = {r.node: r.reach for r in reach.counted_reach(edges, kept).collect()}
+    assert got == {n: len(within(n, 2)) for n in ahead} == {r.node: r.reach for r in graph.two_hop(edges).collect()}
+    for hops in (1, 3):
+        about = {r.node: r.reach for r in reach.sketched_reach(edges, hops, kept).collect()}
+        assert about.keys() == ahead.keys()
+        assert all(abs(about[n] - len(within(n, hops))) <= max(1, reach.error_bound() * len(within(n, hops))) for n in ahead)
+    assert reach.counted_reach(edges.limit(0), kept).count() == 0 == reach.sketched_reach(edges.limit(0), 2, kept).count()
+
+
+def test_reach_through_one_node(spark):
+    """A star through one node has the square of its ends as pairs."""
+    n = 400
+    rows = [(f"a{k}", "mid", 1) for k in range(n)] + [("mid", f"b{k}", 1) for k in range(n)]
+    step, _ = blocks.numbered(edges_of(spark, rows), kept)
+    out = kept(reach.counted(step, blocks.in_blocks(step, 2 * n, kept), 2 * n))
+    assert sorted(r.reach for r in out.collect()) == [n] + [n + 1] * n
+
+
 def modularity(rows, label):
     total = 2 * sum(w for *_, w in rows)
     inner, degree = {}, {}
