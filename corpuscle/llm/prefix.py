@@ -34,19 +34,21 @@ def close_buckets(members: DataFrame, links: DataFrame, percent: int, few: int,
     """
     labels = components(links)
 
-    def state() -> tuple[DataFrame, DataFrame]:
-        named = scratch.table(labelled(members, labels))
+    def state(rows: DataFrame) -> DataFrame:
+        """``rows`` of the buckets that still hold several components; those in one are done for good."""
+        named = scratch.table(labelled(rows.select("key", "node"), labels))
         sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
         squares = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs")
         keys = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("members"), squares, F.max_by("component", F.struct("n", "component")).alias("largest"))
-        return named, scratch.table(keys.where("parts > 1").select("key", (F.col("pairs") > few * F.col("members")).alias("wide"), "largest"))
+        open_ = scratch.table(keys.where("parts > 1").select("key", (F.col("pairs") > few * F.col("members")).alias("wide"), "largest"))
+        return scratch.table(named.join(open_, "key").select("key", "node", "component", "wide", (F.col("component") == F.col("largest")).alias("main")))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
-    named, keys = state()
+    rows = state(members)
     for star in range(STARS):
-        wide = scratch.table(named.join(keys.where("wide"), "key").select("key", "node", "component", (F.col("component") == F.col("largest")).alias("main")))
+        wide = rows.where("wide")
         if wide.isEmpty():
             break
         held = wide.groupBy("node").agg(F.count("*").alias("keys"))
@@ -56,22 +58,22 @@ def close_buckets(members: DataFrame, links: DataFrame, percent: int, few: int,
         if found.isEmpty():
             break
         links, labels = links.unionByName(found), extended(labels, found)
-        named, keys = state()
-    both = named.join(keys.where("NOT wide"), "key").select("key", "node", "component", (F.col("component") == F.col("largest")).alias("main"))
+        rows = state(rows)
+    both = rows.where("NOT wide").select("key", "node", "component", "main")
     others = both.select("key", F.col("node").alias("b"), F.col("component").alias("other"), F.col("main").alias("_main"))
     links = links.unionByName(confirmed(ordered(both.where("NOT main").join(others, "key").where("component <> other AND (_main OR node > b)"))))
-    wide = scratch.table(named.join(keys.where("wide"), "key").select("key", "node"))
+    wide = rows.where("wide").select("key", "node")
     if wide.isEmpty():
         return links
-    return links.unionByName(links_by_prefix(wide, scratch.table(sets_of(wide.select("node").distinct())), links, percent, confirmed, scratch))
+    return links.unionByName(links_by_prefix(wide, scratch.table(sets_of(wide.select("node").distinct())), links, percent, confirmed, scratch, labels))
 
 
-def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], scratch: Scratch, labels: DataFrame | None = None) -> DataFrame:
     """(a, b): with ``links``, whatever joins all similar sets of ``buckets``.
 
     ``buckets``: key, node. ``sets``: node, grams (distinct longs) of each node there.
     ``confirmed`` keeps those of pairs (a, b), a > b, whose sets have a Jaccard similarity
-    of ``percent`` or more.
+    of ``percent`` or more. ``labels`` are of ``components`` of some of the links, or of all.
 
     Values are ordered by how many of these sets hold them, rarest first. Of two similar
     sets, the smaller one's first 1 - 2p/(1+p) and the larger one's first 1 - p have a value
@@ -81,11 +83,11 @@ def links_by_prefix(buckets: DataFrame, sets: DataFrame, links: DataFrame, perce
     First, each bucket's sets meet its most typical one (of the most common values), which joins
     the copies with few changes; sets whose buckets are one component by then take no further part.
     """
-    grams = sets.select("node", F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
-    common = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
+    grams = labelled(sets, components(links) if labels is None else labels).select("node", F.xxhash64("component").alias("part"), F.size("grams").cast("long").alias("n"), F.explode("grams").alias("gram"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("sets"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").drop("low", "high")
     shared = grams.join(common, "gram").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("shared"), F.sum("sets").alias("held"))
     n, p = F.col("n"), F.lit(percent)
-    own = n - F.size("shared")  # a set's own values are the rarest: they come first, and nothing meets by them
+    own = n - F.size("shared")  # values of one component only come first, as the rarest do: nothing has to meet by them
     first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), n - F.ceil(n * p / 100) + 1 - own).cast("int"))
     placed_first = F.transform(first, lambda x, i: F.struct((own + i).alias("at"), x["gram"].alias("gram")))
     ordered = scratch.table(shared.select("node", "n", ((F.col("held") + own) / n).alias("typical"), placed_first.alias("first")))

@@ -117,3 +117,22 @@ def test_prefix_lists_of_one_family(spark):
     with cut.Scratch(spark) as scratch:
         links_by_prefix(nodes.withColumn("key", F.lit(1)), scratch.table(sets), cut.cut(links), 80, confirmed, scratch)
     assert asked[-1] == n
+
+
+def test_values_of_one_component_are_not_ordered(spark):
+    """Sets that share values only within their component take no part; those that share one with others do."""
+    ordered = []
+
+    class Watched(cut.Scratch):
+        def table(self, df):
+            out = super().table(df)
+            if "typical" in df.columns:
+                ordered.append({r.node for r in out.collect()})
+            return out
+
+    links = cut.cut(spark.createDataFrame([(k, 0) for k in range(1, 50)], "a long, b long"))
+    rows = [(k, [1, 2, 3, 4, 100 + k]) for k in range(49)] + [(49, [1, 2, 3, 4, 900]), (50, [900, 901, 902])]
+    sets = spark.createDataFrame(rows, "node long, grams array<long>")
+    with Watched(spark) as scratch:
+        links_by_prefix(sets.select(F.lit(1).alias("key"), "node"), scratch.table(sets), links, 80, lambda pairs: pairs.limit(0), scratch)
+    assert ordered == [{49, 50}]
