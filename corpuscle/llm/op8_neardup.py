@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.components import components, labelled
+from corpuscle.llm.components import labelled
 from corpuscle.llm.cut import Scratch, cut, within
 from corpuscle.llm.grams import mix, pieces, shingle_sets
 from corpuscle.llm.prefix import close_buckets
@@ -144,7 +144,7 @@ def linked(documents: DataFrame, classes: DataFrame, words: int, percent: int, s
 
     links = confirmed(members.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
     sets = lambda nodes: full_sets(documents, within(scratch.table(nodes)), words)
-    return components(close_buckets(members.select("key", "node"), links, percent, FEW, confirmed, sets, scratch))
+    return close_buckets(members.select("key", "node"), links, percent, FEW, confirmed, sets, scratch)
 
 
 def near_duplicates(documents: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:

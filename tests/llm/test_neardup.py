@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpuscle.llm import cut, op8_neardup
-from corpuscle.llm.components import components
+from corpuscle.llm.components import components, extended
 from corpuscle.llm.prefix import close_buckets, links_by_prefix
 
 
@@ -136,3 +136,47 @@ def test_values_of_one_component_are_not_ordered(spark):
     with Watched(spark) as scratch:
         links_by_prefix(sets.select(F.lit(1).alias("key"), "node"), scratch.table(sets), links, 80, lambda pairs: pairs.limit(0), scratch)
     assert ordered == [{49, 50}]
+
+
+def jobs_of(spark, work):
+    """What ``work`` returns, and the number of jobs it took."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    out = work()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, n
+
+
+def test_small_graphs_take_few_jobs(spark, monkeypatch):
+    """A small graph's rounds broadcast what they look up; larger ones shuffle, with the same components."""
+    links = cut.cut(spark.createDataFrame([(i, i // 3) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(30)], "a long, b long"))
+    small, n_small = jobs_of(spark, lambda: {tuple(r) for r in components(links).collect()})
+    monkeypatch.setattr("corpuscle.llm.components.FEW_LINKS", 0)
+    large, n_large = jobs_of(spark, lambda: {tuple(r) for r in components(links).collect()})
+    assert small == large == {(i, 0) for i in range(1, 400)} | {(1001 + i, 1000) for i in range(30)}
+    assert n_small < n_large
+
+
+def test_buckets_extend_the_labels_they_have(spark, monkeypatch):
+    """Components of all links are found once; what is found later is worked on between components only."""
+    asked = []
+    monkeypatch.setattr("corpuscle.llm.prefix.components", lambda links, scratch: asked.append(1) or components(links, scratch))
+    members = spark.createDataFrame([(1, k) for k in range(6)], "key long, node long")
+    links = cut.cut(spark.createDataFrame([(1, 0), (3, 2), (5, 4)], "a long, b long"))
+    sets = lambda nodes: nodes.select("node", F.array(F.col("node")).alias("grams"))
+    with cut.Scratch(spark) as scratch:
+        out = close_buckets(members, links, 80, 64, lambda pairs: pairs.where("b = 0 OR a = 5 AND b = 2"), sets, scratch)
+        assert {tuple(r) for r in out.collect()} == {(k, 0) for k in range(1, 6)}
+    assert len(asked) == 1
+
+
+def test_size_estimates_do_not_multiply(spark):
+    """What rounds and later links keep has the size of its rows for the planner."""
+    links = spark.createDataFrame([(i, i // 2) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(30)], "a long, b long")
+    with cut.Scratch(spark) as scratch:
+        labels = components(links, scratch)
+        for k in range(3):
+            labels = extended(labels, spark.createDataFrame([(1000 + 10 * k, k)], "a long, b long"), scratch)
+        assert int(labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 20
+        assert labels.count() == 330
