@@ -1,9 +1,12 @@
 import random
 
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpuscle.operators import blocks, communities, graph, reach, semantic
 from corpuscle.operators.kept import kept
+from corpuscle.plans import registry
 
 
 def edges_of(spark, rows):
@@ -131,3 +134,36 @@ def test_semantic_lists(spark):
     got = {r.id: r.score for r in lists.search(["apple", "pie"], 0.1).collect()}
     assert set(got) == {1, 2, 6} and got[1] > got[6] > got[2]
     assert {r.id: round(r.score, 9) for r in lists.search(["apple"], 0.5).collect()} == {6: 1.0} and lists.search(["zebra"]).count() == 0
+
+
+def test_sources_of_the_same_targets_are_one(spark):
+    rows = [(f"a{i}", f"b{j}", 1) for i in range(6) for j in range(5)] + [(f"b{j}", f"a{i}", 1) for i in range(6) for j in range(5)]
+    step, _ = blocks.numbered(edges_of(spark, rows), kept)
+    of, one, onward = blocks.folded(step, kept)
+    assert of.count() == 11 and one.count() == 11 and onward.distinct().count() == 4
+    assert sorted(r.reach for r in reach.counted_reach(edges_of(spark, rows), kept).collect()) == [11] * 11
+
+
+def test_a_chunk_keeps_members_only_of_small_unions():
+    """Else every union is made member by member in chunks of at most as many slots as are kept."""
+    slots = np.arange(64, dtype=np.uint64)
+    values = (slots << np.uint64(52) | np.uint64(1)).view(np.int64)
+    filled, _, counts = blocks.registers(64, 52, 512, True)(np.array([0, 1]), np.array([0, 1]), np.array([0, 60, 64]), values, 2)
+    assert filled.to_pylist() == [60, 4] and counts.to_pylist() == [513, 4]
+
+
+def test_reach_without_keys(spark, tmp_path):
+    """A missing key is a node, but nothing follows from it; copies of rows change nothing."""
+    tables = {
+        "orders": "SELECT * FROM (VALUES (1, 1), (2, NULL), (3, 2), (3, 2)) t(o_orderkey, o_custkey)",
+        "lineitem": "SELECT * FROM (VALUES (1, NULL), (1, 49), (2, 48), (2, 47), (3, 47), (3, 46)) t(l_orderkey, l_suppkey)",
+        "supplier": "SELECT * FROM (VALUES (49, 0), (49, 1), (48, 0), (47, 1), (NULL, 1)) t(s_suppkey, s_nationkey)",
+        "customer": "SELECT * FROM (VALUES (1, 0), (1, 1), (2, 0), (3, 1), (3, 1), (NULL, 0)) t(c_custkey, c_nationkey)",
+    }
+    duck = duckdb.connect()
+    for name, rows in tables.items():
+        duck.execute(f"COPY ({rows}) TO '{tmp_path}/{name}.parquet'")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = duck.execute(registry.oracle_sql()["sketched_reach"]).fetchall()
+    got = [tuple(r) for r in registry.queries()["sketched_reach"](spark, str(tmp_path)).select("node", "reach", "within").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(r[0] is None for r in want)
